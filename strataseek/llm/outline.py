@@ -108,7 +108,7 @@ def _braces(text: str, family: str) -> tuple[list[str], str, list[tuple[int, int
     bare, clean = _clean(text, family)
     units: list[list[int]] = []
     marks: set[int] = set()
-    stack: list[tuple[bool, int | None, int]] = []  # in a function, its unit, paren depth outside
+    stack: list[tuple[bool, int | None, int, int, int]] = []  # outside: in a function, (own unit), paren depth, header's start and line
     inside, paren, head, line = False, 0, 0, 0
     head_line = 0
     function, type_, bodiless = _FUNCTION[family], _TYPE[family], _BODILESS.get(family)
@@ -149,17 +149,18 @@ def _braces(text: str, family: str) -> tuple[list[str], str, list[tuple[int, int
                     unit = len(units)
                     units.append([own, own, depth])
                     depth += 1
-            stack.append((inside, unit, paren))
+            stack.append((inside, unit, paren, head, head_line))
             inside = inside or fn
             paren = 0
             head, head_line = at + 1, line
         elif c == "}":
+            before = 0, 0
             if stack:
-                inside, unit, paren = stack.pop()
+                inside, unit, paren, *before = stack.pop()
                 if unit is not None:
                     units[unit][1] = line
                     depth -= 1
-            head, head_line = at + 1, line
+            head, head_line = before if paren else (at + 1, line)  # braces between parentheses are part of the header
         else:
             if paren == 0:
                 if not inside:
@@ -167,7 +168,7 @@ def _braces(text: str, family: str) -> tuple[list[str], str, list[tuple[int, int
                     if h and (family == "script" and _ARROW.match(h) or bodiless and bodiless.match(h)) and not (family == "java" and ("=" in h or not stack)):
                         units.append([own, line, depth])
                 head, head_line = at + 1, line
-    for _, unit, _ in stack:
+    for _, unit, *_ in stack:
         if unit is not None:
             units[unit][1] = line
     if family == "go":
@@ -195,7 +196,7 @@ def _indented(text: str, family: str) -> tuple[list[str], str, list[tuple[int, i
         opens = re.compile(r"(?:async\s+def|def|class)\b|[\w.]+(?:\s*:[^=]+)?\s*=\s*lambda\b")
         is_function = re.compile(r"async|def\b|[\w.]+(?:\s*:[^=]+)?\s*=\s*lambda")
     else:
-        opens = re.compile(r"(?:(?:private|public|protected|module_function|private_class_method)\s+)?(?:def|class|module)\b|@?@?[\w.:]+\s*=\s*(?:lambda\b|proc\b|Proc\.new|->|(?:Class|Struct|Data)\.new\b|Data\.define)|define_method\b")
+        opens = re.compile(r"(?:(?:private|public|protected|module_function|private_class_method)\s+)?(?:def\s+[\w(]|class\s+(?:[A-Z]|<<)|module\s+[A-Z])|@?@?[\w.:]+\s*=\s*(?:lambda\b|proc\b|Proc\.new|->|(?:Class|Struct|Data)\.new\b|Data\.define)|define_method\b")
         is_function = re.compile(r"(?:\w+\s+)?def\b|@?@?[\w.:]+\s*=\s*(?:lambda|proc|Proc|->)|define_method")
     for i, raw in enumerate(clean.split("\n")):
         s = raw.strip()
