@@ -56,7 +56,7 @@ def candidates(scoped: DataFrame, tokens: list[str], match: str = "contains", li
 def top(scoped: DataFrame, tokens: list[str], df: dict[str, int], total: int, k: int, match: str = "contains", limit: int | None = None, min_score: float | None = None) -> DataFrame:
     """The k best candidates with ``bm25``; ties by id, then content. A candidate may score 0,
     since it is found by substring and scored by word."""
-    scored = candidates(scoped, tokens, match, limit).withColumn("words", words(F.col("content"))).withColumn("bm25", bm25(tokens, df, total, F.col("words"))).drop("words")
+    scored = candidates(scoped, tokens, match, limit).withColumn("_word_list", words(F.col("content"))).withColumn("bm25", bm25(tokens, df, total, F.col("_word_list"))).drop("_word_list")
     if min_score is not None:
         scored = scored.where(F.col("bm25") >= min_score)
     return scored.orderBy(F.desc("bm25"), "id", "content").limit(k)

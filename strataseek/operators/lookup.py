@@ -29,6 +29,7 @@ def language_stats(chunks: DataFrame) -> DataFrame:
 
 def index_totals(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """One row: chunks, file rows and distinct paths with chunks."""
-    c = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("path").alias("paths_with_chunks"))
-    f = files.agg(F.count(F.lit(1)).alias("file_rows"), F.count_distinct("path").alias("files"))
-    return c.join(f)  # one row each
+    f = files.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("paths"))
+    return chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("path").alias("paths_with_chunks")).select(
+        "chunks", "paths_with_chunks", f.select("n").scalar().alias("file_rows"), f.select("paths").scalar().alias("files")
+    )

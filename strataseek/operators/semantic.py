@@ -72,6 +72,10 @@ def top(df: DataFrame, vector: str, query: list[float], k: int, ties: list[str],
     return with_distance(df, vector, query, metric).orderBy("distance", *ties).limit(k)
 
 
+#: The blocks of one dimension are spread over so many keys, and the queries' repeated for each.
+SPREAD = 32
+
+
 def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
     """Rows packed by the block: keys and one matrix."""
 
@@ -98,8 +102,9 @@ def batch_top(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k:
     by rank; no pair of single rows is ever a row. Ties by key.
     """
     kind = vectors.schema[key].dataType.simpleString()
-    q = _blocks(queries, key, vector, 256).select("dim", F.col("keys").alias("qkeys"), F.col("m").alias("qm"))
-    pairs = _blocks(vectors, key, vector, 4096).join(q, "dim")
+    q = _blocks(queries, key, vector, 256).select("dim", F.col("keys").alias("qkeys"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("m"), F.lit(SPREAD)).cast("int")
+    pairs = _blocks(vectors, key, vector, 4096).withColumn("salt", salt).join(q, ["dim", "salt"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
