@@ -143,10 +143,11 @@ def _described(path: str | None, rows: list[tuple], limit: int) -> Iterator[tupl
 
 
 def _by_file(chunks: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct rows, those of one file section next to each other and in order."""
-    rows = chunks.select("id", "path", F.coalesce("start_line", F.lit(1)).alias("start_line"), F.coalesce("content", F.lit("")).alias("content"), *columns).distinct()
+    """Rows with those of one file section next to each other and in order, so that repeated
+    ones stand together; one shuffle by file section."""
+    rows = chunks.select("id", "path", F.coalesce("start_line", F.lit(1)).alias("start_line"), F.coalesce("content", F.lit("")).alias("content"), *columns)
     keyed = rows.withColumn("file", F.coalesce("path", F.col("id"), F.lit(""))).withColumn("section", F.floor(F.col("start_line") / SECTION_LINES))
-    return keyed.repartition("file", "section").sortWithinPartitions("file", "section", "start_line", "id", "content")
+    return keyed.repartition("file", "section").sortWithinPartitions("file", "section", "start_line", "id", "content", "language")
 
 
 def _sections(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, list[tuple]]]:
@@ -158,7 +159,9 @@ def _sections(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, lis
                 if rows:
                     yield path, rows
                 key, path, rows = (file, section), p, []
-            rows.append((id_, language, int(start), content))
+            row = (id_, language, int(start), content)
+            if not rows or rows[-1] != row:
+                rows.append(row)
     if rows:
         yield path, rows
 
