@@ -65,13 +65,15 @@ def _clean(text: str, family: str) -> tuple[list[str], str]:
     directive = "#" if family == "c" else "\x00"  # these lines are no comments
     bare = lex.sub(lambda m: _blank(m) if m["comment"] is not None and m[0].lstrip()[:1] != directive else m[0], text)
     clean = lex.sub(lambda m: _blank(m) if m["comment"] is not None else _keep_quotes(m[0]), text)
+    if family == "php":
+        clean = re.sub(r"<\?(?:php|=)?|\?>", _blank, clean)
     return bare.split("\n"), clean
 
 
 # braces
 
 _CONTROL = re.compile(r"(?:\}\s*)?(?:if|else|elseif|for|foreach|while|do|switch|try|catch|finally|with|match|loop|unsafe|return|synchronized|case|default|select|throw|yield|await|new|defer|go)\b")
-_PREFIX = re.compile(r"\s*(?:@[\w.]+(?:\((?:[^()]|\([^()]*\))*\))?\s*|#!?\[(?:[^\[\]]|\[[^\[\]]*\])*\]\s*|<\?(?:php|=)?\s*|\?>\s*)+")
+_PREFIX = re.compile(r"\s*(?:@[\w.]+(?:\((?:[^()]|\([^()]*\))*\))?\s*|#!?\[(?:[^\[\]]|\[[^\[\]]*\])*\]\s*)+")
 _TYPES = {
     "script": r"(?:(?:export|default|declare|abstract|public|private|protected|static|const)\s+)*(?:class|interface|enum|namespace|module|type)\s+[\w$\"']|(?:export\s+)?(?:const|let|var)\s+\w+\s*=\s*class\b|export\s+default\s+class\b",
     "java": r"(?:(?:public|private|protected|static|final|abstract|sealed|non-sealed|strictfp)\s+)*(?:class|interface|enum|record|@interface)\s+\w",
