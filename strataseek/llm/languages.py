@@ -115,8 +115,12 @@ def _counts(pairs: Iterator[tuple[str, str]], prof: Profiles) -> pd.DataFrame:
     by: dict[str, list[str]] = {}
     for lang, text in pairs:
         by.setdefault(lang, []).append(text)
-    parts = [pd.DataFrame(dict(zip(("code", "n"), _count(prof, "\n".join(texts))))).assign(lang=lang) for lang, texts in by.items()]
-    return pd.concat(parts)[["lang", "code", "n"]] if parts else pd.DataFrame({"lang": [], "code": [], "n": []})
+    parts = {lang: _count(prof, "\n".join(texts)) for lang, texts in by.items()}
+    none = np.empty(0, np.int64)
+    return pd.DataFrame({
+        "lang": np.repeat(np.array(list(parts), object), [len(c) for c, _ in parts.values()]),
+        "code": np.concatenate([none, *(c for c, _ in parts.values())]), "n": np.concatenate([none, *(n for _, n in parts.values())]),
+    })
 
 
 def _bundle(counts: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -256,7 +260,7 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sentences(texts: list[str], prof: Profiles) -> pd.DataFrame:
     """One row for each sentence with letters: doc (place in the batch), para, start, end
     (code points), n (letter groups), heading, and a column of scores for each language."""
-    text = "\x00".join(texts)
+    text = "\n" + "\x00".join(texts)  # so that the first letter has one before it
     cp = prof.points(text)
     sym = prof.lut[np.minimum(cp, 0xFFFF)]
     sym = np.where(_masked(cp), 0, sym)
@@ -287,7 +291,7 @@ def _sentences(texts: list[str], prof: Profiles) -> pd.DataFrame:
     for _ in range(3):
         lead = np.minimum(lead + np.isin(cp[lead], (0xFEFF, 32, 62)), len(cp) - 1)
     heading = cp[lead] == 35
-    offset = np.concatenate([[0], np.flatnonzero(zero) + 1])
+    offset = np.concatenate([[1], np.flatnonzero(zero) + 1])
     out = pd.DataFrame({"doc": doc[begin], "para": para[begin], "start": begin - offset[doc[begin]], "end": end - offset[doc[begin]], "n": n, "heading": heading})
     out["cjk"] = np.add.reduceat((cp[at] >= 0x3040).astype(np.int64), first)
     return pd.concat([out, pd.DataFrame(score, columns=prof.langs)], axis=1)

@@ -93,7 +93,7 @@ def _rotation(dim: int) -> np.ndarray:
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres**2).sum(1) / 2
-    return np.concatenate([(half[None] - x[i : i + 4096] @ centres.T).argmin(1) for i in range(0, len(x), 4096)])
+    return np.concatenate([np.empty(0, np.int64), *((half[None] - x[i : i + 4096] @ centres.T).argmin(1) for i in range(0, len(x), 4096))])
 
 
 def fit_centres(sample: np.ndarray, shards: int, tables: int = TABLES, rounds: int = 3) -> np.ndarray:
