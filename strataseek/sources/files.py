@@ -39,8 +39,8 @@ class Ignore:
     @staticmethod
     def _regex(glob: str) -> str:
         out = ""
-        for part in re.split(r"(\*\*/|/\*\*|\*|\?|\[[^\]]*\])", glob):
-            out += {"**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(part) or (fnmatch.translate(part)[4:-3] if part[:1] == "[" else re.escape(part))
+        for part in re.split(r"(/\*\*/|\*\*/|/\*\*|\*|\?|\[[^\]]*\])", glob):
+            out += {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(part) or (fnmatch.translate(part)[4:-3] if part[:1] == "[" else re.escape(part))
         return out
 
     def _own(self, path: str, is_dir: bool) -> bool:
@@ -108,7 +108,8 @@ def list_tree(spark: SparkSession, root: str, ignore: Ignore | None = None, stri
 
 def scan_tree(spark: SparkSession, root: str, ignore: Ignore | None = None) -> DataFrame:
     """(path, mtime_ms, is_file, content) of a tree on any file system Spark reads, listed and
-    read in parallel; for trees too large for a listing on the driver."""
+    read in parallel; for trees too large for a listing on the driver. Files without a byte
+    are left out: they have no chunks."""
     base = root.rstrip("/")
     rules = ignore or Ignore(ALWAYS_IGNORED)
     hidden = F.udf(lambda p: rules.ignores(p), "boolean")  # short paths only, after the language filter
