@@ -51,15 +51,16 @@ ABOUT = set(
 AFTER = set("seed pepper value b64 base64 hex enc encoded plain raw str string prod dev test live default old new backup key main primary secondary current".split())
 
 PLACEHOLDER = re.compile(
-    r"(?:<[^>]*>|\*+|[xX]{4,}|[.\-_]+|0+|change[-_ ]?(?:me|it|this)\b.*|changeme.*|replace[-_ ]?(?:me|this|with).*|your[-_ ]?.*|insert[-_ ].*|example.*|sample.*|dummy.*|todo.*|fixme.*|none"
-    r"|null|nil|true|false|undefined|redacted.*|placeholder.*|tbd|n/?a|see[-_ ].*|masked|hidden|secret|password|token|test(?:ing)?|foo(?:bar)?|bar|empty|fake.*|my[-_].*|put[-_ ].*|enter[-_ ].*|set[-_ ].*)",
+    r"<[^>]*>|\*+|[xX]{4,}|[.\-_]+|0+|n/?a|tbd|none|null|nil|true|false|undefined|masked|hidden|secret|password|token|test(?:ing)?|foo(?:bar)?|bar|empty|redacted|placeholder"
+    r"|(?:change|replace|your|insert|put|enter|set|see|add|use|my|fill)(?!\S*\d\d)(?:[-_ ].*|me|this|it|here)?|changeme\w*|your(?:key|token|password|secret)\w*"
+    r"|(?:example|sample|dummy|fake|todo|fixme|redacted|placeholder)(?:[-_ ]?(?:key|token|password|passwd|pass|secret|value|only|here|cred\w*))*\d{0,3}",
     re.I | re.S,
 )
 REFERENCE = re.compile(
-    r"^[$%@]?[{(]|^\$\w|^%\w+%$|\$\{|\{\{|%\(|#\{|process\.env|os\.environ|getenv|\bENV\b|env::|env\[|System\.get|secretsmanager|^vault:|^arn:|^ssm:|^op://|^(?:file|https?|env):|keychain|^!|^&\w|^\*\w", re.I
+    r"^[$%@]?[{(]|^\$\w+$|^%\w+%$|\$\{|\{\{|%\(|#\{|process\.env|os\.environ|getenv|\bENV\b|env::|env\[|System\.get|secretsmanager|^vault:|^arn:|^ssm:|^op://|^(?:file|https?|env):|keychain|^[!&*]\w+$", re.I
 )
 WORDS = re.compile(r"[A-Za-z]+(?:[-_.:/][A-Za-z]+)*[?!.,:;]*")
-NAME = re.compile(r"[a-z]+(?:[A-Z][a-z]*)*\d{0,4}|[A-Za-z][a-z]*(?:_[a-z]+|_\d+)*|[A-Z][A-Z_]*\d{0,3}|v?\d+(?:\.\d+)+\w*")
+NAME = re.compile(r"[a-z]+(?:[A-Z][a-z]*)*\d{0,4}|[A-Za-z][a-z]*(?:_[a-z]+|_\d+)*|[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Z]+\d{0,3}|v?\d+(?:\.\d+)+\w*")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+(?::\d+)?(?:/\S*)?")
 EMBEDDED = re.compile(r"^(?:sha\d+[-:]|data:|md5:|rev:|commit:)", re.I)
@@ -125,6 +126,7 @@ GRAMMAR = [
     r"(?:A[KS]IA|AIza|gh[pousr]_|github_pat_|gl(?:pat|ptt|dt)-|xox[abeoprs]-|[rs]k_(?:live|prod|test)_|SG\.|eyJ|pat_|npm_|hf_|dop_v1_|sk-|pypi-|shp(?:at|ca|pa|ss)_|ya29\.)[A-Za-z0-9_-]{2}",
     r"://[^ \t\r\n\"'`]",
     r"PRIVATE KEY",
+    r"(?:IDENTIFIED|[Ii]dentified) |[Pp]assword is ",
     r"[ \"'(]-(?:u|p|a|-user|-pass|-token|-secret|-api)",
     r"(?:[Bb]earer|BEARER|[Bb]asic|BASIC) [A-Za-z0-9]",
     r"(?:[=!]= ?|equals\(|compare\(|compareTo\(|eq\? |eql\? )[\"'`]|strcmp\(",
@@ -272,6 +274,7 @@ USER = re.compile(r"(?:^|[\s\"'(])(?:-u|--user)[ =][\"']?(?P<user>[^\s:\"']+):(?
 SHORT = re.compile(r"\b(?:mysql\w*|psql|mongo\w*|sshpass|redis-cli|mariadb\w*|ldap\w*|zip|7z|openssl)\b[^|;]*?\s-[pa](?P<v>[^\s\"'`-][^\s\"'`]*)")
 LONG = re.compile(r"--(?:password|passwd|pass|token|secret|api-?key|auth)[ =][\"']?(?P<v>[^\s\"'`]+)")
 HEADER = re.compile(r"\b(?:bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/=_.~!@#$%^&*?-]{6,})", re.I)
+IDENTIFIED = re.compile(r"\b(?:identified\s+(?:with\s+\S+\s+)?by|password(?:\s+for\s+\S+)?\s+is)\s+[\"'`]?(?P<v>[^\s\"'`;]+)", re.I)
 LOGIN = re.compile(r"(?:login|signin|sign_in|connect|auth\w*)\(\s*[\"'][^\"']*[\"']\s*,\s*[\"'](?P<v>[^\"']+)[\"']", re.I)
 NOTE = re.compile(r"(?:\bwas\s+\S+\s+->\s+|\blogin\s+\S+\s+/\s+|\bremove:\s*[\w.@-]+\s*[=:]\s*|\bwas\s+(?=\S+\s+until))(?P<v>[^\s\"'`]+)", re.I)
 COMPARE = re.compile(r"(?:[=!]==?|equals\(|eql?\?\s*\(?|compare\w*\(|strcmp\([^,\n]*,)\s*(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).)+)(?P=q)")
@@ -284,6 +287,8 @@ _NUMBERS = re.compile(r"[^\n]{0,40}?[\[{(]\s*(?P<v>(?:0x[0-9a-fA-F]{1,2}|\d{1,3}
 _BODY_LINE = re.compile(r"[\s\"'+#/*|.>-]*[A-Za-z0-9+/=]{8,}(?:\\n)?[\"'+,.\s\\]*")
 _LONE = re.compile(r"""\s*(?:\+|\.)?\s*(?P<q>["'])(?P<s>[^"'\s]{6,})(?P=q)\s*(?:[;,)+.\\]|\|\|)*\s*""")
 
+_LOOKUP = re.compile(r"getenv|environ|\benv\b|\bENV\b|env::|config|settings|vault|secrets?\.|lookup|fetch|require", re.I)
+
 Span = tuple[int, int]
 
 
@@ -321,7 +326,7 @@ def _line_spans(text: str, a: int, b: int) -> Iterator[list[Span]]:
         v = m["v"]
         if not REFERENCE.search(v) and not REFERENCE.search(m["user"]) and not PLACEHOLDER.fullmatch(v) and len(v) >= 4 and not v.isdigit():
             yield [(a + m.start("v"), a + m.end("v"))]
-    for pattern, named in ((USER, True), (SHORT, True), (LONG, True), (LOGIN, True), (NOTE, False), (COMPARE, False)):
+    for pattern, named in ((USER, True), (SHORT, True), (LONG, True), (LOGIN, True), (IDENTIFIED, True), (NOTE, False), (COMPARE, False)):
         for m in pattern.finditer(line):
             if secretish(m["v"], named):
                 yield [(a + m.start("v"), a + m.end("v"))]
@@ -332,7 +337,7 @@ def _line_spans(text: str, a: int, b: int) -> Iterator[list[Span]]:
     while m := ASSIGN.search(line, at):
         at = m.start("q") if m["s"] is not None else m.end("op")
         at = max(at, m.end("k"))
-        if not names_secret(m["k"]):
+        if not names_secret(m["k"]) or _LOOKUP.search(line, m.end("op"), at):
             continue
         numbers = _NUMBERS.match(line, m.end("op"))
         if numbers:
