@@ -78,7 +78,7 @@ def secretish(v: str, named: bool) -> bool:
         return False
     if TOKEN.match(v):
         return "EXAMPLE" not in v and len(set(v)) > 6
-    if WORDS.fullmatch(v):
+    if WORDS.fullmatch(v) and not (named and v[-1] == "!" and "_" in v and _flips(v)):
         return len(v) >= 16 and v.isalpha() and _flips(v) >= len(v) // 4
     if UUID.fullmatch(v) or not re.search("[A-Za-z]", v) or len(set(v)) < 5:
         return named and v.isdigit() is False and len(set(v)) >= 5 and not UUID.fullmatch(v) and bool(re.search(r"[^\w.,:/ -]", v))
