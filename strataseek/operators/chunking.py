@@ -37,7 +37,8 @@ def frames(files: DataFrame) -> DataFrame:
     kept = measured.withColumn("stop", stop).withColumn(
         "f", F.filter("f", lambda x: F.col("stop").isNull() | (x["i"] < F.col("stop")) | ((x["i"] == 0) & (F.col("stop") == 0) & (x["t"] > 0)))
     )
-    out = kept.select("path", "language", "n", "stop", F.inline("f"))
+    # the outer form: for the inner one the optimizer adds a filter that builds the frames once more
+    out = kept.select("path", "language", "n", "stop", F.inline_outer("f")).where("i IS NOT NULL")
     end = F.when(F.col("stop") == 0, F.col("n")).otherwise(F.least(F.col("i") + FRAME, F.col("n")))
     return out.select("path", "language", (F.col("i") + 1).alias("start_line"), end.alias("end_line"), "content")
 
@@ -87,7 +88,7 @@ def split_oversize(rows: DataFrame) -> DataFrame:
     f = rows.withColumn("f", framed)
     stop = F.array_min(F.transform(F.filter("f", lambda x: (x["i"] > 0) & (F.length(x["content"]) < MIN_CHARS)), lambda x: x["i"]))
     kept = f.withColumn("stop", stop).withColumn("f", F.filter("f", lambda x: F.col("stop").isNull() | (x["i"] < F.col("stop"))))
-    out = kept.select("path", "language", "first", F.size("lines").alias("n"), F.inline("f"))
+    out = kept.select("path", "language", "first", F.size("lines").alias("n"), F.inline_outer("f")).where("i IS NOT NULL")
     return out.select(
         "path", "language", (F.col("first") + F.col("i")).alias("start_line"), (F.col("first") + F.least(F.col("i") + FRAME, F.col("n")) - 1).alias("end_line"), "content"
     )
