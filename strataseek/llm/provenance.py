@@ -106,7 +106,7 @@ def _measure(path: str, text: str) -> tuple:
 
 def files(chunks: DataFrame) -> DataFrame:
     """One row for each source path: sums, notices, and ``copy``, a key that files have in
-    common whose code lines are the same (of those with COPY_CHARS characters or more)."""
+    common whose code lines are the same (of those with COPY_LINES lines or more)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [*SUMS, "shape_of", "shape_n", "made", "foreign", "code"]
@@ -121,17 +121,18 @@ def files(chunks: DataFrame) -> DataFrame:
     )
     source = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(SOURCE)
     # equal rows once: those of one path and place hold equal text or are two versions, which both count
-    rows = chunks.where(source).select("path", "content").mapInPandas(run, schema)
+    rows = cut(chunks.where(source).select("path", "content").mapInPandas(run, schema))
+    # a file's distinct code lines are never gathered: two steps of sums, however many they are
+    lines = rows.select(F.xxhash64("path").alias("p"), F.explode("code").alias("x")).distinct()
+    copies = lines.groupBy("p").agg(F.count(F.lit(1)).alias("k"), F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.sum("x").cast("string"), F.bit_xor(F.xxhash64("x")).cast("string")).alias("copy"))
     per = rows.groupBy("path").agg(
         *[F.sum(c).alias(c) for c in SUMS],
-        F.max_by("shape_n", "shape_n").alias("shape_top"),
         F.sum("shape_n").alias("shape_sum"),
         F.bool_or("made").alias("made"),
         F.bool_or("foreign").alias("foreign"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("code")))).alias("code"),
     )
     safe = lambda c: F.greatest(F.col(c), F.lit(1))
-    return per.select(
+    return per.withColumn("p", F.xxhash64("path")).join(copies, "p", "left").select(
         "path",
         (F.col("packed") / safe("chars")).alias("ratio"),
         (F.col("entropy_sum") / safe("tokens")).alias("entropy"),
@@ -145,7 +146,7 @@ def files(chunks: DataFrame) -> DataFrame:
         "chars",
         (F.col("made") | F.col("path").rlike(GENERATED_PATH.pattern)).alias("generated"),
         (F.col("foreign") | F.col("path").rlike(FOREIGN_PATH.pattern)).alias("foreign"),
-        F.when(F.size("code") >= COPY_LINES, F.md5(F.concat_ws(",", F.transform("code", lambda x: x.cast("string"))))).alias("copy"),
+        F.when(F.col("k") >= COPY_LINES, F.col("copy")).alias("copy"),
     )
 
 
