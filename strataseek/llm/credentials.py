@@ -415,7 +415,7 @@ def spans(text: str, places: np.ndarray) -> list[list[Span]]:
             if line.rstrip()[-1:] in ";)":
                 break
         joined = "".join(text[i:j] for i, j in lone)
-        if 0 < len(lone) <= 4 and len(joined) <= 120 and re.search(r"\d", joined) and secretish(joined, True) and _flips(joined) >= 2 and "/" not in joined:
+        if 0 < len(lone) <= 4 and max(j - i for i, j in lone) <= 44 and re.search(r"\d", joined) and secretish(joined, True) and _flips(joined) >= 2 and "/" not in joined:
             out.append(lone)
     done = -1
     for p in places:
