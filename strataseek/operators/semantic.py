@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +41,14 @@ def distance_udf(query: list[float], metric: str = "sqeuclidean"):
     """The same as an Arrow function: for long vectors, where lambdas are slow."""
     q = np.asarray(query, np.float64)
 
-    @F.pandas_udf("double")
-    def measure(v: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def measure(v: pa.Array) -> pa.Array:
         out = np.full(len(v), np.nan)
-        ok = [i for i, x in enumerate(v) if x is not None and len(x) == len(q)]
-        if ok:
-            out[ok] = _measure(np.stack([v.iloc[i] for i in ok]).astype(np.float64), q[None], metric)[:, 0]
-        return pd.Series(out)
+        rows = np.flatnonzero(v.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == len(q))
+        if len(rows):
+            flat = v.take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(float("nan"))
+            out[rows] = _measure(flat.to_numpy(zero_copy_only=False).reshape(-1, len(q)), q[None], metric)[:, 0]
+        return pa.array(out)
 
     return measure
 

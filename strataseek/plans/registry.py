@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,11 @@ def _query_embedding(spark: SparkSession, d: str) -> list[float]:
 
 def _query_chunk_vector(spark: SparkSession, d: str) -> list[float]:
     """The vector of the first chunk that has one."""
-    usable = table(spark, d, "chunks").where((F.size("vector") == 768) & F.forall("vector", lambda x: ~F.isnan(x) & x.isNotNull()))
+    sized = table(spark, d, "chunks").where(F.size("vector") == 768)
+    for row in sized.orderBy("id", "content").select("vector").limit(64).collect():
+        if all(x is not None and math.isfinite(x) for x in row[0]):
+            return row[0]
+    usable = sized.where(F.forall("vector", lambda x: ~F.isnan(x) & x.isNotNull()))
     return usable.orderBy("id", "content").select("vector").first()[0]
 
 
