@@ -367,17 +367,30 @@ def stretches(docs: DataFrame, samples: DataFrame) -> DataFrame:
         if not prof.langs:
             return
         for pdf in batches:
-            ids = pdf["doc_id"].to_numpy()
-            texts = [(t or "").replace("\x00", " ") for t in pdf["text"]]
+            parts = [(i, a, part) for i, t in zip(pdf["doc_id"], pdf["text"]) for a, part in _parts((t or "").replace("\x00", " "))]
+            ids, offsets, texts = np.array([x[0] for x in parts], object), np.array([x[1] for x in parts], np.int64), [x[2] for x in parts]
             for a, b in _blocks(texts):
                 s = _sentences(texts[a:b], prof)
                 if len(s):
                     g = _stretches(s, prof.langs)
-                    yield pd.DataFrame({"doc_id": ids[a:b][g["doc"].to_numpy()], "start_char": g["start"], "end_char": g["end"], "lang": g["lang"], "confidence": g["confidence"], "sentences": g["sentences"], "paragraphs": g["paragraphs"], "letter_groups": g["groups"]})
+                    at = a + g["doc"].to_numpy()
+                    yield pd.DataFrame({"doc_id": ids[at], "start_char": g["start"] + offsets[at], "end_char": g["end"] + offsets[at], "lang": g["lang"], "confidence": g["confidence"], "sentences": g["sentences"], "paragraphs": g["paragraphs"], "letter_groups": g["groups"]})
 
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
+def _parts(text: str, most: int = 1_000_000) -> Iterator[tuple[int, str]]:
+    """(offset, part) of a text; one above ``most`` characters is read in parts that end with
+    a paragraph, else a line, so that memory doesn't grow with it. Nothing is left out."""
+    a = 0
+    while len(text) - a > most:
+        cut_at = max(text.rfind("\n\n", a, a + most), text.rfind("\n", a + most // 2, a + most)) + 1
+        cut_at = cut_at if cut_at > a else a + most
+        yield a, text[a:cut_at]
+        a = cut_at
+    yield a, text[a:]
+
+
 def _blocks(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters, so that arrays stay small; one text is never divided."""
     a, size = 0, 0

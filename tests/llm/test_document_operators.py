@@ -157,6 +157,15 @@ def test_stretches_cover_their_text(spark):
         assert got == set(re.findall(r"\w+", " ".join(SENTENCES[la][:3]))) and 0.5 < r.confidence <= 1
 
 
+def test_long_texts_are_read_in_parts(spark):
+    whole = "\n\n".join([" ".join(SENTENCES["en"])] * 40)
+    parts = list(languages._parts(whole, 1000))
+    assert "".join(t for _, t in parts) == whole and all(whole[a : a + len(t)] == t and len(t) <= 1000 for a, t in parts) and len(parts) > 5
+    assert [len(t) for _, t in languages._parts("x" * 2500, 1000)] == [1000, 1000, 500]
+    out = languages.stretches(docs(spark, [(1, "x y z " * 10 + "\n\n" + "\n\n".join([" ".join(SENTENCES["ru"])] * 6000), "ru")]), samples(spark)).collect()
+    assert {r.lang for r in out if r.letter_groups > 100} == {"ru"} and max(r.end_char for r in out) > 1_000_000
+
+
 def test_languages_of_empty_tables(spark):
     assert languages.found(docs(spark, []), samples(spark)).count() == 0
     assert languages.found(docs(spark, [(1, "some text here", None)]), samples(spark, [])).count() == 0
