@@ -5,8 +5,10 @@ random forest on compression ratio, token entropy, identifier lengths, comment d
 and line shapes tells machine-made text from hand-written text. It learns from labels
 that its features don't see: notices in comments, which are taken out of the text
 before it is measured, and the names that tools give. Notices decide for themselves
-as well, since generated code may look like any other. Third-party copies are groups of
-files whose code lines are equal without the comments, one of which shows its origin.
+as well, since generated code may look like any other. Data carry no notice from which
+a forest could learn them, so a rule on the lines' form decides beside the forest.
+Third-party copies are groups of files whose code lines are equal without the comments,
+one of which shows its origin.
 """
 
 from __future__ import annotations
@@ -154,40 +156,38 @@ def files(chunks: DataFrame) -> DataFrame:
 COPY_LINES = 4
 #: Labelled files from which the forest is grown, at most about so many.
 SAMPLE = 20_000
-#: A file whose lines nearly all have one form is data for the labels.
+#: A file whose lines nearly all have one form is data, by this rule and not by the forest.
 DATA_SHAPE, DATA_LINES = 0.85, 15
-#: Without a notice or a tool's name, files of lines so long on average have no label.
+#: Without a notice or a tool's name, files of lines so long on average aren't taken as hand-written.
 UNSURE_LINE = 90
 
 
 def classified(chunks: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """path, generated, foreign, machine_made (by the forest), probability.
+    """path, generated, foreign, machine_made (by the forest or as data), probability (by the forest), copy.
 
     Rows with a null path are left out; a null or empty content has no text; settings,
     prose and SQL files don't appear; repeated rows weigh double in a file's sums only.
-    With no labelled file of both kinds the forest isn't grown and names none. Other
-    columns are ignored; an empty table gives no rows.
+    With no labelled file of both kinds the forest isn't grown and only data are named.
+    Both kinds are sampled at one rate, so that the probability keeps their proportion.
+    Other columns are ignored; an empty table gives no rows.
     """
     f = cut(files(chunks.where("path IS NOT NULL").select("path", "content")))
     data = (F.col("shape") >= DATA_SHAPE) & (F.col("lines") >= DATA_LINES)
-    label = F.when(F.col("path").rlike(BUNDLED_PATH.pattern) | data | (F.col("line") >= 200), 1.0).when(
-        F.col("generated") | F.col("foreign") | (F.col("line") >= UNSURE_LINE), F.lit(None)
-    ).otherwise(0.0)
-    noticed = F.when((F.col("generated") | F.col("foreign")) & (F.col("line") >= 100), 1.0)
-    labelled = f.withColumn("label", F.coalesce(noticed, label).cast("double"))
+    noticed = F.col("generated") | F.col("foreign") | F.col("path").rlike(BUNDLED_PATH.pattern)
+    label = F.when(noticed, 1.0).when(data | (F.col("line") >= UNSURE_LINE), F.lit(None)).otherwise(0.0)
+    labelled = f.withColumn("label", label.cast("double"))
     total = labelled.where("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()  # two rows
     counts = {r["label"]: r["n"] for r in total}
     if len(counts) < 2:
-        return f.select("path", "generated", "foreign", F.lit(False).alias("machine_made"), F.lit(0.0).alias("probability"), "copy")
+        return f.select("path", "generated", "foreign", data.alias("machine_made"), F.lit(0.0).alias("probability"), "copy")
     shape = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
-    wanted = sample / 2
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, wanted / counts[1.0]))).otherwise(F.lit(min(1.0, wanted / counts[0.0])))
+    share = min(1.0, sample / sum(counts.values()))
     taken = labelled.where("label IS NOT NULL").where(F.pmod(F.xxhash64("path"), F.lit(1_000_003)) / 1_000_003.0 < share)
     forest = RandomForestClassifier(numTrees=30, maxDepth=6, seed=1, maxMemoryInMB=64, subsamplingRate=0.8)
     model = forest.fit(shape.transform(taken.select(*FEATURES, "label").repartition(4)))
     scored = model.transform(shape.transform(f))
     p = vector_to_array("probability")[1]
-    return scored.select("path", "generated", "foreign", (p >= 0.5).alias("machine_made"), p.alias("probability"), "copy")
+    return scored.select("path", "generated", "foreign", ((p >= 0.5) | data).alias("machine_made"), p.alias("probability"), "copy")
 
 
 def unwritten(chunks: DataFrame) -> DataFrame:

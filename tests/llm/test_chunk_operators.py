@@ -230,3 +230,17 @@ def test_unwritten_without_labels_or_rows(spark):
     assert provenance.unwritten(chunks(spark, [])).count() == 0
     one = [("g", "r/g.py", "python", 1, "# @generated\nx = 1")]
     assert [r.reason for r in provenance.unwritten(chunks(spark, one)).collect()] == ["generated"]
+
+
+def test_forest_learns_from_notices_on_short_lines(spark):
+    rnd = random.Random(4)
+    made = lambda: "\n".join(rnd.choice(["{a}={b}[{n}];", "if({a}){b}({a},{n});", "{b}({a}[{n}],{b});", "{a}:{b}.{a}({n}),", "return {a}?{b}:{n};"]).format(a=rnd.choice("abc"), b=rnd.choice("xyz"), n=rnd.randrange(99999)) for _ in range(80))
+    rows = [(f"w{i}", f"r/src/w{i}.py", "python", 1, f"def main_{i}():\n" + code(rnd)) for i in range(40)]
+    rows += [(f"g{i}", f"r/lib/g{i}.js", "javascript", 1, "// Code generated by tool. DO NOT EDIT.\n" + made()) for i in range(100)]
+    got = {r.path: r.probability for r in provenance.classified(chunks(spark, rows)).collect()}
+    assert len(got) == len(rows) and all((p >= 0.5) == path.startswith("r/lib/") for path, p in got.items())
+
+
+def test_data_are_named_without_a_forest(spark):
+    rows = [("d", "r/src/d.ts", "ts", 1, "\n".join(f"  ['k{i}', {i}]," for i in range(30)))]
+    assert [r.reason for r in provenance.unwritten(chunks(spark, rows)).collect()] == ["machine-made"]
