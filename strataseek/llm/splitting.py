@@ -9,6 +9,7 @@ is opened. Pieces then take over whole lines of the piece before as far as they
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,10 +24,6 @@ LIMIT = 2000
 OVERLAP_LINES = 8
 #: Room that is left for lines of the piece before.
 RESERVE = 240
-#: A file of more lines is read in sections of so many, each as if it were a file.
-SECTION_LINES = 20_000
-#: Rows of one file section that are read together.
-SECTION_ROWS = 4_000
 
 
 class Piece(NamedTuple):
@@ -112,58 +109,67 @@ def pack(lines: list[str], units: list[Unit], limit: int = LIMIT, overlap: int =
     return out
 
 
-def _file(rows: list[tuple]) -> tuple[dict[int, str], int, int]:
-    """Lines by number of what the rows hold together; first and last number."""
-    known: dict[int, str] = {}
-    for _, _, start, content in rows:
-        for i, s in enumerate(content.split("\n")):
-            known.setdefault(start + i, s)
-    return known, min(known), max(known)
-
-
-def _described(path: str | None, rows: list[tuple], limit: int) -> Iterator[tuple[tuple, list[str], list[Unit]]]:
-    """(row, its lines, the units whose own line it has, in its lines) for rows above the limit."""
-    large = [r for r in rows if len(r[3]) > limit]
+def _outline(known: dict[int, str], path: str | None) -> list[Unit]:
+    """Units of a file given as lines by number, in those numbers. Lines that no row holds
+    count as one blank line, however many they are."""
+    numbers: list[int] = []
+    lines: list[str] = []
+    for i in sorted(known):
+        if numbers and i > numbers[-1] + 1:
+            numbers.append(i - 1)
+            lines.append("")
+        numbers.append(i)
+        lines.append(known[i])
+    last = len(numbers) - 1
+    return [u._replace(start=numbers[u.start], own=numbers[u.own], end=numbers[min(u.end, last)]) for u in outline(lines, path)]
+
+
+def _described(path: str | None, known: dict[int, str], large: list[tuple]) -> Iterator[tuple[tuple, list[str], list[Unit]]]:
+    """(row, its lines, the units whose own line it has, in its lines) for the large rows of a
+    file. ``known``: the file's lines by number."""
     if not large:
         return
-    known, first, last = _file(rows)
-    units = outline([known.get(i, "") for i in range(first, last + 1)], path)
+    units = _outline(known, path)
+    owns = [u.own for u in units]
     for row in large:
         _, _, start, content = row
         lines = content.split("\n")
-        own = units
-        at = first
-        if any(known[start + i] != s for i, s in enumerate(lines)):  # another version of these lines
-            changed = {**known, **{start + i: s for i, s in enumerate(lines)}}
-            at, stop = min(changed), max(changed)
-            own = outline([changed.get(i, "") for i in range(at, stop + 1)], path)
-        shift = at - start
-        inside = [u._replace(start=max(0, u.start + shift), own=u.own + shift, end=u.end + shift) for u in own if 0 <= u.own + shift < len(lines)]
-        yield row, lines, inside
+        changed = {start + i: s for i, s in enumerate(lines) if known[start + i] != s}
+        if changed:  # another version of these lines
+            other = _outline({**known, **changed}, path)
+            own = [u for u in other if start <= u.own < start + len(lines)]
+        else:
+            own = units[bisect_left(owns, start) : bisect_left(owns, start + len(lines))]
+        yield row, lines, [u._replace(start=max(0, u.start - start), own=u.own - start, end=u.end - start) for u in own]
 
 
 def _by_file(chunks: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows with those of one file section next to each other and in order, so that repeated
-    ones stand together; one shuffle by file section."""
+    """Rows with those of one file next to each other and in order, so that repeated ones
+    stand together; one shuffle by file."""
     rows = chunks.select("id", "path", F.coalesce("start_line", F.lit(1)).alias("start_line"), F.coalesce("content", F.lit("")).alias("content"), *columns)
-    keyed = rows.withColumn("file", F.coalesce("path", F.col("id"), F.lit(""))).withColumn("section", F.floor(F.col("start_line") / SECTION_LINES))
-    return keyed.repartition("file", "section").sortWithinPartitions("file", "section", "start_line", "id", "content", "language")
+    keyed = rows.withColumn("file", F.coalesce("path", F.col("id"), F.lit("")))
+    return keyed.repartition("file").sortWithinPartitions("file", "start_line", "id", "content", "language")
 
 
-def _sections(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, list[tuple]]]:
-    """Rows (id, language, start_line, content) of one file section after the other."""
-    key, path, rows = None, None, []
+def _files(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[tuple[str | None, dict[int, str], list[tuple]]]:
+    """(path, lines by number, rows above the limit) of one file after the other; a row is
+    (id, language, start_line, content). Every file is read whole: each of its lines is
+    held once, of the rows only those above the limit."""
+    key, path, known, large, last = None, None, {}, [], None
     for pdf in batches:
-        for id_, p, start, content, language, file, section in zip(pdf["id"], pdf["path"], pdf["start_line"], pdf["content"], pdf["language"], pdf["file"], pdf["section"]):
-            if (file, section) != key or len(rows) >= SECTION_ROWS:
-                if rows:
-                    yield path, rows
-                key, path, rows = (file, section), p, []
+        for id_, p, start, content, language, file in zip(pdf["id"], pdf["path"], pdf["start_line"], pdf["content"], pdf["language"], pdf["file"]):
+            if file != key:
+                yield path, known, large
+                key, path, known, large, last = file, p, {}, [], None
             row = (id_, language, int(start), content)
-            if not rows or rows[-1] != row:
-                rows.append(row)
-    if rows:
-        yield path, rows
+            if row == last:
+                continue
+            last = row
+            for i, s in enumerate(content.split("\n"), row[2]):
+                known.setdefault(i, s)
+            if len(content) > limit:
+                large.append(row)
+    yield path, known, large
 
 
 def boundaries(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -172,8 +178,8 @@ def boundaries(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for path, rows in _sections(batches):
-            for row, _, units in _described(path, rows, limit):
+        for path, known, large in _files(batches, limit):
+            for row, _, units in _described(path, known, large):
                 out.extend((row[0], row[2] + n) for n in sorted({0, *(u.start for u in units)}))
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=["id", "line_no"])
@@ -196,8 +202,8 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP_LINES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for path, rows in _sections(batches):
-            for (id_, language, start, _), lines, units in _described(path, rows, limit):
+        for path, known, large in _files(batches, limit):
+            for (id_, language, start, _), lines, units in _described(path, known, large):
                 for n, p in enumerate(pack(lines, units, limit, overlap)):
                     out.append((id_, path, language, n, start + p.start, start + p.end - 1, p.text, start + p.own))
             if len(out) > 2_000:

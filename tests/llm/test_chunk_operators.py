@@ -137,6 +137,20 @@ def test_boundaries_use_the_file_around_a_chunk(spark):
     assert splitting.pieces(chunks(spark, [])).count() == 0
 
 
+def test_boundaries_of_a_large_file_in_many_chunks(spark):
+    lines = ["{"] + [s for k in range(5000) for s in (f'  "outer{k}": {{', '    "inner": "' + "x" * 70 + '",', '    "more": 1,', '    "last": 2', "  },")] + ['  "end": 0', "}"]
+    fenced = ["# a", "```"] + ["# no unit, " + "y" * 60] * 21_000 + ["```", "# b"]
+    rows = []
+    for path, whole in (("r/a.json", lines), ("r/a.md", fenced)):
+        rows += [(f"{path}:{i}", path, "x", i + 1, "\n".join(whole[i : i + 52])) for i in range(0, len(whole), 52)]
+        rows += [(f"{path}:{i}:again", path, "x", i + 1, "\n".join(whole[i : i + 52])) for i in range(0, len(whole), 13)]
+    rows += [("far", "r/a.md", "x", 2_000_000_000, "# far\n" + "z" * 3000)]
+    wanted = {r[0]: r for r in rows if len(r[4]) > 2000}
+    units = {"r/a.json": {k * 5 + 2 for k in range(5000)} | {25_002}, "r/a.md": {1, 21_004, 2_000_000_000}}
+    want = {(i, r[3]) for i, r in wanted.items()} | {(i, n) for i, r in wanted.items() for n in range(r[3], r[3] + r[4].count("\n") + 1) if n in units[r[1]]}
+    assert {tuple(r) for r in splitting.boundaries(chunks(spark, rows)).collect()} == want
+
+
 # credentials
 
 SECRETS = [
