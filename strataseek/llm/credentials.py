@@ -1,7 +1,7 @@
 """Problem 2: credentials in code, scripts, notes and settings.
 
-One deterministic automaton over bytes holds all token formats, key armour, connection
-strings and assignments to names of secrets. Contents are laid end to end and cut into
+One deterministic automaton over bytes finds the lines to read: it holds the beginnings of
+token formats, key armour and connection strings, and assignments to names of secrets. Contents are laid end to end and cut into
 overlapping windows that advance through its table in step, one array operation for
 each position; a hit is an absolute place, so those found twice in an overlap fall
 together. Only lines with a hit are read more closely: where the value begins and ends,
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -97,14 +98,16 @@ _RUN_TOGETHER = re.compile(r"\w*(?:password|passwd|passwort|passphrase|secret|to
 
 
 def _parts(name: str) -> list[str]:
-    return [p.lower() for p in re.findall(r"[A-Z]+(?![a-zà-ÿ])|[A-Z]?[a-zà-ÿ]+", name)]
+    name = unicodedata.normalize("NFC", name)
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "_" for c in name)
+    return [name[m.start() : m.end()].lower() for m in re.finditer(r"A+(?!a)|A?a+", kinds)]
 
 
 @lru_cache(100_000)
 def names_secret(name: str) -> bool:
     """Whether a variable, field or setting of this name holds a secret."""
     parts = _parts(name)
-    while parts and parts[-1] in AFTER and len(parts) > 1 and not (parts[-1] == "key" and parts[-2] in KEY_OWNERS):
+    while parts and parts[-1] in AFTER - SECRET_PARTS and len(parts) > 1 and not (parts[-1] == "key" and parts[-2] in KEY_OWNERS):
         parts.pop()
     if not parts or parts[-1] in ABOUT:
         return False
@@ -119,10 +122,10 @@ def names_secret(name: str) -> bool:
 
 _SECRET_STEM = (
     "[Pp][Aa][Ss][Ss]|[Pp][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Kk][Ee][Yy]|[Cc][Rr][Ee][Dd]|[Bb][Ee][Aa][Rr][Ee][Rr]|[Aa][Uu][Tt][Hh][Oo][Rr]|[Ss][Aa][Ll][Tt]"
-    "|[Pp][Ee][Pp][Pp][Ee][Rr]|[Pp][Ii][Nn]|[Cc][Ll][Aa][Vv][Ee]|[Cc][Oo][Nn][Tt][Rr][Aa][Ss][Ee]|[Ss][Ee][Nn][Hh][Aa]|[Hh][Aa][Ss][Ll][Oo]|[Kk][Ee][Nn][Nn][Ww][Oo]|[Ww][Aa][Cc][Hh][Tt][Ww]|[Hh][Mm][Aa][Cc]|[Pp][Aa][Rr][Oo][Ll]|[Gg][Ee][Hh][Ee][Ii][Mm]"
+    "|[Pp][Ee][Pp][Pp][Ee][Rr]|[Pp][Ii][Nn]|[Cc][Ll][Aa][Vv][Ee]|[Cc][Oo][Nn][Tt][Rr][Aa][Ss][Ee]|[Ss][Ee][Nn][Hh][Aa]|[Hh][Aa][Ss](?:[Ll]|\xc5[\x81\x82])[Oo]|[Kk][Ee][Nn][Nn][Ww][Oo]|[Ww][Aa][Cc][Hh][Tt][Ww]|[Hh][Mm][Aa][Cc]|[Pp][Aa][Rr][Oo][Ll]|[Gg][Ee][Hh][Ee][Ii][Mm]"
 )
 GRAMMAR = [
-    r"(?:" + _SECRET_STEM + r")[A-Za-z0-9_-]*[\"'`\])]*[ \t]*(?:[:=]|->|/ |to [\"'`]| [\"'])",
+    r"(?:" + _SECRET_STEM + r")[A-Za-z0-9_\x80-\xff-]*[\"'`\])]*[ \t]*(?:[:=]|->|/ |to [\"'`]| [\"'])",
     r"(?:A[KS]IA|AIza|gh[pousr]_|github_pat_|gl(?:pat|ptt|dt)-|xox[abeoprs]-|[rs]k_(?:live|prod|test)_|SG\.|eyJ|pat_|npm_|hf_|dop_v1_|sk-|pypi-|shp(?:at|ca|pa|ss)_|ya29\.)[A-Za-z0-9_-]{2}",
     r"://[^ \t\r\n\"'`]",
     r"PRIVATE KEY",
@@ -267,7 +270,7 @@ def hits(data: bytes) -> np.ndarray:
 
 _VALUE = r"""(?:\(?\s*(?:[A-Za-z_][\w.:]*\(\s*)*(?:new\s+)?[urbfBLR@]{0,2}(?P<q>["'`]|\\["'])(?P<s>(?:(?!(?P=q)).)*)(?P=q)|(?P<u>[^\s;,'"`(){}\[\]<>|]+)(?P<next>[(\[]?))"""
 ASSIGN = re.compile(
-    r"""(?P<k>[A-Za-zÀ-ÿ_][\wÀ-ÿ-]*)\\?["'`]?\]?\)?\s*(?P<op>:(?!:)\s*[\w:<>&'\[\]| ]{1,40}?\s*=(?![=>])|:=|=>|->|={1,3}(?![=>])|!==?|:(?!:)|,(?=\s*["'])|\s+to\s+(?=`)|\s+(?=["']))\s*""" + _VALUE
+    r"""(?P<k>[^\W\d][\w\u0300-\u036f-]*)\\?["'`]?\]?\)?\s*(?P<op>:(?!:)\s*[\w:<>&'\[\]| ]{1,40}?\s*=(?![=>])|:=|=>|->|={1,3}(?![=>])|!==?|:(?!:)|,(?=\s*["'])|\s+to\s+(?=`)|\s+(?=["']))\s*""" + _VALUE
 )
 URI = re.compile(r"[a-zA-Z][\w+.-]*://(?P<user>[^\s\"'`@/:]*):(?P<v>[^\s\"'`@/]+)@")
 USER = re.compile(r"(?:^|[\s\"'(])(?:-u|--user)[ =][\"']?(?P<user>[^\s:\"']+):(?P<v>[^\s\"'`]+)")

@@ -218,6 +218,15 @@ def test_automaton_windows_agree_with_one_search():
     assert set(one) <= set(found.tolist()) and (np.diff(found) > 0).all()
 
 
+@pytest.mark.parametrize("name", sorted(credentials.SECRET_PARTS | {"contrasen\u0303a", "moje_Hasło", "HASŁO"}))
+def test_every_name_of_a_secret_is_read(name):
+    for form in (name, name.upper(), "db_" + name):
+        for text in (f"{form} = 'Kupfer#9959x'", f"{form}: Kupfer#9959x"):
+            assert len(credentials.hits(text.encode())), text
+            (_, values), = credentials._scan(["é\n" + text])
+            assert credentials._masked("é\n" + text, values).endswith(text.replace("Kupfer#9959x", "*" * 12)[2:]), text
+
+
 # provenance
 
 
