@@ -75,7 +75,7 @@ def _flips(v: str) -> int:
 def secretish(v: str, named: bool) -> bool:
     """Whether a value is a secret. ``named``: it stands where only a secret can stand."""
     v = v.strip()
-    if not 6 <= len(v) <= 8192 or any(c.isspace() for c in v) or PLACEHOLDER.fullmatch(v) or REFERENCE.search(v) or EMBEDDED.match(v):
+    if len(v) < 6 or any(c.isspace() for c in v) or PLACEHOLDER.fullmatch(v) or REFERENCE.search(v) or EMBEDDED.match(v):
         return False
     if TOKEN.match(v):
         return "EXAMPLE" not in v and len(set(v)) > 6
@@ -284,6 +284,8 @@ COMPARE = re.compile(r"(?:[=!]==?|equals\(|eql?\?\s*\(?|compare\w*\(|strcmp\([^,
 ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 ARMOUR_END = re.compile(r"-----END [A-Z0-9 ]*(PRIVATE|PUBLIC|CERTIFICATE)[A-Z0-9 ]*-----")
 BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
+_B64 = re.compile(r"[A-Za-z0-9+/=]*[A-Za-z0-9=][A-Za-z0-9+/=]*")
+_KEY_LINE = re.compile(r"[\s\"'`+#/*|.>-]*(?P<b>[A-Za-z0-9+/=]+(?: {2,}[A-Za-z0-9+/=]+)*)[\"'`+,.\s\\;)]*")
 _PIECE = re.compile(r"""[ \t]*(?:\+|\.|\\|<<|\|\||&|\.\.)?[ \t]*\\?\r?\n[ \t]*(?:\+|\.|<<|&|\.\.)?[ \t]*[urbf]?(?P<q>["'`])(?P<s>(?:(?!(?P=q)).)*)(?P=q)""")
 _SAME = re.compile(r"""[ \t]*(?:\+|\.|<<|\|\||&|\.\.)[ \t]*(?P<q>["'`])(?P<s>(?:(?!(?P=q)).)*)(?P=q)""")
 _NUMBERS = re.compile(r"[^\n]{0,40}?[\[{(]\s*(?P<v>(?:0x[0-9a-fA-F]{1,2}|\d{1,3})(?:\s*,\s*(?:0x[0-9a-fA-F]{1,2}|\d{1,3})){5,})")
@@ -297,13 +299,13 @@ Span = tuple[int, int]
 
 def _pieces(text: str, at: int, first: Span) -> list[Span]:
     """The pieces of a string that goes on in the next ones."""
-    out, budget = [first], 8
-    while budget:
+    out = [first]
+    while True:
         m = _PIECE.match(text, at) or _SAME.match(text, at)
         if not m or not m["s"]:
             break
         out.append(m.span("s"))
-        at, budget = m.end(), budget - 1
+        at = m.end()
     return out
 
 
@@ -375,6 +377,18 @@ def _escaped(v: str) -> bool:
     return secretish(re.sub(r"\\(?:x|u00)([0-9a-fA-F]{2})", lambda m: chr(int(m[1], 16)), v), True)
 
 
+def _body(text: str, a: int, b: int) -> list[Span]:
+    """Body of a key in text[a:b]: long runs wherever they stand, and all that stands alone in its line."""
+    inner = re.sub(r"\\[nr]", "  ", text[a:b])  # escaped line ends stay
+    found = {m.span() for m in BODY.finditer(inner)}
+    at = 0
+    for line in inner.split("\n") if found else ():
+        if m := _KEY_LINE.fullmatch(line):
+            found.update((at + m.start("b") + x.start(), at + m.start("b") + x.end()) for x in _B64.finditer(m["b"]))
+        at += len(line) + 1
+    return [(a + i, a + j) for i, j in sorted(found)]
+
+
 def _armoured(text: str, start: int) -> list[Span] | None:
     """Body of a private key from its opening marker on; None if it is a mention only."""
     end = ARMOUR_END.search(text, start)
@@ -385,8 +399,7 @@ def _armoured(text: str, start: int) -> list[Span] | None:
             if stop > start and not _BODY_LINE.fullmatch(line.rstrip()) and "\\n" not in line and ":" not in line:
                 break
             stop += len(line)
-    inner = re.sub(r"\\[nr]", "  ", text[start:stop])  # escaped line ends stay
-    spans = [(start + m.start(), start + m.end()) for m in BODY.finditer(inner)]
+    spans = _body(text, start, stop)
     if spans or not text[start:stop].strip("- \r\n\"'`"):
         return spans
     return None
@@ -396,16 +409,17 @@ def spans(text: str, places: np.ndarray) -> list[list[Span]]:
     """Values of a text, each as the spans of its pieces; a value that began above the text
     is the first. ``places``: where the automaton's matches end, in characters."""
     out: list[list[Span]] = []
-    head = []
     at = 0
-    for line in text.split("\n")[:200]:
-        if not _BODY_LINE.fullmatch(line):
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        if not _BODY_LINE.fullmatch(text, at, stop):
             break
-        head.append((at, at + len(line)))
-        at += len(line) + 1
-    end = ARMOUR_END.search(text[at : at + 200]) if head else None
-    if end and end[1] == "PRIVATE" and not text[at : at + end.start()].strip(" \t\"'#/*|>-"):
-        out.append([(i + m.start(), i + m.end()) for i, j in head for m in BODY.finditer(text[i:j])] or [head[0]])
+        at = stop + 1
+    end = ARMOUR_END.search(text[at : at + 200]) if at else None
+    last = text[at : at + end.start()] if end else ""
+    if end and end[1] == "PRIVATE" and (not last.strip(" \t\"'#/*|>-") or _KEY_LINE.fullmatch(last) and last.rstrip(" \t\"'#/*|>-").count("\n") <= 1):
+        out.append(_body(text, 0, at + end.start()) or [(0, text.find("\n"))])
     else:
         lone = []
         at = 0

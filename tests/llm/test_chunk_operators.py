@@ -227,6 +227,23 @@ def test_every_name_of_a_secret_is_read(name):
             assert credentials._masked("é\n" + text, values).endswith(text.replace("Kupfer#9959x", "*" * 12)[2:]), text
 
 
+def test_values_are_followed_to_their_end():
+    import base64
+
+    rnd = random.Random(8)
+    lump = lambda n: base64.b64encode(rnd.randbytes(n)).decode()
+    pieces = [lump(9) for _ in range(30)]
+    body = [lump(48) for _ in range(300)] + ["aB3="]
+    texts = ['const passwd = "' + '" +\n  "'.join(pieces) + '";', f'api_secret = "{lump(9000)}"', "\n".join(body) + "\n-----END RSA PRIVATE KEY-----\n"]
+    texts.append("k = `-----BEGIN RSA PRIVATE KEY-----\n" + texts[-1] + "`")
+    texts.append('k = "-----BEGIN RSA PRIVATE KEY-----\\n' + "\\n".join(body) + '\\n-----END RSA PRIVATE KEY-----"')
+    for text in texts:
+        (_, values), = credentials._scan([text])
+        new = credentials._masked(text, values)
+        assert not any(p in new for p in pieces + body) and len(new) == len(text)
+        assert all(a == b for a, b in zip(text, new) if a in " \n\"'\\;-")
+
+
 # provenance
 
 
