@@ -39,7 +39,11 @@ LOOKALIKES = {
 }
 _FOLD = {ord(k): v for k, v in LOOKALIKES.items()}
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.{0,500}?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+#: Tags to their real end: names and values of attributes, whatever their length, and addresses in brackets.
+_LONG_TAG = re.compile(r"""</?[A-Za-z][\w:.-]*+(?:\s++[\w:@.*-]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++))?+|\s*+/)*+\s*+>|<[A-Za-z][A-Za-z0-9+.-]*+:[^\s<>]++>""")
+#: Targets of Markdown links and images, as an address in the text or as a reference's name.
+_TARGET = re.compile(r"""\]\(\s*+(?:<[^<>\n]*+>|(?:[^\s()]|\([^\s()]*+\))*+)(?:\s++(?:"[^"]*+"|'[^']*+'))?+\s*+\)|(?<=\])\[[^\[\]\n]*+\]""")
 _ESCAPE = re.compile(r'\\(?:u([0-9a-fA-F]{4})|([nrtbf])|(["\\/]))')
 _MARKS = re.compile("[̀-ͯ]")
 _WORD = re.compile(r"[^\W_]+")
@@ -49,12 +53,21 @@ def _unescape(m: re.Match) -> str:
     return chr(int(m[1], 16)) if m[1] else " " if m[2] else m[3]
 
 
+def _uncommented(text: str) -> str:
+    """Text without comments, each to its real end; an open one stays."""
+    parts, at = [], 0
+    while (a := text.find("<!--", at)) >= 0 and (b := text.find("-->", a + 4)) >= 0:
+        parts.append(text[at:a])
+        at = b + 3
+    return " ".join([*parts, text[at:]])
+
+
 def fold(text: str) -> str:
     """Lower case without markup, escapes, invisible characters, accents and look-alikes."""
     if "\\" in text:
         text = _ESCAPE.sub(_unescape, text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub(" ", _LONG_TAG.sub(" ", _uncommented(text)))
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
@@ -105,11 +118,14 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def _variants(text: str | None) -> list[list[str]]:
-    """Word sequences of a text: a hyphen at a line's end divides or is dropped."""
-    ws = words(text)
+    """Word sequences of a text: a hyphen at a line's end divides or is dropped, and
+    Markdown targets are words or folded away."""
+    texts = [text]
     if text and _BROKEN.search(text):
-        return [ws, words(_BROKEN.sub("", text))]
-    return [ws]
+        texts.append(_BROKEN.sub("", text))
+    if text and "](" in text or text and "][" in text:
+        texts += [_TARGET.sub("] ", t) for t in texts]
+    return [words(t) for t in dict.fromkeys(texts)]
 
 
 _BROKEN = re.compile(r"(?<=\w)[-‐‑]\r?\n[ \t>*/#|]*(?=\w)")

@@ -49,6 +49,28 @@ def test_leaks_in_many_disguises(spark):
     assert got - {(14, 100), (14, 101)} == {x for x in brute(rows, held) if x[0] != 14}
 
 
+def test_leaks_across_long_markup_and_link_targets(spark):
+    w = PASSAGE.split()
+    a, b = " ".join(w[:8]), " ".join(w[8:16])
+    long = " ".join(["lorem"] * 300)
+    rows = [
+        (1, f'{a} <a href="https://h/{"x/" * 300}" title="a > b">{b}</a>', "en"), (2, f"{a} <!-- {long} --> {b}", "en"), (3, f'{a} <img alt="{long}" src=\'data:{"A+/" * 500}\'/> {b}', "en"),
+        (4, f"{' '.join(w[:7])} [{w[7]}](https://h/{'x/' * 300} \"a title\") {b}", "en"), (5, f"{a} ![](data:image/png;base64,{'A+/' * 500}) {b}", "en"), (6, f"{' '.join(w[:7])} [{w[7]}][some reference] {b}", "en"),
+        (7, f"{a} <https://h/{'x/' * 300}> {b}", "en"), (8, f"x <y then {PASSAGE} and {long}, z> q", "en"), (9, f"{a} [not a link] (lorem) {b}", "en"), (10, f"<!-- open {PASSAGE}", "en"),
+    ]
+    got = {r.doc_id for r in leaks.leaks(docs(spark, rows), items(spark, [(100, PASSAGE)])).collect()}
+    assert got == {1, 2, 3, 4, 5, 6, 7, 8, 10}
+
+
+def test_markup_is_folded_in_linear_time():
+    import time
+
+    for s in ("<!-- ", '<a b="', "<a b='\" ", "<a ", "](", "][", "](("):
+        t = time.process_time()
+        leaks._variants(s * 50_000)
+        assert time.process_time() - t < 5, s
+
+
 def test_leaks_equal_brute_force_on_shuffled_text(spark):
     rnd = random.Random(2)
     vocab = [f"w{k}" for k in range(30)]
