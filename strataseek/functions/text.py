@@ -67,10 +67,10 @@ def literals(col: Column) -> Column:
 
 
 def language(path: Column) -> Column:
-    """Language of a path by the part behind its last dot, case-sensitive; null if unknown."""
+    """Language of a path by the part behind its last dot, case-sensitive; null if unknown
+    or without a dot."""
     known = F.create_map(*[F.lit(x) for pair in LANGUAGE_OF.items() for x in pair])
-    suffix = F.when(F.instr(path, ".") > 0, F.substring_index(path, ".", -1)).otherwise(F.right(path, F.lit(1)))
-    return F.try_element_at(known, suffix)
+    return F.try_element_at(known, F.when(F.instr(path, ".") > 0, F.substring_index(path, ".", -1)))
 
 
 def js_trim(col: Column) -> Column:

@@ -388,10 +388,11 @@ def literal_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.literals(F.col("text"))), " ").alias("literals"))
 
 
-_CASE = " ".join(f"WHEN '{ext}' THEN '{lang}'" for ext, lang in text.LANGUAGE_OF.items())
+#: From the rule: a path that ends with a dot and a known extension has that one's language.
+_LANGUAGE = "CASE " + " ".join(f"WHEN ends_with(path, '.{ext}') THEN '{lang}'" for ext, lang in text.LANGUAGE_OF.items()) + " END"
 
 
-@query(f"SELECT DISTINCT path, CASE CASE WHEN contains(path, '.') THEN string_split(path, '.')[-1] ELSE path[-1:] END {_CASE} END AS language FROM file_listing")
+@query(f"SELECT DISTINCT path, {_LANGUAGE} AS language FROM file_listing")
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "file_listing").select("path", text.language(F.col("path")).alias("language")).distinct()
 
@@ -418,7 +419,7 @@ def search_keyword_mode(spark: SparkSession, d: str) -> DataFrame:
 
 # incremental
 
-_DISK = f"""disk AS (SELECT path, language, max(mtime_ms) AS mtime_ms FROM (SELECT path, mtime_ms, CASE CASE WHEN contains(path, '.') THEN string_split(path, '.')[-1] ELSE path[-1:] END {_CASE} END AS language FROM file_listing WHERE is_file) WHERE language IS NOT NULL GROUP BY path, language)"""
+_DISK = f"""disk AS (SELECT path, language, max(mtime_ms) AS mtime_ms FROM (SELECT path, mtime_ms, {_LANGUAGE} AS language FROM file_listing WHERE is_file) WHERE language IS NOT NULL GROUP BY path, language)"""
 _STORED = "stored AS (SELECT path, max(mtime) AS stored FROM files GROUP BY path)"
 _CHANGED = f"{_DISK}, {_STORED}, changed AS (SELECT disk.path, language, mtime_ms, floor(stored)::BIGINT AS stored_ms FROM disk LEFT JOIN stored ON disk.path = stored.path WHERE stored IS NULL OR mtime_ms IS NULL OR mtime_ms <> floor(stored))"
 
