@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,17 +42,23 @@ LABELS = {
 ALIASES = {alias: code for code, names in LABELS.items() for alias in names.split()}
 
 
-def label_code(label):
-    """Two-letter code of a label in any spelling (region and script dropped); null if it is unusable."""
+def label_code(label, langs: list[str] = ()):
+    """Two-letter code of a label in any spelling (region and script dropped); null if it is
+    unusable. ``langs``: codes of further languages, which stand for themselves."""
     base = F.split(F.lower(F.trim(label)), "[-_.@ ]").getItem(0)
-    table_ = F.create_map(*[x for pair in ALIASES.items() for x in map(F.lit, pair)])
+    table_ = F.create_map(*[x for pair in ({x.lower(): x for x in langs} | ALIASES).items() for x in map(F.lit, pair)])
     return table_[F.coalesce(base, F.lit(""))]
 
 
+#: Letters stand below this code point.
+LETTERS_END = 0x32400
+
+
+@lru_cache(1)
 def _symbols() -> np.ndarray:
     """Code point -> symbol: 0 divides words, 1-26 are the letters a-z, the rest share 101 more."""
-    lut = np.zeros(0x10000, np.uint8)
-    for cp in range(0x80, 0x10000):
+    lut = np.zeros(LETTERS_END, np.uint8)
+    for cp in range(0x80, LETTERS_END):
         ch = chr(cp)
         if ch.isalpha():
             low = ord(ch.lower()[0])
@@ -95,6 +102,9 @@ class Profiles:
     def points(self, text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
+    def symbols(self, cp: np.ndarray) -> np.ndarray:
+        return np.where(cp < LETTERS_END, self.lut[np.minimum(cp, LETTERS_END - 1)], 0)
+
 
 def groups(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the letter groups and the places of their middle letters; runs of dividers give none."""
@@ -105,9 +115,16 @@ def groups(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[at - 1] * SYMBOLS**2 + s[at] * SYMBOLS + s[at + 1], at
 
 
-def _count(prof: Profiles, text: str) -> tuple[np.ndarray, np.ndarray]:
-    cp = prof.points(text)
-    return np.unique(groups(np.where(_masked(cp), 0, prof.lut[np.minimum(cp, 0xFFFF)]))[0], return_counts=True)
+def _count(prof: Profiles, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letter groups of texts and their counts, taken in blocks of bounded size."""
+    codes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a, b in _blocks(texts):
+        cp = prof.points("\n".join(texts[a:b]))
+        c, n = np.unique(groups(np.where(_masked(cp), 0, prof.symbols(cp)))[0], return_counts=True)
+        codes.append(c)
+        counts.append(n)
+    every, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return every, np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
 
 
 def _counts(pairs: Iterator[tuple[str, str]], prof: Profiles) -> pd.DataFrame:
@@ -115,7 +132,7 @@ def _counts(pairs: Iterator[tuple[str, str]], prof: Profiles) -> pd.DataFrame:
     by: dict[str, list[str]] = {}
     for lang, text in pairs:
         by.setdefault(lang, []).append(text)
-    parts = {lang: _count(prof, "\n".join(texts)) for lang, texts in by.items()}
+    parts = {lang: _count(prof, texts) for lang, texts in by.items()}
     none = np.empty(0, np.int64)
     return pd.DataFrame({
         "lang": np.repeat(np.array(list(parts), object), [len(c) for c, _ in parts.values()]),
@@ -168,7 +185,7 @@ def refit(docs: DataFrame, samples: DataFrame, most: int = REFIT_DOCUMENTS) -> t
     if not first[0]:
         return first
     buckets = max(1, -(-docs.count() // most))
-    taken = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)) == 0).select("text", label_code(F.col("lang")).alias("lang")).dropna()
+    taken = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)) == 0).select("text", label_code(F.col("lang"), first[0]).alias("lang")).dropna()
     model = docs.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,7 +194,7 @@ def refit(docs: DataFrame, samples: DataFrame, most: int = REFIT_DOCUMENTS) -> t
             texts = [t.replace("\x00", " ") for t in pdf["text"]]
             labels = pdf["lang"].tolist()
             for a, b in _blocks(texts):
-                s = _sentences(texts[a:b], prof)
+                s = _read(texts[a:b], prof)
                 if not len(s):
                     continue
                 s = s[~s["heading"]]
@@ -257,14 +274,15 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return change, np.cumsum(run)
 
 
-def _sentences(texts: list[str], prof: Profiles) -> pd.DataFrame:
+def _sentences(texts: list[str], prof: Profiles, fences: list[tuple[int, int]] | None = None) -> pd.DataFrame:
     """One row for each sentence with letters: doc (place in the batch), para, start, end
-    (code points), n (letter groups), heading, and a column of scores for each language."""
-    text = "\n" + "\x00".join(texts)  # so that the first letter has one before it
+    (code points), n (letter groups), heading, and a column of scores for each language.
+    ``fences``: the fenced spans of the one text, where they are known already."""
+    text = "\n" + "\x00".join(texts) + "\x00"  # so that the first and last letters have neighbours
     cp = prof.points(text)
-    sym = prof.lut[np.minimum(cp, 0xFFFF)]
+    sym = prof.symbols(cp)
     sym = np.where(_masked(cp), 0, sym)
-    for a, b in _fences(text):
+    for a, b in _fences(text) if fences is None else [(max(0, x + 1), max(0, y + 1)) for x, y in fences]:
         sym[a:b] = 0
     newline, zero = cp == 10, cp == 0
     stop = ((cp == 46) | (cp == 33) | (cp == 63)) & np.concatenate([(cp[1:] <= 32) | (cp[1:] == 34) | (cp[1:] == 41), [True]])
@@ -367,32 +385,46 @@ def stretches(docs: DataFrame, samples: DataFrame) -> DataFrame:
         if not prof.langs:
             return
         for pdf in batches:
-            parts = [(i, a, part) for i, t in zip(pdf["doc_id"], pdf["text"]) for a, part in _parts((t or "").replace("\x00", " "))]
-            ids, offsets, texts = np.array([x[0] for x in parts], object), np.array([x[1] for x in parts], np.int64), [x[2] for x in parts]
+            ids, texts = pdf["doc_id"].to_numpy(), [(t or "").replace("\x00", " ") for t in pdf["text"]]
             for a, b in _blocks(texts):
-                s = _sentences(texts[a:b], prof)
+                s = _read(texts[a:b], prof)
                 if len(s):
                     g = _stretches(s, prof.langs)
-                    at = a + g["doc"].to_numpy()
-                    yield pd.DataFrame({"doc_id": ids[at], "start_char": g["start"] + offsets[at], "end_char": g["end"] + offsets[at], "lang": g["lang"], "confidence": g["confidence"], "sentences": g["sentences"], "paragraphs": g["paragraphs"], "letter_groups": g["groups"]})
+                    yield pd.DataFrame({"doc_id": ids[a + g["doc"].to_numpy()], "start_char": g["start"], "end_char": g["end"], "lang": g["lang"], "confidence": g["confidence"], "sentences": g["sentences"], "paragraphs": g["paragraphs"], "letter_groups": g["groups"]})
 
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
-def _parts(text: str, most: int = 1_000_000) -> Iterator[tuple[int, str]]:
-    """(offset, part) of a text; one above ``most`` characters is read in parts that end with
-    a paragraph, else a line, so that memory doesn't grow with it. Nothing is left out."""
-    a = 0
-    while len(text) - a > most:
-        cut_at = max(text.rfind("\n\n", a, a + most), text.rfind("\n", a + most // 2, a + most)) + 1
-        cut_at = cut_at if cut_at > a else a + most
-        yield a, text[a:cut_at]
-        a = cut_at
-    yield a, text[a:]
-
-
-def _blocks(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` characters, so that arrays stay small; one text is never divided."""
+#: Characters that are turned into arrays at once; a longer text is read line by line in parts.
+BLOCK = 1_000_000
+
+_BLANK_LINE = re.compile(r"^[\x00-\x09\x0b-\x20\ufeff]*\n", re.M)
+
+
+def _read(texts: list[str], prof: Profiles) -> pd.DataFrame:
+    """Sentences of a block of texts. One text above BLOCK characters is read in parts that end
+    with a line, which changes nothing: sentences and names end with their line, fences are
+    found in the whole text before, and paragraphs are numbered on from part to part. So
+    its stretches are those of one reading, and memory grows with its sentences only."""
+    if len(texts) != 1 or len(texts[0]) <= BLOCK:
+        return _sentences(texts, prof)
+    text, out, a, blank = texts[0], [], 0, 0
+    fences = _fences(text)
+    while a < len(text):
+        b = text.rfind("\n", a, a + BLOCK) + 1 or text.find("\n", a + BLOCK) + 1 or len(text)
+        part = text[a:b]
+        s = _sentences([part], prof, [(x - a, y - a) for x, y in fences if x < b and y > a])
+        if len(s):
+            out.append(s.assign(start=s["start"] + a, end=s["end"] + a, para=s["para"] + blank))
+        blank += len(_BLANK_LINE.findall(part))
+        a = b
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
+
+
+def _blocks(texts: list[str], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of texts of up to ``most`` characters, so that arrays stay small; one text is never
+    divided, and one above it is a block of its own."""
+    most = most or BLOCK
     a, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
@@ -425,8 +457,9 @@ def languages(docs: DataFrame, samples: DataFrame) -> DataFrame:
 
 def found(docs: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, lang) of documents with a missing, unusable or wrong label or several languages."""
+    known = [r[0] for r in samples.select("lang").dropna().distinct().collect()]  # one row for each language
     langs = languages(docs, samples).groupBy("doc_id").agg(F.collect_set("lang").alias("langs"))
-    labels = docs.select("doc_id", label_code(F.col("lang")).alias("label"))
+    labels = docs.select("doc_id", label_code(F.col("lang"), known).alias("label"))
     return (
         labels.join(langs, "doc_id")
         .where((F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.col("label")))

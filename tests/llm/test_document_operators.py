@@ -179,15 +179,32 @@ def test_stretches_cover_their_text(spark):
         assert got == set(re.findall(r"\w+", " ".join(SENTENCES[la][:3]))) and 0.5 < r.confidence <= 1
 
 
-def test_long_texts_are_read_in_parts(spark):
-    whole = "\n\n".join([" ".join(SENTENCES["en"])] * 40)
-    parts = list(languages._parts(whole, 1000))
-    assert "".join(t for _, t in parts) == whole and all(whole[a : a + len(t)] == t and len(t) <= 1000 for a, t in parts) and len(parts) > 5
-    assert [len(t) for _, t in languages._parts("x" * 2500, 1000)] == [1000, 1000, 500]
+def test_long_texts_give_what_one_reading_gives(spark, monkeypatch):
+    """Fences, paragraphs and names across the edge of a part, and lines longer than a part."""
+    en, de, ru = (" ".join(SENTENCES[x]) for x in ("en", "de", "ru"))
+    fence = "```\n" + f"{de}\n\n" * 9 + "```"
+    text = f"{en}\n\n{ru}\n{en}\n\n{fence}\n{en} `{ru}` some_name.x\n# {de}\n\n{ru * 4}\n\n\n  \n{de}\n{en}\n\n~~~\n{ru}"
+    prof = languages.Profiles(*languages.fit(samples(spark)))
+    whole = languages._stretches(languages._sentences([text], prof), prof.langs)
+    for size in (50, 333, 700, 1500):
+        monkeypatch.setattr(languages, "BLOCK", size)
+        got = languages._stretches(languages._read([text], prof), prof.langs)
+        same = [c for c in whole.columns if c != "confidence"]
+        assert got[same].equals(whole[same]) and np.allclose(got["confidence"], whole["confidence"])
+        assert [b - a for a, b in languages._blocks(["x", text, "y", "z"])] == [1, 1, 2]
+    monkeypatch.undo()
+    assert "de" not in set(whole["lang"][whole["start"] < text.index("some_name")])
     out = languages.stretches(docs(spark, [(1, "x y z " * 10 + "\n\n" + "\n\n".join([" ".join(SENTENCES["ru"])] * 6000), "ru")]), samples(spark)).collect()
     assert {r.lang for r in out if r.letter_groups > 100} == {"ru"} and max(r.end_char for r in out) > 1_000_000
 
 
+def test_label_of_a_language_beyond_the_list(spark):
+    rows = [(k, "sv", "Det gamla beteendet kan återställas men ska inte längre behövas av någon.") for k in range(3)]
+    both = samples(spark).unionByName(samples(spark, rows))
+    got = languages.found(docs(spark, [(1, rows[0][2], "sv"), (2, rows[0][2], "en")]), both).collect()
+    assert {tuple(r) for r in got} == {(2, "sv")}
+
+
 def test_languages_of_empty_tables(spark):
     assert languages.found(docs(spark, []), samples(spark)).count() == 0
     assert languages.found(docs(spark, [(1, "some text here", None)]), samples(spark, [])).count() == 0
@@ -197,7 +214,7 @@ def test_group_scores_equal_bundles():
     rng = np.random.default_rng(1)
     protos = rng.standard_normal((3, languages.DIM))
     prof = languages.Profiles(["a", "b", "c"], protos)
-    codes, _ = languages.groups(prof.lut[np.minimum(prof.points("the quick brown fox über"), 0xFFFF)])
+    codes, _ = languages.groups(prof.symbols(prof.points("the quick brown fox über")))
     bundle = prof.bind(codes).astype(np.float64).sum(0)
     rows = prof.rows(codes)
     assert np.allclose(prof.scores[rows].sum(0), bundle @ prof.protos, rtol=1e-3, atol=0.5)
