@@ -1,12 +1,14 @@
 """Problem 3: the k most similar vectors of every vector.
 
-Distinct vectors are routed into shards of about ``SHARD_ROWS`` rows, by several
-clusterings that were each fitted on a sample of bounded size; two near vectors part in
-one of them, rarely in all. Each shard holds a hierarchical navigable small-world
-graph as flat arrays of neighbour numbers; every member searches its shards' graphs,
-exact distances order what the graph finds, and the shards' lists are merged. Equal
-vectors are one node with their six smallest ids, so a value that a third of all rows
-share stays one row of one shard.
+Distinct vectors are routed into cells around centres of unit length; a vector is a node of
+the COPIES nearest cells and asks the PROBES nearest ones, so two near vectors rarely have
+no cell in common. The number of cells grows with the table. Centres are fitted on bounded
+samples in two levels: coarse ones on the driver, and within each of them fine ones in
+tasks. Each cell holds a hierarchical navigable small-world graph as flat arrays of
+neighbour numbers, into which rows are inserted by searching it; exact distances order
+what the graph finds, and the lists of a vector's cells are merged. Equal vectors are one
+node with their six smallest ids, so a value that a third of all rows share stays one
+row of a cell.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from strataseek.functions.runtime import cut, table
 
 DIM = 768
 K = 5
-TABLES = 3
-SHARD_ROWS = 1000
-MOST_SHARDS = 2048
-SAMPLE = 20_000
-#: Members of one graph; a larger shard is divided by hash, and each part is searched by all.
-GRAPH_ROWS = 20_000
+#: Cells of which a vector is a node, and those of them that it asks.
+COPIES, PROBES = 4, 3
+#: Vectors for each cell, so a graph has about COPIES times as many nodes.
+CELL_ROWS = 1000
+#: Centres that the driver fits, and the vectors it fits them on.
+COARSE, SAMPLE = 256, 20_000
+#: Fine centres in all (which are broadcast, 1.5 kB each), and the vectors each is fitted on.
+MOST_CELLS, FINE_SAMPLE = 32_768, 40
 PROJECTED = 64
 SEED = 11
 
@@ -91,27 +95,58 @@ def _rotation(dim: int) -> np.ndarray:
     return (np.random.default_rng(SEED).standard_normal((dim, PROJECTED)) / np.sqrt(PROJECTED)).astype(np.float32)
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    half = (centres**2).sum(1) / 2
-    return np.concatenate([np.empty(0, np.int64), *((half[None] - x[i : i + 4096] @ centres.T).argmin(1) for i in range(0, len(x), 4096))])
-
-
-def fit_centres(sample: np.ndarray, shards: int, tables: int = TABLES, rounds: int = 3) -> np.ndarray:
-    """Centres of ``tables`` clusterings (scaled to unit length, which keeps shards even),
-    each started from other rows and refined on its own part of the sample."""
-    out = []
-    for t in range(tables):
-        rng = np.random.default_rng(SEED + t)
-        own = sample[rng.permutation(len(sample))[: max(shards, len(sample) * 2 // 3)]]
-        centres = own[:shards].copy()
-        for _ in range(rounds):
-            home = _nearest(own, centres)
-            order = np.argsort(home, kind="stable")
-            used, first = np.unique(home[order], return_index=True)
-            centres[used] = np.add.reduceat(own[order], first, axis=0)
-            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-        out.append(centres)
-    return np.stack(out)
+def _nearest(x: np.ndarray, centres: np.ndarray, most: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of each row's nearest centres (of unit length) and their products, nearest first."""
+    most = min(most, len(centres))
+    at, near = [np.empty((0, most), np.int64)], [np.empty((0, most), np.float32)]
+    for i in range(0, len(x), 4096):
+        p = x[i : i + 4096] @ centres.T
+        got = np.argpartition(-p, most - 1, axis=1)[:, :most]
+        got = np.take_along_axis(got, np.argsort(-np.take_along_axis(p, got, 1), axis=1, kind="stable"), 1)
+        at.append(got)
+        near.append(np.take_along_axis(p, got, 1))
+    return np.concatenate(at), np.concatenate(near)
+
+
+def fit_centres(sample: np.ndarray, cells: int, rounds: int = 4) -> np.ndarray:
+    """Centres of a sample by k-means, scaled to unit length, which keeps cells even."""
+    cells = max(1, min(cells, len(sample)))
+    centres = sample[np.random.default_rng(SEED).permutation(len(sample))[:cells]].copy()
+    for _ in range(rounds):
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        home = _nearest(sample, centres)[0][:, 0]
+        order = np.argsort(home, kind="stable")
+        used, first = np.unique(home[order], return_index=True)
+        centres[used] = np.add.reduceat(sample[order], first, axis=0)
+    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+
+
+class Cells:
+    """Centres in two levels; a coarse centre without fine ones is a cell itself."""
+
+    def __init__(self, coarse: np.ndarray, fine: dict[int, np.ndarray] | None = None):
+        self.coarse = coarse
+        self.fine = [(fine or {}).get(c, coarse[c : c + 1]) for c in range(len(coarse))]
+        self.first = np.concatenate([[0], np.cumsum([len(f) for f in self.fine])]).astype(np.int32)
+
+    def nearest(self, x: np.ndarray, most: int) -> np.ndarray:
+        """Numbers of each row's nearest cells, nearest first, -1 where there are fewer. Fine
+        centres are looked for in the ``most`` nearest coarse cells."""
+        at, near = _nearest(x, self.coarse, most)
+        if self.first[-1] == len(self.coarse):
+            found = at
+        else:
+            ids = np.full((len(x), at.shape[1] * most), -1, np.int64)
+            score = np.full(ids.shape, -np.inf, np.float32)
+            for c in np.unique(at):
+                r, j = np.nonzero(at == c)
+                got, p = _nearest(x[r], self.fine[c].astype(np.float32), most)
+                place = j[:, None] * most + np.arange(got.shape[1])
+                ids[r[:, None], place] = got + self.first[c]
+                score[r[:, None], place] = p
+            order = np.argsort(-score, axis=1, kind="stable")[:, :most]
+            found = np.take_along_axis(ids, order, 1)
+        return np.pad(found, ((0, 0), (0, most - found.shape[1])), constant_values=-1).astype(np.int32)
 
 
 # the graph
@@ -120,9 +155,10 @@ def fit_centres(sample: np.ndarray, shards: int, tables: int = TABLES, rounds: i
 class Graph:
     """Hierarchical navigable small-world graph over the rows of ``x``: for each level an
     array of neighbour numbers, -1 where a row has fewer. Rows are inserted in blocks: a
-    row's candidates are what a search of the graph so far finds and the block's own rows."""
+    row's candidates are what a search of the graph so far finds and the few rows of its
+    block, which is far smaller than the graph."""
 
-    def __init__(self, x: np.ndarray, links: int = 12, ef: int = 32, block: int = 1024):
+    def __init__(self, x: np.ndarray, links: int = 12, ef: int = 32, block: int = 128):
         self.x, self.norm, self.ef, self.m = x, (x**2).sum(1), ef, links
         rng = np.random.default_rng(SEED)
         n = len(x)
@@ -206,48 +242,53 @@ class Graph:
         if (~fits).any():
             self.links[lv][to[~fits]] = self._choose(to[~fits], full[~fits], width)
 
-    def beam(self, q: np.ndarray, start: np.ndarray, lv: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """Beam search of one level for all queries in step: (rows, distances), nearest first."""
+    def beam(self, q: np.ndarray, start: np.ndarray, lv: int, ef: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Beam search of one level for all queries side by side: (rows, distances), nearest
+        first. Each round opens the ``step`` nearest rows of a beam that are still unopened."""
         b, n = len(q), len(self.x)
         width = max(ef, start.shape[1])
         ids = np.full((b, width), -1, np.int64)
         dist = np.full((b, width), np.inf, np.float32)
-        seen = np.zeros((b, n), bool)
-        ids[:, : start.shape[1]] = start
-        ok = start >= 0
-        r, c = np.nonzero(ok)
-        dist[r, c] = self.norm[start[r, c]] - 2 * (self.x[start[r, c]] * q[r]).sum(1)
-        same = np.zeros_like(ok)
+        seen = np.zeros((b, n + 1), bool)
+        seen[:, n] = True  # the place of a missing neighbour, -1
+        fresh = start >= 0
         for j in range(1, start.shape[1]):
-            same[:, j] = (start[:, j : j + 1] == start[:, :j]).any(1)
-        dist[:, : start.shape[1]][same] = np.inf
-        seen[r, start[r, c]] = True
-        opened = np.zeros((b, width), bool)
+            fresh[:, j] &= (start[:, j : j + 1] != start[:, :j]).all(1)
+        r, c = np.nonzero(fresh)
+        v = start[r, c]
+        ids[r, c] = v
+        dist[r, c] = self.norm[v] - 2 * np.einsum("ij,ij->i", self.x[v], q[r])
+        seen[r, v] = True
+        todo = dist.copy()  # distances of the rows that are not opened yet
         links = self.links[lv]
         live = np.arange(b)
-        while len(live):
-            open_d = np.where(opened[live], np.inf, dist[live])
-            j = open_d.argmin(1)
-            on = np.isfinite(open_d[np.arange(len(live)), j])
-            live, j = live[on], j[on]
+        while True:
+            j = np.argpartition(todo[live], min(step, width) - 1, axis=1)[:, :step]
+            near = np.take_along_axis(todo[live], j, 1)
+            on = np.isfinite(near).any(1)
+            live, j, near = live[on], j[on], near[on]
             if not len(live):
                 break
-            opened[live, j] = True
-            nb = links[ids[live, j]]
-            r, c = np.nonzero((nb >= 0) & ~seen[live[:, None], np.maximum(nb, 0)])
+            todo[live[:, None], j] = np.inf
+            opened = np.where(np.isfinite(near), ids[live[:, None], j], -1)
+            found = np.where((opened >= 0)[:, :, None], links[opened], -1).reshape(len(live), -1)
+            r, c = np.nonzero(~seen[live[:, None], found])
+            # a row that is found twice in a round counts once
+            _, first = np.unique(live[r] * (n + 1) + found[r, c], return_index=True)
+            r, c = r[first], c[first]
             if not len(r):
                 continue
-            v, row = nb[r, c], live[r]
+            v, row = found[r, c], live[r]
             seen[row, v] = True
-            d = np.full(nb.shape, np.inf, np.float32)
+            d = np.full(found.shape, np.inf, np.float32)
             d[r, c] = self.norm[v] - 2 * np.einsum("ij,ij->i", self.x[v], q[row])
             has = np.unique(r)
-            lh = live[has]
-            all_d = np.concatenate([dist[lh], d[has]], axis=1)
-            keep = np.argpartition(all_d, width - 1, axis=1)[:, :width]
-            dist[lh] = np.take_along_axis(all_d, keep, 1)
-            ids[lh] = np.take_along_axis(np.concatenate([ids[lh], nb[has]], axis=1), keep, 1)
-            opened[lh] = np.take_along_axis(np.concatenate([opened[lh], np.zeros(nb[has].shape, bool)], axis=1), keep, 1)
+            rows, d, at = live[has], d[has], np.arange(len(has))[:, None]
+            every = np.concatenate([dist[rows], d], axis=1)
+            keep = np.argpartition(every, width - 1, axis=1)[:, :width]
+            dist[rows] = every[at, keep]
+            ids[rows] = np.concatenate([ids[rows], found[has]], axis=1)[at, keep]
+            todo[rows] = np.concatenate([todo[rows], d], axis=1)[at, keep]
         order = np.argsort(dist, axis=1, kind="stable")
         dist = np.take_along_axis(dist, order, 1)
         return np.where(np.isfinite(dist), np.take_along_axis(ids, order, 1), -1), dist
@@ -256,93 +297,74 @@ class Graph:
         """Rows near each query, nearest first, -1 where there are fewer. ``own``: the queries'
         own rows, -1 of no member; a search starts there as well."""
         out = []
-        for i in range(0, len(q), 1024):
-            part = q[i : i + 1024]
+        for i in range(0, len(q), 512):
+            part = q[i : i + 512]
             at = np.full((len(part), 1), self.entry)
             for lv in range(int(self.level[self.entry]), 0, -1):
                 at = self.beam(part, at, lv, 1)[0][:, :1]
             if own is not None:
-                at = np.concatenate([at, own[i : i + 1024, None]], axis=1)
+                at = np.concatenate([at, own[i : i + 512, None]], axis=1)
             out.append(self.beam(part, at, 0, ef)[0])
         return np.concatenate(out)
 
 
-def _shard_lists(keys: np.ndarray, x: np.ndarray, role: np.ndarray, rotation: np.ndarray, k: int) -> list[tuple[bytes, list, list]]:
-    """For each row that searches its nearest nodes, with all that tie with the k-th: the
-    graph finds candidates, exact distances order them."""
-    node, asks = np.flatnonzero(role != QUERY), np.flatnonzero(role != NODE)
-    if not len(node) or not len(asks):
-        return []
-    low = x @ rotation
-    graph = Graph(low[node])
-    place = np.full(len(x), -1)
-    place[node] = np.arange(len(node))
+def cell_lists(x: np.ndarray, asks: np.ndarray, low: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, nearest other rows, distances) of the rows of a cell that ask, with all that tie
+    with the k-th: the graph over ``low`` finds candidates, exact distances order them."""
+    if not len(asks):
+        return
+    graph = Graph(low)
     # sums of products of small multiples of 1/128 are exact in single precision
     single = (x**2).sum(1).max() * 4 < 1024 and not (x * 128 % 1).any()
-    wide = x.astype(np.float32 if single else np.float64)
-    norm = (wide**2).sum(1)
-    out = []
-    for i in range(0, len(asks), 512):
-        rows = asks[i : i + 512]
-        f = graph.search(low[rows], own=place[rows])
-        cand = np.where(f < 0, -1, node[f])
-        d = norm[rows][:, None] + norm[cand] - 2 * np.matmul(wide[cand], wide[rows][:, :, None])[:, :, 0]
-        d = np.where((cand < 0) | (cand == rows[:, None]), np.inf, np.maximum(d, 0))
+    wide = x if single else x.astype(np.float64)
+    for i in range(0, len(asks), 256):
+        rows = asks[i : i + 256]
+        cand = graph.search(low[rows], own=rows)
+        # differences, so that a pair has one distance in every cell
+        apart = wide[cand] - wide[rows][:, None]
+        d = np.einsum("ijk,ijk->ij", apart, apart)
+        d = np.where((cand < 0) | (cand == rows[:, None]), np.inf, d)
         last = np.sort(d, axis=1)[:, min(k, d.shape[1]) - 1]
         take = (d <= last[:, None]) & np.isfinite(d)
         for row, c, dd, t in zip(rows, cand, d, take):
-            out.append((keys[row], keys[c[t]].tolist(), dd[t].astype(float).tolist()))
-    return out
-
-
-#: What a row does in a group: it only searches, is a node and searches, is only a node.
-QUERY, BOTH, NODE = 0, 1, 2
-
-
-def _divided(home: np.ndarray, parts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(rows, part, slice, role) of rows whose shard has more than one part. Each part has a
-    graph of its own; all rows of the shard search it, those of each other part in a slice."""
-    out = []
-    for other in range(int(parts.max(initial=0))):
-        rows = np.flatnonzero(other < parts)
-        mine = home[rows] == other
-        out.append((rows[mine], home[rows[mine]], home[rows[mine]], BOTH))
-        out.append((rows[~mine], home[rows[~mine]], np.full((~mine).sum(), other), NODE))
-        out.append((rows[~mine], np.full((~mine).sum(), other), home[rows[~mine]], QUERY))
-    return out
-
-
-def _routed(distinct: DataFrame, dim: int) -> DataFrame:
-    """One row for each vector and table: tab, shard, part, slice, key, vec, role. A shard
-    that, by its share of the sample, has more than about GRAPH_ROWS rows is divided by hash."""
-    spark = distinct.sparkSession
-    n = distinct.count()
-    shards = int(min(MOST_SHARDS, max(1, n // SHARD_ROWS)))
-    buckets = max(1, n // SAMPLE)
-    rows = distinct.where(F.pmod(F.xxhash64("key"), F.lit(buckets)) == 0).select("vec").limit(2 * SAMPLE).collect()
-    sample = decode([r.vec for r in rows])
-    shards = min(shards, max(1, len(sample) // 4))
-    centres = fit_centres(sample, shards) if shards > 1 else np.zeros((1, 1, sample.shape[1]), np.float32)
-    share = np.stack([np.bincount(_nearest(sample, c), minlength=shards) / max(1, len(sample)) for c in centres])
-    parts = np.maximum(1, np.ceil(share * n / GRAPH_ROWS)).astype(np.int32)
-    shared = spark.sparkContext.broadcast((centres, parts))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield row, c[t], dd[t].astype(float)
+
+
+def _sampled(chunks: DataFrame, dim: int, n: int, most: int) -> DataFrame:
+    """About ``most`` of n distinct vectors, by the hash of their id: key, vec."""
+    share = F.pmod(F.xxhash64("id"), F.lit(max(1, n // most))) == 0
+    return packed(chunks.where(share), dim).where("key IS NOT NULL").select("key", "vec").dropDuplicates(["key"])
+
+
+def fit_cells(chunks: DataFrame, dim: int, n: int) -> Cells:
+    """Cells for n distinct vectors. What reaches the driver is at most 2 x SAMPLE vectors and
+    MOST_CELLS centres in half precision."""
+    cells = int(min(MOST_CELLS, n // CELL_ROWS))
+    if cells <= COPIES:
+        return Cells(np.zeros((1, dim), np.float32))
+    sample = decode([r.vec for r in _sampled(chunks, dim, n, SAMPLE).select("vec").limit(2 * SAMPLE).collect()])
+    if not len(sample):
+        return Cells(np.zeros((1, dim), np.float32))
+    coarse = fit_centres(sample, min(cells, COARSE))
+    if cells <= COARSE:
+        return Cells(coarse)
+    share = np.bincount(_nearest(sample, coarse)[0][:, 0], minlength=len(coarse)) / len(sample)
+    wanted = np.maximum(1, np.rint(share * cells)).astype(int)
+    shared = chunks.sparkSession.sparkContext.broadcast((coarse, wanted))
+
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = decode(pdf["vec"])
-            hashed = np.array([int.from_bytes(k[:4], "little") for k in pdf["key"]])
-            for t, c in enumerate(shared.value[0]):
-                shard = _nearest(x, c).astype(np.int32)
-                of = shared.value[1][t][shard]
-                one = np.flatnonzero(of == 1)
-                zero = np.zeros(len(one), int)
-                for at, part, piece, role in [(one, zero, zero, BOTH), *_divided(hashed % of, np.where(of > 1, of, 0))]:
-                    if len(at):
-                        yield pd.DataFrame({"tab": t, "shard": shard[at], "part": part, "slice": piece, "key": pdf["key"].to_numpy()[at], "vec": pdf["vec"].to_numpy()[at], "role": role})
+            if len(pdf):
+                yield pd.DataFrame({"coarse": _nearest(decode(pdf["vec"]), shared.value[0])[0][:, 0].astype(np.int32), "vec": pdf["vec"]})
 
-    return distinct.select("key", "vec").mapInPandas(run, "tab int, shard int, part int, slice int, key binary, vec binary, role int")
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = int(pdf["coarse"].iloc[0])
+        centres = fit_centres(decode(pdf["vec"]), int(shared.value[1][c]))
+        return pd.DataFrame({"coarse": [c], "fine": [centres.astype(np.float16).tobytes()]})
+
+    drawn = _sampled(chunks, dim, n, cells * FINE_SAMPLE).select("vec").mapInPandas(home, "coarse int, vec binary")
+    fine = drawn.groupBy("coarse").applyInPandas(fit, "coarse int, fine binary").collect()
+    return Cells(coarse, {r.coarse: np.frombuffer(r.fine, np.float16).reshape(-1, dim) for r in fine})
 
 
 def neighbours(chunks: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
@@ -353,8 +375,9 @@ def neighbours(chunks: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
     rows disagree in content, take no part; repeated rows count once; of an id with
     several usable vectors the one of the smallest bytes counts. Fewer than k other ids:
     all of them. Other columns are ignored; an empty table gives no rows. Approximate: a
-    neighbour that shares no shard with the id in any clustering is missed.
+    neighbour that is a node of none of the cells that the id asks is missed.
     """
+    spark = chunks.sparkSession
     rows = packed(chunks, dim)
     ids = cut(
         rows.select("id", "h", "key")
@@ -366,35 +389,47 @@ def neighbours(chunks: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
     first = Window.partitionBy("key").orderBy("id")
     heads = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     groups = cut(heads.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    reps = groups.select(F.col("ids")[0].alias("id"), "key")
+    n = groups.count()
+    if not n:
+        return spark.createDataFrame([], "id string, neighbour string, distance double")
+    cells = spark.sparkContext.broadcast(fit_cells(chunks, dim, n))
+    rotation = spark.sparkContext.broadcast(_rotation(dim))
     vectors = rows.where("key IS NOT NULL").select("id", "key", "vec").dropDuplicates(["id", "key"])
-    distinct = cut(vectors.join(reps, ["id", "key"]).select("key", "vec"))
-    routed = _routed(distinct, dim)
-    rotation = chunks.sparkSession.sparkContext.broadcast(_rotation(dim))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = _shard_lists(pdf["key"].to_numpy(), decode(pdf["vec"]), pdf["role"].to_numpy(), rotation.value, k)
-        return pd.DataFrame(lists, columns=["key", "others", "d"])
-
-    lists = routed.groupBy("tab", "shard", "part", "slice").applyInPandas(run, "key binary, others array<binary>, d array<double>")
-    pairs = lists.select("key", F.explode(F.arrays_zip("d", "others")).alias("c")).select("key", F.col("c.d").alias("d"), F.col("c.others").alias("other"))
-    best = (
-        pairs.groupBy("key", "other").agg(F.min("d").alias("d"))
-        .withColumn("r", F.rank().over(Window.partitionBy("key").orderBy("d")))
-        .where(F.col("r") <= k)
-        .select("key", "other", "d")
-    )
-    near = best.join(groups.withColumnRenamed("key", "other"), "other").select("key", "d", "ids")
-    own = groups.select("key", F.lit(0.0).alias("d"), "ids")
-    lists_ = (
-        near.unionByName(own)
-        .select("key", "d", F.explode("ids").alias("id"))
-        .groupBy("key")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, k + 1).alias("l"))
-    )
+    distinct = vectors.join(groups.select(F.col("ids")[0].alias("id"), "key", "ids"), ["id", "key"]).select("key", "ids", "vec")
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 2048):
+                part = pdf.iloc[i : i + 2048]
+                near = cells.value.nearest(decode(part["vec"]), COPIES)
+                for j in range(COPIES):
+                    yield part.assign(cell=near[:, j], rank=j)[near[:, j] >= 0]
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, key, own = decode(pdf["vec"]), pdf["key"].to_numpy(), pdf["ids"].to_numpy()
+        asks = np.flatnonzero(pdf["rank"].to_numpy() < PROBES)
+        out = []
+        for row, other, d in cell_lists(x, asks, x @ rotation.value, k):
+            size = [len(own[o]) for o in other]
+            out.append((key[row], own[row], [i for o in other for i in own[o]], np.repeat(d, size).tolist()))
+        return pd.DataFrame(out, columns=["key", "own", "near", "d"])
+
+    routed = distinct.mapInPandas(route, "key binary, ids array<string>, vec binary, cell int, rank int")
+    lists = routed.groupBy("cell").applyInPandas(search, "key binary, own array<string>, near array<string>, d array<double>")
+    # at most PROBES lists of a vector
+    merged = lists.groupBy("key").agg(F.first("own").alias("own"), F.flatten(F.collect_list(F.arrays_zip("d", F.col("near").alias("id")))).alias("l"))
+    own = F.transform("own", lambda i: F.struct(F.lit(0.0).alias("d"), i.alias("id")))
+    near = merged.select("own", F.slice(F.array_sort(F.array_distinct(F.concat(own, "l"))), 1, k + 1).alias("l"))
+    # up to k ids of one vector: all are in ``own``; more: the smallest of them are each other's nearest
+    few = near.where(F.size("own") <= k).select(F.explode("own").alias("id"), "l")
+    many = groups.where(F.size("ids") > k).select("key", F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("d"), i.alias("id"))).alias("l"))
+    total = ids.count()
+    hot = [r.key for r in ids.groupBy("key").count().where(F.col("count") > total / 1000).where("count > 1000").collect()]  # fewer than 1,000
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    of_many = ids.where(~is_hot).join(many.where(~is_hot), "key").unionByName(ids.where(is_hot).join(F.broadcast(many.where(is_hot)), "key"))
+    every = few.unionByName(of_many.select("id", "l"))
     return (
-        ids.join(lists_, "key")
-        .select("id", F.slice(F.filter("l", lambda s: s["id"] != F.col("id")), 1, k).alias("l"))
+        every.select("id", F.slice(F.filter("l", lambda s: s["id"] != F.col("id")), 1, k).alias("l"))
         .select("id", F.inline("l").alias("distance", "neighbour"))
         .select("id", "neighbour", "distance")
     )

@@ -53,22 +53,34 @@ def test_tiny_tables(spark, n):
     assert pairs(spark, rows) == brute(rows)
 
 
-def test_recall_over_several_and_divided_shards(spark, monkeypatch):
+@pytest.mark.parametrize("coarse", [256, 5])
+def test_recall_over_cells_of_one_and_two_levels(spark, monkeypatch, coarse):
     v = clustered(3000, 3, 0.02).tolist()
     rows = [(f"i{k:05d}", f"c{k}", v[k]) for k in range(3000)]
     want = brute(rows)
-    monkeypatch.setattr(nb, "SHARD_ROWS", 500)
-    got = pairs(spark, rows)
-    assert len(got & want) / len(want) > 0.9
-    monkeypatch.setattr(nb, "SHARD_ROWS", 3000)
-    monkeypatch.setattr(nb, "GRAPH_ROWS", 700)
+    monkeypatch.setattr(nb, "CELL_ROWS", 100)
+    monkeypatch.setattr(nb, "COARSE", coarse)
+    x = np.array(v, np.float32)
+    cells = nb.fit_cells(table(spark, rows), DIM, len(rows))
+    assert len(cells.coarse) == min(coarse, 30) and 25 <= cells.first[-1] <= 40
+    home = cells.nearest(x, nb.COPIES)
+    assert home.shape == (3000, nb.COPIES) and (home >= 0).all() and np.bincount(home.ravel()).max() < 1500
+    assert all(len(set(r)) == nb.COPIES for r in home[:200].tolist())
     got = pairs(spark, rows)
     assert len(got & want) / len(want) > 0.95
 
 
+def test_hot_vectors_have_no_group_of_their_size(spark):
+    """A third of all rows share one vector, and many others are shared by some."""
+    v = clustered(900, 6).tolist()
+    rows = [(f"i{k:05d}", "c", v[k % 900]) for k in range(4000)] + [(f"h{k:05d}", "c", v[5]) for k in range(2000)]
+    want = brute(rows)
+    assert pairs(spark, rows) == want
+
+
 def test_graph_recall_in_blocks():
     x = np.random.default_rng(4).standard_normal((3000, 24)).astype(np.float32)
-    graph = nb.Graph(x, block=512)
+    graph = nb.Graph(x, block=64)
     found = graph.search(x[:300], ef=64)
     d = ((x[:300, None] - x[None]) ** 2).sum(2)
     top = np.argsort(d, axis=1)[:, :5]
