@@ -1,12 +1,16 @@
 """Problem 2: credentials in code, scripts, notes and settings.
 
-One deterministic automaton over bytes finds the lines to read: it holds the beginnings of
-token formats, key armour and connection strings, and assignments to names of secrets. Contents are laid end to end and cut into
-overlapping windows that advance through its table in step, one array operation for
-each position; a hit is an absolute place, so those found twice in an overlap fall
-together. Only lines with a hit are read more closely: where the value begins and ends,
-and whether it is a secret or a placeholder, plain word, name or reference. Values are
-masked character by character, so lines, offsets and quotes stay what they were.
+One deterministic automaton over bytes holds the beginnings of token formats, key armour,
+connection strings, assignments to names of secrets, flags, headers and statements. Its
+accepting states are tagged with the grammar that they complete, and they accept where a
+value begins. Contents are laid end to end and cut into overlapping windows that advance
+through its table in step, one array operation for each position; where a window's state
+behind the overlap isn't that of the window before, it goes on from the latter, so no match
+depends on where windows lie; places found twice fall together. From each accepted
+place one expression of its tag reads to the value's end, and the value is judged: a secret,
+or a placeholder, plain word, name or reference. Nothing else of a text is looked at, but
+for what continues at its head from above. Values are masked character by character, so
+lines, offsets and quotes stay what they were.
 """
 
 from __future__ import annotations
@@ -29,14 +33,14 @@ from strataseek.functions.runtime import table
 WINDOW = 1536
 OVERLAP = 512
 
-# Beginnings of issued tokens and what follows them.
+# Beginnings of issued tokens, and what follows them.
 TOKENS = [
-    r"A(?:KIA|SIA)[0-9A-Z]{16}", r"AIza[\w-]{30,}", r"gh[pousr]_\w{20,}", r"github_pat_\w{20,}", r"gl(?:pat|ptt|dt)-[\w-]{16,}",
-    r"xox[abeoprs]-[\w-]{10,}", r"(?:sk|rk)_(?:live|prod|test)_\w{12,}", r"SG\.[\w-]{16,}\.[\w-]{16,}", r"eyJ[\w-]{8,}\.eyJ[\w-]{4,}\.[\w-]{10,}",
-    r"[a-z]{3,16}pat_[0-9a-zA-Z]{20,}", r"npm_[A-Za-z0-9]{30,}", r"hf_[A-Za-z]{30,}", r"dop_v1_[0-9a-f]{40,}", r"sk-(?:ant-|proj-)?[A-Za-z0-9_-]{30,}",
-    r"pypi-[\w-]{30,}", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}", r"ya29\.[\w-]{20,}",
+    (r"A[KS]IA", r"[0-9A-Z]{16}"), (r"AIza", r"[\w-]{30,}"), (r"gh[pousr]_", r"\w{20,}"), (r"github_pat_", r"\w{20,}"), (r"glp[at]t-", r"[\w-]{16,}"), (r"gldt-", r"[\w-]{16,}"),
+    (r"xox[abeoprs]-", r"[\w-]{10,}"), (r"[rs]k_(?:live|prod|test)_", r"\w{12,}"), (r"SG\.", r"[\w-]{16,}\.[\w-]{16,}"), (r"eyJ", r"[\w-]{8,}\.eyJ[\w-]{4,}\.[\w-]{10,}"),
+    (r"npm_", r"[A-Za-z0-9]{30,}"), (r"hf_", r"[A-Za-z]{30,}"), (r"dop_v1_", r"[0-9a-f]{40,}"), (r"sk-", r"(?:ant-|proj-)?[A-Za-z0-9_-]{30,}"),
+    (r"pypi-", r"[\w-]{30,}"), (r"shp(?:at|ca|pa|ss)_", r"[0-9a-fA-F]{32}"), (r"ya29\.", r"[\w-]{20,}"), (r"[a-z]{3,16}pat_", r"[0-9a-zA-Z]{20,}"),
 ]
-TOKEN = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(TOKENS) + ")")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(a + b for a, b in TOKENS) + ")")
 
 # Name parts of secrets, those that need another part before them, and
 # those after which the name means something about a secret instead.
@@ -120,21 +124,30 @@ def names_secret(name: str) -> bool:
 
 # the automaton
 
-_SECRET_STEM = (
-    "[Pp][Aa][Ss][Ss]|[Pp][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Kk][Ee][Yy]|[Cc][Rr][Ee][Dd]|[Bb][Ee][Aa][Rr][Ee][Rr]|[Aa][Uu][Tt][Hh][Oo][Rr]|[Ss][Aa][Ll][Tt]"
-    "|[Pp][Ee][Pp][Pp][Ee][Rr]|[Pp][Ii][Nn]|[Cc][Ll][Aa][Vv][Ee]|[Cc][Oo][Nn][Tt][Rr][Aa][Ss][Ee]|[Ss][Ee][Nn][Hh][Aa]|[Hh][Aa][Ss](?:[Ll]|\xc5[\x81\x82])[Oo]|[Kk][Ee][Nn][Nn][Ww][Oo]|[Ww][Aa][Cc][Hh][Tt][Ww]|[Hh][Mm][Aa][Cc]|[Pp][Aa][Rr][Oo][Ll]|[Gg][Ee][Hh][Ee][Ii][Mm]"
+_STEMS = (
+    "pass|pw|secret|token|key|cred|bearer|author|salt|pepper|pin|clave|contrase|senha|has(?:l|\xc5[\x81\x82])o|kennwo|wachtw|hmac|parol|geheim"
 )
+#: (tag, grammar, whether case matters). A match ends with the byte before a value, for ``assign``
+#: with the first sign of the operator, for ``compare`` with the opening quote. ``\s`` is no line end.
 GRAMMAR = [
-    r"(?:" + _SECRET_STEM + r")[A-Za-z0-9_\x80-\xff-]*[\"'`\])]*[ \t]*(?:[:=]|->|/ |to [\"'`]| [\"'])",
-    r"(?:A[KS]IA|AIza|gh[pousr]_|github_pat_|gl(?:pat|ptt|dt)-|xox[abeoprs]-|[rs]k_(?:live|prod|test)_|SG\.|eyJ|pat_|npm_|hf_|dop_v1_|sk-|pypi-|shp(?:at|ca|pa|ss)_|ya29\.)[A-Za-z0-9_-]{2}",
-    r"://[^ \t\r\n\"'`]",
-    r"PRIVATE KEY",
-    r"(?:IDENTIFIED|[Ii]dentified) |[Pp]assword is ",
-    r"[ \"'(]-(?:u|p|a|-user|-pass|-token|-secret|-api)",
-    r"(?:[Bb]earer|BEARER|[Bb]asic|BASIC) [A-Za-z0-9]",
-    r"(?:[=!]= ?|equals\(|compare\(|compareTo\(|eq\? |eql\? )[\"'`]|strcmp\(",
-    r"(?:login|LOGIN|signin|sign_in|connect|auth)[ (]|-> [^ \n]|remove: ",
+    ("assign", r"(?:" + _STEMS + r")[A-Za-z0-9_\x80-\xff-]*[\\\"'`\])]*\s*(?:[:=]|!=|->|,\s*[\"']|/ |to [\"'`]| [\"'])", False),
+    ("uri", r"[\w+.-]://[^\s\n\"'`@/:]*:", True),
+    ("user", r"[\s\n\x00\"'(](?:-u|--user)[ =][\"']?[^\s\n:\"']+:", True),
+    ("short", r"[^\w](?:mysql\w*|psql|mongo\w*|sshpass|redis-cli|mariadb\w*|ldap\w*|zip|7z|openssl)(?:[^\w|;\n][^|;\n]*)?\s-[pa]", True),
+    ("long", r"--(?:password|passwd|pass|token|secret|api-?key|auth)[ =][\"']?", True),
+    ("header", r"[^\w](?:bearer|basic|token)\s+", False),
+    ("identified", r"[^\w](?:identified\s+(?:with\s+[^\s\n]+\s+)?by|password(?:\s+for\s+[^\s\n]+)?\s+is)\s+[\"'`]?", False),
+    ("login", r"(?:login|signin|sign_in|connect|auth\w*)\(\s*[\"'][^\"'\n]*[\"']\s*,\s*[\"']", False),
+    ("note", r"[^\w](?:was\s+[^\s\n]+\s+->\s+|login\s+[^\s\n]+\s+/\s+|remove:\s*[\w.@-]+\s*[=:]\s*)", False),
+    ("until", r"[^\w]was\s+", False),
+    ("compare", r"(?:[=!]==?|equals\(|eql?\?\s*\(?|compare\w*\(|strcmp\([^,\n]*,)\s*[\"'`]", True),
+    ("armour", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", True),
+    *((f"token{i}", a, True) for i, (a, _) in enumerate(TOKENS)),
 ]
+TAGS = [tag for tag, _, _ in GRAMMAR]
+
+
+_SPACE = frozenset(b" \t\x0b\x0c\r")
 
 
 class _Nfa:
@@ -144,6 +157,7 @@ class _Nfa:
     def __init__(self):
         self.moves: list[list[tuple[frozenset, int]]] = []
         self.free: list[list[int]] = []
+        self.case = True
 
     def state(self) -> int:
         self.moves.append([])
@@ -159,8 +173,8 @@ class _Nfa:
             return frozenset(range(1, 256)) - {10}
         if op is rc.RANGE:
             return frozenset(range(av[0], av[1] + 1))
-        if op is rc.CATEGORY:  # the grammar uses \w only
-            return frozenset(b for b in range(128) if chr(b).isalnum() or b == 95)
+        if op is rc.CATEGORY:  # the grammar uses \w and \s only
+            return _SPACE if av is rc.CATEGORY_SPACE else frozenset(b for b in range(128) if chr(b).isalnum() or b == 95)
         negate, items = (av[0][0] is rc.NEGATE), [x for x in av if x[0] is not rc.NEGATE]
         got = frozenset().union(*[self.chars(*x) for x in items])
         return frozenset(range(1, 256)) - got if negate else got
@@ -193,94 +207,136 @@ class _Nfa:
                     self.free[self.add(branch, at)].append(end)
                 start = end
             else:
-                to = self.state()
-                self.moves[start].append((self.chars(op, av), to))
+                to, chars = self.state(), self.chars(op, av)
+                if not self.case:
+                    chars |= {b ^ 32 for b in chars if 65 <= b & 0xDF <= 90}
+                self.moves[start].append((chars, to))
                 start = to
         return start
 
 
+class Automaton:
+    """The deterministic automaton of GRAMMAR, by subset construction: after a byte it is in
+    the state of all matches that go on and of all that may begin here. Its states are made
+    when a text first leads to them; ``table`` has -1 where none has yet."""
+
+    def __init__(self):
+        nfa = _Nfa()
+        root = nfa.state()
+        self.tags = {}
+        for i, (_, pattern, nfa.case) in enumerate(GRAMMAR):
+            at = nfa.state()
+            nfa.free[root].append(at)
+            self.tags[nfa.add(rp.parse(pattern), at)] = 1 << i
+
+        def reach(state: int) -> frozenset:
+            got, todo = {state}, [state]
+            while todo:
+                for s in nfa.free[todo.pop()]:
+                    if s not in got:
+                        got.add(s)
+                        todo.append(s)
+            return frozenset(s for s in got if nfa.moves[s] or s in self.tags)
+
+        sets = {m[0] for moves in nfa.moves for m in moves}
+        signature: dict[tuple, int] = {}
+        ordered = sorted(sets, key=sorted)
+        self.classes = np.array([signature.setdefault(tuple(b in s for s in ordered), len(signature)) for b in range(256)], np.uint8)
+        sample = [int(np.flatnonzero(self.classes == c)[0]) for c in range(len(signature))]
+        to = [[(chars, reach(t)) for chars, t in moves] for moves in nfa.moves]
+        self.steps = [[frozenset().union(*[r for chars, r in moves if b in chars]) for b in sample] if moves else None for moves in to]
+        self.base, self.width = reach(root), len(sample)
+        self.sets: list[frozenset] = []
+        self.number: dict[frozenset, int] = {}
+        self.table = np.full(256 * self.width, -1, np.int32)  # states are kept multiplied by the width
+        self.accepts = np.zeros(256, np.int64)
+        self._state(self.base)
+
+    def _state(self, states: frozenset) -> int:
+        k = self.number.setdefault(states, len(self.sets))
+        if k == len(self.sets):
+            self.sets.append(states)
+            if k == len(self.accepts):
+                self.table = np.concatenate([self.table, np.full(len(self.table), -1, np.int32)])
+                self.accepts = np.concatenate([self.accepts, np.zeros(k, np.int64)])
+            self.accepts[k] = sum(self.tags.get(s, 0) for s in states)
+        return k * self.width
+
+    def step(self, at: np.ndarray) -> np.ndarray:
+        """The states behind places of the table (a state plus a class of bytes)."""
+        got = self.table[at]
+        if (got < 0).any():
+            for place in np.unique(at[got < 0]).tolist():
+                k, c = divmod(place, self.width)
+                reached = self.base.union(*[self.steps[s][c] for s in self.sets[k] if self.steps[s]])
+                new = self._state(reached)
+                self.table[place] = new
+            got = self.table[at]
+        return got
+
+
 @lru_cache(1)
-def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each byte, table of states by class, whether a state accepts), for texts
-    that hold a match of any of GRAMMAR ending at the byte just read."""
-    nfa = _Nfa()
-    root = nfa.state()
-    ends = set()
-    for pattern in GRAMMAR:
-        at = nfa.state()
-        nfa.free[root].append(at)
-        ends.add(nfa.add(rp.parse(pattern), at))
-
-    def closure(states) -> frozenset:
-        got, todo = set(states), list(states)
-        while todo:
-            for s in nfa.free[todo.pop()]:
-                if s not in got:
-                    got.add(s)
-                    todo.append(s)
-        return frozenset(got)
-
-    sets = {m[0] for moves in nfa.moves for m in moves}
-    signature: dict[tuple, int] = {}
-    ordered = sorted(sets, key=sorted)
-    classes = np.array([signature.setdefault(tuple(b in s for s in ordered), len(signature)) for b in range(256)], np.uint8)
-    sample = [int(np.flatnonzero(classes == c)[0]) for c in range(len(signature))]
-    base = closure([root])
-    number, todo, rows = {base: 0}, [base], []
-    while todo:
-        here = todo.pop(0)
-        row = []
-        for b in sample:
-            to = closure({t for s in here for chars, t in nfa.moves[s] if b in chars}) | base
-            if to not in number:
-                number[to] = len(number)
-                todo.append(to)
-            row.append(number[to])
-        rows.append(row)
-    accepts = np.zeros(len(number), bool)
-    for states, k in number.items():
-        accepts[k] = bool(states & ends)
-    return classes, np.array(rows, np.int32), accepts
-
-
-def hits(data: bytes) -> np.ndarray:
-    """Places of the bytes with which a match ends, ascending, each once."""
-    classes, move, accepts = automaton()
-    width = move.shape[1]
-    flat = move.ravel() * width  # states are kept multiplied
-    good = np.zeros(len(move) * width, bool)
-    good[np.flatnonzero(accepts) * width] = True
-    code = classes[np.frombuffer(data, np.uint8)].astype(np.int32)
+def automaton() -> Automaton:
+    return Automaton()
+
+
+def hits(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the bytes with which matches end, ascending, each once, and their tags as bits."""
+    auto = automaton()
+    code = auto.classes[np.frombuffer(data, np.uint8)].astype(np.int32)
     step = WINDOW - OVERLAP
     starts = np.arange(0, max(1, len(code)), step)
-    padded = np.concatenate([code, np.full(WINDOW, int(classes[0]), np.int32)])
+    padded = np.concatenate([code, np.full(WINDOW, int(auto.classes[0]), np.int32)])
     lanes = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[starts].T.copy()
-    state = np.zeros(len(starts), np.int32)
-    found = []
-    for i in range(WINDOW):
-        state = flat[state + lanes[i]]
-        on = good[state]
-        if on.any():
-            found.append(starts[on] + i)
-    at = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    return at[at < len(code)]
-
-
-# reading a line with a hit
+    places, tags = [], []
+
+    def run(which, state: np.ndarray, a: int, b: int) -> np.ndarray:
+        for i in range(a, b):
+            state = auto.step(state + lanes[i, which])
+            tag = auto.accepts[state // auto.width]
+            on = np.flatnonzero(tag)
+            if len(on):
+                places.append(starts[which][on] + i)
+                tags.append(tag[on])
+        return state
+
+    every = slice(None)
+    behind = run(every, np.zeros(len(starts), np.int32), 0, OVERLAP)
+    end = run(every, behind, OVERLAP, WINDOW)
+    while len(late := np.flatnonzero(behind[1:] != end[:-1]) + 1):  # matches longer than the overlap
+        behind[late] = end[late - 1]
+        end[late] = run(late, behind[late], OVERLAP, WINDOW)
+    if not places:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at, tag = np.concatenate(places), np.concatenate(tags)
+    order = np.argsort(at, kind="stable")
+    at, tag = at[order], tag[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    tag = np.bitwise_or.reduceat(tag, first)
+    at = at[first]
+    return at[at < len(code)], tag[at < len(code)]
+
+
+# reading a value
 
 _VALUE = r"""(?:\(?\s*(?:[A-Za-z_][\w.:]*\(\s*)*(?:new\s+)?[urbfBLR@]{0,2}(?P<q>["'`]|\\["'])(?P<s>(?:(?!(?P=q)).)*)(?P=q)|(?P<u>[^\s;,'"`(){}\[\]<>|]+)(?P<next>[(\[]?))"""
 ASSIGN = re.compile(
     r"""(?P<k>[^\W\d][\w\u0300-\u036f-]*)\\?["'`]?\]?\)?\s*(?P<op>:(?!:)\s*[\w:<>&'\[\]| ]{1,40}?\s*=(?![=>])|:=|=>|->|={1,3}(?![=>])|!==?|:(?!:)|,(?=\s*["'])|\s+to\s+(?=`)|\s+(?=["']))\s*""" + _VALUE
 )
-URI = re.compile(r"[a-zA-Z][\w+.-]*://(?P<user>[^\s\"'`@/:]*):(?P<v>[^\s\"'`@/]+)@")
-USER = re.compile(r"(?:^|[\s\"'(])(?:-u|--user)[ =][\"']?(?P<user>[^\s:\"']+):(?P<v>[^\s\"'`]+)")
-SHORT = re.compile(r"\b(?:mysql\w*|psql|mongo\w*|sshpass|redis-cli|mariadb\w*|ldap\w*|zip|7z|openssl)\b[^|;]*?\s-[pa](?P<v>[^\s\"'`-][^\s\"'`]*)")
-LONG = re.compile(r"--(?:password|passwd|pass|token|secret|api-?key|auth)[ =][\"']?(?P<v>[^\s\"'`]+)")
-HEADER = re.compile(r"\b(?:bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/=_.~!@#$%^&*?-]{6,})", re.I)
-IDENTIFIED = re.compile(r"\b(?:identified\s+(?:with\s+\S+\s+)?by|password(?:\s+for\s+\S+)?\s+is)\s+[\"'`]?(?P<v>[^\s\"'`;]+)", re.I)
-LOGIN = re.compile(r"(?:login|signin|sign_in|connect|auth\w*)\(\s*[\"'][^\"']*[\"']\s*,\s*[\"'](?P<v>[^\"']+)[\"']", re.I)
-NOTE = re.compile(r"(?:\bwas\s+\S+\s+->\s+|\blogin\s+\S+\s+/\s+|\bremove:\s*[\w.@-]+\s*[=:]\s*|\bwas\s+(?=\S+\s+until))(?P<v>[^\s\"'`]+)", re.I)
-COMPARE = re.compile(r"(?:[=!]==?|equals\(|eql?\?\s*\(?|compare\w*\(|strcmp\([^,\n]*,)\s*(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).)+)(?P=q)")
+# What follows an accepted place, and whether only a secret can stand there.
+VALUES = {
+    "uri": (re.compile(r"(?P<v>[^\s\"'`@/]+)@"), True),
+    "user": (re.compile(r"(?P<v>[^\s\"'`]+)"), True),
+    "short": (re.compile(r"(?P<v>[^\s\"'`-][^\s\"'`]*)"), True),
+    "long": (re.compile(r"(?P<v>[^\s\"'`]+)"), True),
+    "login": (re.compile(r"(?P<v>[^\"']+)[\"']"), True),
+    "identified": (re.compile(r"(?P<v>[^\s\"'`;]+)"), True),
+    "header": (re.compile(r"(?P<v>[A-Za-z0-9+/=_.~!@#$%^&*?-]{6,})"), False),
+    "note": (re.compile(r"(?P<v>[^\s\"'`]+)"), False),
+    "until": (re.compile(r"(?=\S+\s+until)(?P<v>[^\s\"'`]+)", re.I), False),
+    "compare": (re.compile(r"(?<=(?P<q>[\"'`]))(?P<v>(?:(?!(?P=q)).)+)(?P=q)"), False),
+}
+TOKEN_AT = [re.compile(r"(?<![A-Za-z0-9_])" + a + b) for a, b in TOKENS]
 ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 ARMOUR_END = re.compile(r"-----END [A-Z0-9 ]*(PRIVATE|PUBLIC|CERTIFICATE)[A-Z0-9 ]*-----")
 BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
@@ -321,54 +377,85 @@ def _basic(v: str) -> bool:
         return False
 
 
-def _line_spans(text: str, a: int, b: int) -> Iterator[list[Span]]:
-    """Values in the line text[a:b]; a value in pieces has several spans."""
-    line = text[a:b]
-    for m in TOKEN.finditer(line):
-        if "EXAMPLE" not in m[0] and len(set(m[0])) > 6:
-            yield [(a + m.start(), a + m.end())]
-    for m in URI.finditer(line):
+def _line(text: str, p: int) -> Span:
+    end = text.find("\n", p)
+    return text.rfind("\n", 0, p) + 1, len(text) if end < 0 else end
+
+
+def _name_start(text: str, a: int, p: int) -> int:
+    """Where the name begins behind which the automaton stopped at p, in a line from a on."""
+    while p > a and text[p - 1] in " \t:=->!,/\"'`])\\\x0b\x0c\rto" and not (text[p - 1] in "to" and not text[p : p + 1].isspace()):
+        if text[p - 1] in "to" and text[max(a, p - 3) : p] not in (" to", "\tto"):
+            break
+        p -= 2 if text[p - 1] in "to" else 1
+    while p > a and (text[p - 1].isalnum() or text[p - 1] in "_-" or "\u0300" <= text[p - 1] <= "\u036f"):
+        p -= 1
+    return p
+
+
+def _assigned(text: str, at: int, b: int) -> Iterator[list[Span]]:
+    """Value of the assignment whose name begins at ``at``, in a line that ends at b."""
+    m = ASSIGN.match(text, at, b)
+    if not m or not names_secret(m["k"]):
+        return
+    begin = max(m.start("q") if m["s"] is not None else m.end("op"), m.end("k"))
+    if _LOOKUP.search(text, m.end("op"), begin):
+        return
+    numbers = _NUMBERS.match(text, m.end("op"), b)
+    if numbers:
+        values = [int(x, 0) for x in re.findall(r"0x[0-9a-fA-F]+|\d+", numbers["v"])]
+        if all(32 < x < 127 for x in values) and secretish("".join(map(chr, values)), True):
+            yield [numbers.span("v")]
+            return
+    op = m["op"].strip()
+    if m["s"] is not None:
+        if op in ("==", "===", "!=", "!==", ",", "") and not secretish(m["s"], False):
+            return
+        parts = _pieces(text, m.end(), m.span("s"))
+        whole = "".join(text[i:j] for i, j in parts)
+        if len(parts) > 1 and _secret_text(whole, True):
+            yield parts
+        elif _secret_text(m["s"].replace("\\n", ""), True) or _escaped(m["s"]):
+            skip = re.match(r"(?:bearer|basic|token|digest)\s+", m["s"], re.I)
+            yield [(m.start("s") + (skip.end() if skip else 0), m.end("s"))]
+    elif m["u"] and not m["next"] and op not in ("==", "===", "!=", "!=="):
+        v = m["u"].rstrip("\\")
+        if secretish(v, True) and (secretish(v, False) or op in (":", "=", "->") and not re.fullmatch(r"[\w.:*&>-]+", v) or _plain_setting(text[m.end("u") : b], m["u"])):
+            yield [(m.start("u"), m.start("u") + len(v))]
+
+
+def _at(text: str, p: int, tag: str) -> Iterator[list[Span]]:
+    """The value that begins behind p, where the automaton accepted with ``tag``, in pieces."""
+    a, b = _line(text, p)
+    if tag == "armour":
+        body = _armoured(text, p + 1)
+        if body is not None:
+            start = text.rfind("-----BEGIN", a, p)
+            yield [(start, start), *body]
+    elif tag.startswith("token"):
+        i = int(tag[5:])
+        start = p
+        while start > a and not TOKEN_AT[i].match(text, start, b) and p - start < 20:  # the beginning is at most 20 long
+            start -= 1
+        m = TOKEN_AT[i].match(text, start, b)
+        if m and "EXAMPLE" not in m[0] and len(set(m[0])) > 6:
+            yield [m.span()]
+    elif m := VALUES[tag][0].match(text, p + 1, b):
         v = m["v"]
-        if not REFERENCE.search(v) and not REFERENCE.search(m["user"]) and not PLACEHOLDER.fullmatch(v) and len(v) >= 4 and not v.isdigit():
-            yield [(a + m.start("v"), a + m.end("v"))]
-    for pattern, named in ((USER, True), (SHORT, True), (LONG, True), (LOGIN, True), (IDENTIFIED, True), (NOTE, False), (COMPARE, False)):
-        for m in pattern.finditer(line):
-            if secretish(m["v"], named):
-                yield [(a + m.start("v"), a + m.end("v"))]
-    for m in HEADER.finditer(line):
-        if secretish(m["v"], False) or TOKEN.match(m["v"]) or (m[0][:5].lower() == "basic" and _basic(m["v"])):
-            yield [(a + m.start("v"), a + m.end("v"))]
-    at = 0
-    while m := ASSIGN.search(line, at):
-        at = m.start("q") if m["s"] is not None else m.end("op")
-        at = max(at, m.end("k"))
-        if not names_secret(m["k"]) or _LOOKUP.search(line, m.end("op"), at):
-            continue
-        numbers = _NUMBERS.match(line, m.end("op"))
-        if numbers:
-            values = [int(x, 0) for x in re.findall(r"0x[0-9a-fA-F]+|\d+", numbers["v"])]
-            if all(32 < x < 127 for x in values) and secretish("".join(map(chr, values)), True):
-                yield [(a + numbers.start("v"), a + numbers.end("v"))]
-                continue
-        if m["s"] is not None:
-            if m["op"].strip() in ("==", "===", "!=", "!==", ",", "") and not secretish(m["s"], False):
-                continue
-            parts = _pieces(text, a + m.end(), (a + m.start("s"), a + m.end("s")))
-            whole = "".join(text[i:j] for i, j in parts)
-            if len(parts) > 1 and _secret_text(whole, True):
-                yield parts
-            elif _secret_text(m["s"].replace("\\n", ""), True) or _escaped(m["s"]):
-                skip = re.match(r"(?:bearer|basic|token|digest)\s+", m["s"], re.I)
-                yield [(a + m.start("s") + (skip.end() if skip else 0), a + m.end("s"))]
-        elif m["u"] and not m["next"] and m["op"].strip() not in ("==", "===", "!=", "!=="):
-            v = m["u"].rstrip("\\")
-            if secretish(v, True) and (secretish(v, False) or m["op"].strip() in (":", "=", "->") and not re.fullmatch(r"[\w.:*&>-]+", v) or _plain_setting(line, m)):
-                yield [(a + m.start("u"), a + m.start("u") + len(v))]
-
-
-def _plain_setting(line: str, m: re.Match) -> bool:
+        if tag == "uri":
+            user = text[text.rfind("://", a, p) + 3 : p]
+            good = not REFERENCE.search(v) and not REFERENCE.search(user) and not PLACEHOLDER.fullmatch(v) and len(v) >= 4 and not v.isdigit()
+        elif tag == "header":
+            good = secretish(v, False) or TOKEN.match(v) or text[a:p].rstrip()[-5:].lower() == "basic" and _basic(v)
+        else:
+            good = secretish(v, VALUES[tag][1])
+        if good:
+            yield [m.span("v")]
+
+
+def _plain_setting(rest: str, value: str) -> bool:
     """Whether an unquoted value is the whole rest of a line: a setting and no expression."""
-    return not line[m.end("u") :].strip(" \t\r'\"`,;\\") and "." not in m["u"] and not NAME.fullmatch(m["u"])
+    return not rest.strip(" \t\r'\"`,;\\") and "." not in value and not NAME.fullmatch(value)
 
 
 def _escaped(v: str) -> bool:
@@ -405,10 +492,9 @@ def _armoured(text: str, start: int) -> list[Span] | None:
     return None
 
 
-def spans(text: str, places: np.ndarray) -> list[list[Span]]:
-    """Values of a text, each as the spans of its pieces; a value that began above the text
-    is the first. ``places``: where the automaton's matches end, in characters."""
-    out: list[list[Span]] = []
+def _from_above(text: str) -> list[list[Span]]:
+    """A value that began above the text: a key's body with its closing marker in the line
+    behind it or the next, or a few lone pieces of a string."""
     at = 0
     while at < len(text):
         stop = text.find("\n", at)
@@ -416,37 +502,47 @@ def spans(text: str, places: np.ndarray) -> list[list[Span]]:
         if not _BODY_LINE.fullmatch(text, at, stop):
             break
         at = stop + 1
-    end = ARMOUR_END.search(text[at : at + 200]) if at else None
-    last = text[at : at + end.start()] if end else ""
+    second = _line(text, min(len(text), _line(text, at)[1] + 1))[1]
+    end = ARMOUR_END.search(text, at, second) if at else None
+    last = text[at : end.start()] if end else ""
     if end and end[1] == "PRIVATE" and (not last.strip(" \t\"'#/*|>-") or _KEY_LINE.fullmatch(last) and last.rstrip(" \t\"'#/*|>-").count("\n") <= 1):
-        out.append(_body(text, 0, at + end.start()) or [(0, text.find("\n"))])
-    else:
-        lone = []
-        at = 0
-        for line in text.split("\n", 9)[:9]:
-            m = _LONE.fullmatch(line)
-            if not m:
-                break
-            lone.append((at + m.start("s"), at + m.end("s")))
-            at += len(line) + 1
-            if line.rstrip()[-1:] in ";)":
-                break
-        joined = "".join(text[i:j] for i, j in lone)
-        if 0 < len(lone) <= 4 and max(j - i for i, j in lone) <= 44 and re.search(r"\d", joined) and secretish(joined, True) and _flips(joined) >= 2 and "/" not in joined:
-            out.append(lone)
-    done = -1
-    for p in places:
-        if p <= done:
-            continue
-        a = text.rfind("\n", 0, p) + 1
-        b = text.find("\n", p)
-        b = len(text) if b < 0 else b
-        done = b
-        for m in ARMOUR.finditer(text, a, b):
-            body = _armoured(text, m.end())
-            if body is not None:
-                out.append([(m.start(), m.start()), *body])
-        out.extend(_line_spans(text, a, b))
+        return [_body(text, 0, end.start()) or [(0, text.find("\n"))]]
+    lone, at = [], 0
+    while m := _LONE.fullmatch(text, at, _line(text, at)[1]):
+        lone.append(m.span("s"))
+        if text[at : m.end()].rstrip()[-1:] in ";)" or m.end() == len(text):
+            break
+        at = m.end() + 1
+    joined = "".join(text[i:j] for i, j in lone)
+    if 0 < len(lone) <= 4 and max(j - i for i, j in lone) <= 44 and re.search(r"\d", joined) and secretish(joined, True) and _flips(joined) >= 2 and "/" not in joined:
+        return [lone]
+    return []
+
+
+def spans(text: str, places: np.ndarray, tags: np.ndarray) -> list[list[Span]]:
+    """Values of a text, each as the spans of its pieces; a value that began above the text
+    is the first. ``places``: where the automaton's matches end, in characters, with tags."""
+    out = _from_above(text)
+    names, seen = set(), set()
+    for p, bits in zip(places.tolist(), tags.tolist()):
+        for i, tag in enumerate(TAGS):
+            if not bits >> i & 1:
+                continue
+            if tag == "assign":
+                a, b = _line(text, p)
+                start = _name_start(text, a, p)
+                while start < p and (text[start].isdigit() or not text[start].isalnum() and text[start] != "_"):
+                    start += 1
+                if start in names:
+                    continue
+                names.add(start)
+                found = _assigned(text, start, b)
+            else:
+                found = _at(text, p, tag)
+            for value in found:
+                if tuple(value) not in seen:
+                    seen.add(tuple(value))
+                    out.append(value)
     return out
 
 
@@ -461,16 +557,18 @@ def _scan(texts: list[str]) -> Iterator[tuple[int, list[list[Span]]]]:
         block = texts[i:j]
         coded = [t.encode("utf-8", "replace") for t in block]
         ends = np.cumsum([len(c) + 1 for c in coded])
-        at = hits(b"\x00".join(coded))
+        at, tags = hits(b"\x00" + b"\x00".join(coded))
+        at = at - 1  # the sign before the first text
         which = np.searchsorted(ends, at, "right")
         first = dict(zip(*np.unique(which, return_index=True)))
         count = dict(zip(*np.unique(which, return_counts=True)))
         for k, text in enumerate(block):
-            places = at[first[k] : first[k] + count[k]] - (ends[k] - len(coded[k]) - 1) if k in first else np.empty(0, np.int64)
+            own = slice(first[k], first[k] + count[k]) if k in first else slice(0, 0)
+            places = at[own] - (ends[k] - len(coded[k]) - 1)
             if len(coded[k]) != len(text) and len(places):  # bytes to characters
                 chars = np.cumsum((np.frombuffer(coded[k], np.uint8) & 0xC0) != 0x80) - 1
                 places = chars[places]
-            if found := spans(text, places):
+            if found := spans(text, places, tags[own]):
                 yield i + k, found
         i = j
 
