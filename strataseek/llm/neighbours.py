@@ -249,8 +249,8 @@ class Graph:
         width = max(ef, start.shape[1])
         ids = np.full((b, width), -1, np.int64)
         dist = np.full((b, width), np.inf, np.float32)
-        seen = np.zeros((b, n + 1), bool)
-        seen[:, n] = True  # the place of a missing neighbour, -1
+        seen = np.full((b, n + 1), -1, np.int32)
+        seen[:, n] = 0  # the place of a missing neighbour, -1
         fresh = start >= 0
         for j in range(1, start.shape[1]):
             fresh[:, j] &= (start[:, j : j + 1] != start[:, :j]).all(1)
@@ -258,7 +258,7 @@ class Graph:
         v = start[r, c]
         ids[r, c] = v
         dist[r, c] = self.norm[v] - 2 * np.einsum("ij,ij->i", self.x[v], q[r])
-        seen[r, v] = True
+        seen[r, v] = 0
         todo = dist.copy()  # distances of the rows that are not opened yet
         links = self.links[lv]
         live = np.arange(b)
@@ -272,17 +272,16 @@ class Graph:
             todo[live[:, None], j] = np.inf
             opened = np.where(np.isfinite(near), ids[live[:, None], j], -1)
             found = np.where((opened >= 0)[:, :, None], links[opened], -1).reshape(len(live), -1)
-            r, c = np.nonzero(~seen[live[:, None], found])
-            # a row that is found twice in a round counts once
-            _, first = np.unique(live[r] * (n + 1) + found[r, c], return_index=True)
-            r, c = r[first], c[first]
+            r, c = np.nonzero(seen[live[:, None], found] < 0)
             if not len(r):
                 continue
-            v, row = found[r, c], live[r]
-            seen[row, v] = True
+            v, row, mark = found[r, c], live[r], np.arange(len(r), dtype=np.int32)
+            seen[row, v] = mark
+            once = np.flatnonzero(seen[row, v] == mark)  # a row that is found twice in a round counts once
+            r, c, v, row = r[once], c[once], v[once], row[once]
             d = np.full(found.shape, np.inf, np.float32)
             d[r, c] = self.norm[v] - 2 * np.einsum("ij,ij->i", self.x[v], q[row])
-            has = np.unique(r)
+            has = np.flatnonzero(np.bincount(r, minlength=len(live)))
             rows, d, at = live[has], d[has], np.arange(len(has))[:, None]
             every = np.concatenate([dist[rows], d], axis=1)
             keep = np.argpartition(every, width - 1, axis=1)[:, :width]
@@ -308,9 +307,11 @@ class Graph:
         return np.concatenate(out)
 
 
-def cell_lists(x: np.ndarray, asks: np.ndarray, low: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def cell_lists(x: np.ndarray, asks: np.ndarray, low: np.ndarray, k: int, homes: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, nearest other rows, distances) of the rows of a cell that ask, with all that tie
-    with the k-th: the graph over ``low`` finds candidates, exact distances order them."""
+    with the k-th: the graph over ``low`` finds candidates, exact distances order them. A
+    pair that meets in a cell nearer to the row (``homes``, of which this is number ``rank``)
+    is left to that one."""
     if not len(asks):
         return
     graph = Graph(low)
@@ -326,6 +327,8 @@ def cell_lists(x: np.ndarray, asks: np.ndarray, low: np.ndarray, k: int) -> Iter
         d = np.where((cand < 0) | (cand == rows[:, None]), np.inf, d)
         last = np.sort(d, axis=1)[:, min(k, d.shape[1]) - 1]
         take = (d <= last[:, None]) & np.isfinite(d)
+        for j in range(PROBES - 1):
+            take &= ~((homes[cand] == homes[rows, j][:, None, None]).any(2) & (j < rank[rows])[:, None])
         for row, c, dd, t in zip(rows, cand, d, take):
             yield row, c[t], dd[t].astype(float)
 
@@ -402,19 +405,20 @@ def neighbours(chunks: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
             for i in range(0, len(pdf), 2048):
                 part = pdf.iloc[i : i + 2048]
                 near = cells.value.nearest(decode(part["vec"]), COPIES)
+                part = part.assign(homes=list(near))
                 for j in range(COPIES):
                     yield part.assign(cell=near[:, j], rank=j)[near[:, j] >= 0]
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, key, own = decode(pdf["vec"]), pdf["key"].to_numpy(), pdf["ids"].to_numpy()
-        asks = np.flatnonzero(pdf["rank"].to_numpy() < PROBES)
+        x, key, own, rank = decode(pdf["vec"]), pdf["key"].to_numpy(), pdf["ids"].to_numpy(), pdf["rank"].to_numpy()
+        asks = np.flatnonzero(rank < PROBES)
         out = []
-        for row, other, d in cell_lists(x, asks, x @ rotation.value, k):
+        for row, other, d in cell_lists(x, asks, x @ rotation.value, k, np.stack(pdf["homes"]), rank):
             size = [len(own[o]) for o in other]
             out.append((key[row], own[row], [i for o in other for i in own[o]], np.repeat(d, size).tolist()))
         return pd.DataFrame(out, columns=["key", "own", "near", "d"])
 
-    routed = distinct.mapInPandas(route, "key binary, ids array<string>, vec binary, cell int, rank int")
+    routed = distinct.mapInPandas(route, "key binary, ids array<string>, vec binary, homes array<int>, cell int, rank int")
     lists = routed.groupBy("cell").applyInPandas(search, "key binary, own array<string>, near array<string>, d array<double>")
     # at most PROBES lists of a vector
     merged = lists.groupBy("key").agg(F.first("own").alias("own"), F.flatten(F.collect_list(F.arrays_zip("d", F.col("near").alias("id")))).alias("l"))
