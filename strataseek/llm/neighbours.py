@@ -1,14 +1,14 @@
 """Problem 3: the k most similar vectors of every vector.
 
-Distinct vectors are routed into cells around centres of unit length; a vector is a node of
-the COPIES nearest cells and asks the PROBES nearest ones, so two near vectors rarely have
-no cell in common. The number of cells grows with the table. Centres are fitted on bounded
-samples in two levels: coarse ones on the driver, and within each of them fine ones in
-tasks. Each cell holds a hierarchical navigable small-world graph as flat arrays of
-neighbour numbers, into which rows are inserted by searching it; exact distances order
-what the graph finds, and the lists of a vector's cells are merged. Equal vectors are one
-node with their six smallest ids, so a value that a third of all rows share stays one
-row of a cell.
+Distinct vectors are routed into cells around centres of unit length. A vector belongs to
+its nearest cell and to those that are hardly farther, to COPIES cells on average: several
+near a border, where neighbours part, and one inside a cell. The number of cells grows
+with the table. Centres are fitted on bounded samples in two levels: coarse ones on the
+driver, and within each of them fine ones in tasks. Each cell holds a hierarchical
+navigable small-world graph as flat arrays of neighbour numbers, into which rows are
+inserted by searching it; exact distances order what the graph finds, and the lists of a
+vector's cells are merged. Equal vectors are one node with their six smallest ids, so a
+value that a third of all rows share stays one row of a cell.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from strataseek.functions.runtime import cut, table
 
 DIM = 768
 K = 5
-#: Cells of which a vector is a node, and those of them that it asks.
-COPIES, PROBES = 4, 3
+#: Cells of a vector on average and at most. How much farther than the nearest cell another one
+#: may be is chosen by the sample so that the average holds.
+COPIES, MOST_COPIES = 2.4, 8
 #: Vectors for each cell, so a graph has about COPIES times as many nodes.
-CELL_ROWS = 1000
+CELL_ROWS = 750
 #: Centres that the driver fits, and the vectors it fits them on.
 COARSE, SAMPLE = 256, 20_000
 #: Fine centres in all (which are broadcast, 1.5 kB each), and the vectors each is fitted on.
@@ -124,29 +125,39 @@ def fit_centres(sample: np.ndarray, cells: int, rounds: int = 4) -> np.ndarray:
 class Cells:
     """Centres in two levels; a coarse centre without fine ones is a cell itself."""
 
-    def __init__(self, coarse: np.ndarray, fine: dict[int, np.ndarray] | None = None):
-        self.coarse = coarse
+    def __init__(self, coarse: np.ndarray, fine: dict[int, np.ndarray] | None = None, margin: float = 0.0):
+        self.coarse, self.margin = coarse, margin
         self.fine = [(fine or {}).get(c, coarse[c : c + 1]) for c in range(len(coarse))]
         self.first = np.concatenate([[0], np.cumsum([len(f) for f in self.fine])]).astype(np.int32)
 
-    def nearest(self, x: np.ndarray, most: int) -> np.ndarray:
-        """Numbers of each row's nearest cells, nearest first, -1 where there are fewer. Fine
-        centres are looked for in the ``most`` nearest coarse cells."""
-        at, near = _nearest(x, self.coarse, most)
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and products of each row's MOST_COPIES nearest cells, nearest first. Fine
+        centres are looked for in as many of the nearest coarse cells."""
+        at, near = _nearest(x, self.coarse, MOST_COPIES)
         if self.first[-1] == len(self.coarse):
-            found = at
-        else:
-            ids = np.full((len(x), at.shape[1] * most), -1, np.int64)
-            score = np.full(ids.shape, -np.inf, np.float32)
-            for c in np.unique(at):
-                r, j = np.nonzero(at == c)
-                got, p = _nearest(x[r], self.fine[c].astype(np.float32), most)
-                place = j[:, None] * most + np.arange(got.shape[1])
-                ids[r[:, None], place] = got + self.first[c]
-                score[r[:, None], place] = p
-            order = np.argsort(-score, axis=1, kind="stable")[:, :most]
-            found = np.take_along_axis(ids, order, 1)
-        return np.pad(found, ((0, 0), (0, most - found.shape[1])), constant_values=-1).astype(np.int32)
+            return at, near
+        ids = np.full((len(x), at.shape[1] * MOST_COPIES), -1, np.int64)
+        score = np.full(ids.shape, -np.inf, np.float32)
+        for c in np.unique(at):
+            r, j = np.nonzero(at == c)
+            got, p = _nearest(x[r], self.fine[c].astype(np.float32), MOST_COPIES)
+            place = j[:, None] * MOST_COPIES + np.arange(got.shape[1])
+            ids[r[:, None], place] = got + self.first[c]
+            score[r[:, None], place] = p
+        order = np.argsort(-score, axis=1, kind="stable")[:, :MOST_COPIES]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+
+    def fit_margin(self, sample: np.ndarray, copies: float = COPIES) -> Cells:
+        """Choose the margin by which the sample's rows have ``copies`` cells on average."""
+        near = self.nearest(sample)[1]
+        extra = np.sort((near[:, :1] - near[:, 1:]).ravel())
+        self.margin = float(extra[min(len(extra) - 1, int((copies - 1) * len(sample)))]) if extra.size else 0.0
+        return self
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        """Numbers of the cells each row belongs to, nearest first, -1 behind them."""
+        at, near = self.nearest(x)
+        return np.where(near >= near[:, :1] - self.margin, at, -1).astype(np.int32)
 
 
 # the graph
@@ -158,7 +169,7 @@ class Graph:
     row's candidates are what a search of the graph so far finds and the few rows of its
     block, which is far smaller than the graph."""
 
-    def __init__(self, x: np.ndarray, links: int = 12, ef: int = 32, block: int = 128):
+    def __init__(self, x: np.ndarray, links: int = 12, ef: int = 32, block: int = 64):
         self.x, self.norm, self.ef, self.m = x, (x**2).sum(1), ef, links
         rng = np.random.default_rng(SEED)
         n = len(x)
@@ -307,27 +318,26 @@ class Graph:
         return np.concatenate(out)
 
 
-def cell_lists(x: np.ndarray, asks: np.ndarray, low: np.ndarray, k: int, homes: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, nearest other rows, distances) of the rows of a cell that ask, with all that tie
-    with the k-th: the graph over ``low`` finds candidates, exact distances order them. A
+def cell_lists(x: np.ndarray, low: np.ndarray, k: int, homes: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, nearest other rows, distances) of the rows of a cell, with all that tie with
+    the k-th: the graph over ``low`` finds candidates, exact distances order them. A
     pair that meets in a cell nearer to the row (``homes``, of which this is number ``rank``)
     is left to that one."""
-    if not len(asks):
-        return
     graph = Graph(low)
     # sums of products of small multiples of 1/128 are exact in single precision
     single = (x**2).sum(1).max() * 4 < 1024 and not (x * 128 % 1).any()
     wide = x if single else x.astype(np.float64)
-    for i in range(0, len(asks), 256):
-        rows = asks[i : i + 256]
-        cand = graph.search(low[rows], own=rows)
+    found = graph.search(low, own=np.arange(len(x)))
+    for i in range(0, len(x), 64):
+        rows = np.arange(i, min(i + 64, len(x)))
+        cand = found[rows]
         # differences, so that a pair has one distance in every cell
         apart = wide[cand] - wide[rows][:, None]
         d = np.einsum("ijk,ijk->ij", apart, apart)
         d = np.where((cand < 0) | (cand == rows[:, None]), np.inf, d)
         last = np.sort(d, axis=1)[:, min(k, d.shape[1]) - 1]
         take = (d <= last[:, None]) & np.isfinite(d)
-        for j in range(PROBES - 1):
+        for j in range(rank[rows].max()):
             take &= ~((homes[cand] == homes[rows, j][:, None, None]).any(2) & (j < rank[rows])[:, None])
         for row, c, dd, t in zip(rows, cand, d, take):
             yield row, c[t], dd[t].astype(float)
@@ -343,14 +353,14 @@ def fit_cells(chunks: DataFrame, dim: int, n: int) -> Cells:
     """Cells for n distinct vectors. What reaches the driver is at most 2 x SAMPLE vectors and
     MOST_CELLS centres in half precision."""
     cells = int(min(MOST_CELLS, n // CELL_ROWS))
-    if cells <= COPIES:
+    if cells <= MOST_COPIES:
         return Cells(np.zeros((1, dim), np.float32))
     sample = decode([r.vec for r in _sampled(chunks, dim, n, SAMPLE).select("vec").limit(2 * SAMPLE).collect()])
     if not len(sample):
         return Cells(np.zeros((1, dim), np.float32))
     coarse = fit_centres(sample, min(cells, COARSE))
     if cells <= COARSE:
-        return Cells(coarse)
+        return Cells(coarse).fit_margin(sample)
     share = np.bincount(_nearest(sample, coarse)[0][:, 0], minlength=len(coarse)) / len(sample)
     wanted = np.maximum(1, np.rint(share * cells)).astype(int)
     shared = chunks.sparkSession.sparkContext.broadcast((coarse, wanted))
@@ -367,7 +377,7 @@ def fit_cells(chunks: DataFrame, dim: int, n: int) -> Cells:
 
     drawn = _sampled(chunks, dim, n, cells * FINE_SAMPLE).select("vec").mapInPandas(home, "coarse int, vec binary")
     fine = drawn.groupBy("coarse").applyInPandas(fit, "coarse int, fine binary").collect()
-    return Cells(coarse, {r.coarse: np.frombuffer(r.fine, np.float16).reshape(-1, dim) for r in fine})
+    return Cells(coarse, {r.coarse: np.frombuffer(r.fine, np.float16).reshape(-1, dim) for r in fine}).fit_margin(sample)
 
 
 def neighbours(chunks: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
@@ -378,7 +388,7 @@ def neighbours(chunks: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
     rows disagree in content, take no part; repeated rows count once; of an id with
     several usable vectors the one of the smallest bytes counts. Fewer than k other ids:
     all of them. Other columns are ignored; an empty table gives no rows. Approximate: a
-    neighbour that is a node of none of the cells that the id asks is missed.
+    neighbour that belongs to none of the id's cells is missed.
     """
     spark = chunks.sparkSession
     rows = packed(chunks, dim)
@@ -404,23 +414,23 @@ def neighbours(chunks: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
         for pdf in batches:
             for i in range(0, len(pdf), 2048):
                 part = pdf.iloc[i : i + 2048]
-                near = cells.value.nearest(decode(part["vec"]), COPIES)
-                part = part.assign(homes=list(near))
-                for j in range(COPIES):
-                    yield part.assign(cell=near[:, j], rank=j)[near[:, j] >= 0]
+                homes = cells.value.homes(decode(part["vec"]))
+                part = part.assign(homes=list(homes))
+                for j in range(homes.shape[1]):
+                    if (homes[:, j] >= 0).any():
+                        yield part.assign(cell=homes[:, j], rank=j)[homes[:, j] >= 0]
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         x, key, own, rank = decode(pdf["vec"]), pdf["key"].to_numpy(), pdf["ids"].to_numpy(), pdf["rank"].to_numpy()
-        asks = np.flatnonzero(rank < PROBES)
         out = []
-        for row, other, d in cell_lists(x, asks, x @ rotation.value, k, np.stack(pdf["homes"]), rank):
+        for row, other, d in cell_lists(x, x @ rotation.value, k, np.stack(pdf["homes"]), rank):
             size = [len(own[o]) for o in other]
             out.append((key[row], own[row], [i for o in other for i in own[o]], np.repeat(d, size).tolist()))
         return pd.DataFrame(out, columns=["key", "own", "near", "d"])
 
     routed = distinct.mapInPandas(route, "key binary, ids array<string>, vec binary, homes array<int>, cell int, rank int")
     lists = routed.groupBy("cell").applyInPandas(search, "key binary, own array<string>, near array<string>, d array<double>")
-    # at most PROBES lists of a vector
+    # at most MOST_COPIES lists of a vector
     merged = lists.groupBy("key").agg(F.first("own").alias("own"), F.flatten(F.collect_list(F.arrays_zip("d", F.col("near").alias("id")))).alias("l"))
     own = F.transform("own", lambda i: F.struct(F.lit(0.0).alias("d"), i.alias("id")))
     near = merged.select("own", F.slice(F.array_sort(F.array_distinct(F.concat(own, "l"))), 1, k + 1).alias("l"))
