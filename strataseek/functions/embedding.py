@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 
 from strataseek.schema import DIM
 
-MAX_CHARS = 1500
 BATCH = 32
 
 
 class Embedder(Protocol):
+    """``max_chars``: characters of a text that the model reads; None for all."""
+
     dim: int
+    max_chars: int | None
 
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
 class HashEmbedder:
     """Words hashed into a signed vector of unit length: the same text gives the same vector
-    anywhere. A stand-in for a model, for tests and offline use."""
+    anywhere, from the whole text. A stand-in for a model, for tests and offline use."""
+
+    max_chars = None
 
     def __init__(self, dim: int = DIM):
         self.dim = dim
@@ -42,7 +46,9 @@ class HashEmbedder:
 
 class OnnxEmbedder:
     """Mean-pooled output of an ONNX model, at unit length. Needs a model file and a
-    function from texts to its inputs; loaded once in a worker."""
+    function from texts to its inputs; loaded once in a worker. Reads the beginning of a text."""
+
+    max_chars = 1500
 
     def __init__(self, model_path: str, encode: Callable[[list[str]], dict], dim: int = DIM):
         self.model_path, self.encode, self.dim, self._session = model_path, encode, dim, None
@@ -68,14 +74,14 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def with_vectors(chunks: DataFrame, make: Callable[[], Embedder] = HashEmbedder) -> DataFrame:
-    """Chunks with a ``vector`` of the first 1500 characters of their content. ``make`` is
-    called once in a task; texts go to the embedder in batches."""
+    """Chunks with a ``vector`` of their content, as much of it as the embedder reads. ``make``
+    is called once in a task; texts go to the embedder in batches."""
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         for texts in batches:
-            cut = [(t or "")[:MAX_CHARS] for t in texts]
+            cut = [(t or "")[: model.max_chars] for t in texts]
             parts = [model.embed(cut[i : i + BATCH]) for i in range(0, len(cut), BATCH)]
             yield pd.Series([row for p in parts for row in p])
 

@@ -18,7 +18,12 @@ MIN_CHARS, MAX_SOURCE = 100, 500_000
 MERGE_SIDE, MERGE_GAP, MERGE_TOTAL = 800, 200, 2000
 
 
-def frames(files: DataFrame) -> DataFrame:
+def _sized(most: int | None) -> Column:
+    n = F.length("content")
+    return n > 0 if most is None else n.between(1, most)
+
+
+def frames(files: DataFrame, most: int | None = MAX_SOURCE) -> DataFrame:
     """Chunks of 60 lines that start every 52 lines, for rows (path, language, content).
 
     Columns: path, language, start_line, end_line, content. A frame whose text is shorter
@@ -143,11 +148,12 @@ def extract_ranges(lang: str, source: str) -> list[tuple[int, int]] | None:
     return None if lang in TEXT_LANGUAGES else brace_ranges(source)
 
 
-def chunk_files(files: DataFrame, extractor: Extractor = extract_ranges) -> DataFrame:
+def chunk_files(files: DataFrame, extractor: Extractor = extract_ranges, most: int | None = MAX_SOURCE) -> DataFrame:
     """Chunks of files (path, content) with ids: code by its definitions, text and code
     without any by frames. Paths of unknown language have none. ``extractor`` gives the
-    character ranges of a source and may wrap any parser."""
-    known = files.select("path", language(F.col("path")).alias("language"), "content").where("language IS NOT NULL").where(F.length("content").between(1, MAX_SOURCE))
+    character ranges of a source and may wrap any parser. Contents above ``most``
+    characters have none either; None sets no bound."""
+    known = files.select("path", language(F.col("path")).alias("language"), "content").where("language IS NOT NULL").where(_sized(most))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -157,11 +163,7 @@ def chunk_files(files: DataFrame, extractor: Extractor = extract_ranges) -> Data
     text = known.where(F.col("language").isin(TEXT_LANGUAGES))
     code = known.where(~F.col("language").isin(TEXT_LANGUAGES)).mapInPandas(run, "path string, language string, content string, r array<struct<s:int,e:int>>")
     merged = range_chunks(code.where(F.size("r") > 0), merge_ranges(F.col("r")))
-    framed = frames(text.unionByName(code.where(F.size("r") == 0).drop("r")))
+    framed = frames(text.unionByName(code.where(F.size("r") == 0).drop("r")), most)
     out = merged.unionByName(framed)
     return out.select(chunk_id(F.col("path"), F.col("start_line"), F.col("end_line")).alias("id"), "path", "language", "start_line", "end_line", "content")
 
-
-def numbered(chunks: DataFrame) -> DataFrame:
-    """An ordinal for chunks that share an id."""
-    return chunks.withColumn("ordinal", F.row_number().over(Window.partitionBy("id").orderBy("content")) - 1)

@@ -27,9 +27,9 @@ def scope(df: DataFrame, language: str | None = None, path_glob: str | None = No
     return df.where(reduce(and_, conds)) if conds else df
 
 
-def any_token(tokens: list[str], match: str = "contains") -> Column:
-    """Whether a content holds any of the first twelve tokens; false without tokens."""
-    return reduce(or_, [holds(F.col("content"), t, match) for t in tokens[:CANDIDATE_TOKENS]], F.lit(False))
+def any_token(tokens: list[str], match: str = "contains", most: int | None = CANDIDATE_TOKENS) -> Column:
+    """Whether a content holds any of the first ``most`` tokens (None: of all); false without tokens."""
+    return reduce(or_, [holds(F.col("content"), t, match) for t in tokens[:most]], F.lit(False))
 
 
 def clamp(value, low: int, high: int, default: int) -> int:

@@ -16,16 +16,18 @@ def ranked(top: DataFrame, *order) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
-def fuse(semantic: DataFrame, keyword: DataFrame, limit: int, weight_keyword: float = 1.0) -> DataFrame:
+def fuse(semantic: DataFrame, keyword: DataFrame, limit: int, weight_keyword: float = 1.0, payload: list[str] = ()) -> DataFrame:
     """The best ids of two ranked lists (id, rank, distance / bm25).
 
     An id gets weight / (60 + rank) from each place it has, repeated places in one list
     add up. Columns: id, rrf, via (semantic, keyword or both), rank_semantic,
-    rank_keyword, distance, bm25. Ties: the semantic list's order, then the other's.
+    rank_keyword, distance, bm25, and those of ``payload`` from the id's first place, of the
+    semantic list if it is there. Ties: the semantic list's order, then the other's.
     Rows with a null id are left out; an empty list gives the other one.
     """
-    a = semantic.select("id", F.col("rank").alias("ra"), F.lit(None).cast("int").alias("rb"), (1.0 / (RRF_K + F.col("rank"))).alias("w"), "distance", F.lit(None).cast("double").alias("bm25"))
-    b = keyword.select("id", F.lit(None).cast("int").alias("ra"), F.col("rank").alias("rb"), (weight_keyword / (RRF_K + F.col("rank"))).alias("w"), F.lit(None).cast("double").alias("distance"), "bm25")
+    kept = F.struct(*(payload or ["id"])).alias("kept")
+    a = semantic.select("id", F.col("rank").alias("ra"), F.lit(None).cast("int").alias("rb"), (1.0 / (RRF_K + F.col("rank"))).alias("w"), "distance", F.lit(None).cast("double").alias("bm25"), kept)
+    b = keyword.select("id", F.lit(None).cast("int").alias("ra"), F.col("rank").alias("rb"), (weight_keyword / (RRF_K + F.col("rank"))).alias("w"), F.lit(None).cast("double").alias("distance"), "bm25", kept)
     merged = (
         a.unionByName(b)
         .where("id IS NOT NULL")
@@ -36,10 +38,13 @@ def fuse(semantic: DataFrame, keyword: DataFrame, limit: int, weight_keyword: fl
             F.min("rb").alias("rank_keyword"),
             F.min_by("distance", "ra").alias("distance"),
             F.min_by("bm25", "rb").alias("bm25"),
+            F.min_by("kept", F.struct(F.coalesce("ra", F.lit(2**31 - 1)), "rb")).alias("kept"),
         )
     )
     via = F.when(F.col("rank_semantic").isNull(), "keyword").when(F.col("rank_keyword").isNull(), "semantic").otherwise("both")
-    return merged.withColumn("via", via).orderBy(F.desc(F.round("rrf", 12)), F.asc_nulls_last("rank_semantic"), "rank_keyword").limit(limit)
+    own = ["id", "rrf", "rank_semantic", "rank_keyword", "distance", "bm25"]
+    best = merged.withColumn("via", via).orderBy(F.desc(F.round("rrf", 12)), F.asc_nulls_last("rank_semantic"), "rank_keyword").limit(limit)
+    return best.select(*own, "via", *[F.col("kept")[c].alias(c) for c in payload])
 
 
 def keyword_weight(literals: list[str], df: dict[str, int]) -> float:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +40,14 @@ def missing_files(listing: DataFrame, files: DataFrame) -> DataFrame:
     return stored_times(files).select("path").join(listing.where("is_file").select("path"), "path", "left_anti")
 
 
-def staleness(listing: DataFrame, files: DataFrame, sample: int | None = None) -> DataFrame:
+def staleness(listing: DataFrame | Callable[[DataFrame], DataFrame], files: DataFrame, sample: int | None = None) -> DataFrame:
     """One row: files looked at, stale and missing ones; of a sample drawn by the hash of the
-    path where one is asked for."""
+    path where one is asked for. ``listing`` may be a function that lists given paths."""
     seen = stored_times(files).select("path", "stored")
     if sample:
         seen = seen.orderBy(F.md5("path"), "path").limit(sample)
+    if not isinstance(listing, DataFrame):
+        listing = listing(seen)
     disk = listing.where("is_file").groupBy("path").agg(F.max("mtime_ms").alias("mtime_ms"), F.lit(True).alias("there"))
     both = seen.join(disk, "path", "left")
     return both.agg(
@@ -53,6 +57,29 @@ def staleness(listing: DataFrame, files: DataFrame, sample: int | None = None) -
     )
 
 
+def freshness(paths: DataFrame, files: DataFrame, listing: DataFrame) -> DataFrame:
+    """One row about the distinct paths of some results: looked_at, stale (newer on disk than
+    stored), missing on disk, example (the first stale path)."""
+    once = paths.select("path").distinct()
+    stored = stored_times(files.join(once, "path", "left_semi")).select("path", "stored")
+    disk = listing.where("is_file").join(once, "path", "left_semi").groupBy("path").agg(F.max("mtime_ms").alias("mtime_ms"), F.lit(True).alias("there"))
+    newer = F.coalesce(F.floor("mtime_ms") > F.floor("stored"), F.lit(False))
+    return once.join(stored, "path", "left").join(disk, "path", "left").agg(
+        F.count(F.lit(1)).alias("looked_at"),
+        F.count_if(newer).alias("stale"),
+        F.count_if(F.col("there").isNull()).alias("missing"),
+        F.min(F.when(newer, F.col("path"))).alias("example"),
+    )
+
+
+def run_counts(listing: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
+    """One row: files of a known language on disk, those of them to index, those to skip."""
+    changed = changed_files(listing, files, force).select("path", F.lit(1).alias("c"))
+    return on_disk(listing).join(changed, "path", "left").agg(
+        F.count(F.lit(1)).alias("on_disk"), F.count("c").alias("changed"), F.count_if(F.col("c").isNull()).alias("skipped")
+    )
+
+
 def deleted(table: DataFrame, paths: DataFrame) -> DataFrame:
     """A table without the rows of some paths."""
     return table.join(paths.select("path").distinct(), "path", "left_anti").select(*table.columns)

@@ -16,10 +16,13 @@ K1, B, AVERAGE_LENGTH = 1.5, 0.75, 120.0
 
 def document_frequency(scoped: DataFrame, tokens: list[str], match: str = "contains") -> dict[str, int]:
     """Rows that hold each token as a substring: one aggregate for all tokens."""
-    if not tokens:
-        return {}
-    row = scoped.agg(*[F.count_if(holds(F.col("content"), t, match)).alias(f"t{i}") for i, t in enumerate(tokens)]).first()
-    return {t: row[i] for i, t in enumerate(tokens)}
+    return statistics(scoped, tokens, match)[0]
+
+
+def statistics(scoped: DataFrame, tokens: list[str], match: str = "contains") -> tuple[dict[str, int], int]:
+    """(rows that hold each token, all rows) in one pass."""
+    row = scoped.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(holds(F.col("content"), t, match)).alias(f"t{i}") for i, t in enumerate(tokens)]).first()
+    return {t: row[i + 1] for i, t in enumerate(tokens)}, row[0]
 
 
 def idf(df: int, total: int) -> float:

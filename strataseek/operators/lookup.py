@@ -27,6 +27,11 @@ def language_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
 
 
+def language_order(chunks: DataFrame) -> DataFrame:
+    """The same, most chunks first."""
+    return language_stats(chunks).orderBy(F.desc("n"), F.asc_nulls_last("language"))
+
+
 def index_totals(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """One row: chunks, file rows and distinct paths with chunks."""
     f = files.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("paths"))

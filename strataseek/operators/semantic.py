@@ -53,7 +53,7 @@ def distance_udf(query: list[float], metric: str = "sqeuclidean"):
     return measure
 
 
-#: Longer vectors are measured by NumPy in Arrow batches.
+#: Longer vectors are measured by NumPy in Arrow batches; the distances are the same.
 LAMBDA_DIM = 96
 
 
@@ -74,26 +74,30 @@ def top(df: DataFrame, vector: str, query: list[float], k: int, ties: list[str],
     return with_distance(df, vector, query, metric).orderBy("distance", *ties).limit(k)
 
 
-#: The blocks of one dimension are spread over so many keys, and the queries' repeated for each.
-SPREAD = 32
+#: Vectors of a block, and blocks that meet the queries under one key.
+BLOCK_ROWS, BLOCKS_A_KEY = 4096, 8
 
 
 def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
-    """Rows packed by the block: keys and one matrix."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[[x is not None and len(x) > 0 for x in pdf["v"]]]
-            for n, part in pdf.groupby(pdf["v"].map(len)):
-                for i in range(0, len(part), rows):
-                    p = part.iloc[i : i + rows]
-                    m = np.stack(p["v"].to_numpy()).astype(np.float64)
+    """Rows packed by the block: keys and one matrix. Vectors that are null, empty or not
+    finite are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, col = batch.column("k"), batch.column("v")
+            size = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for n in np.unique(size[size > 0]):
+                at = np.flatnonzero(size == n)
+                for i in range(0, len(at), rows):
+                    part = at[i : i + rows]
+                    m = col.take(pa.array(part)).flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(-1, n)
                     good = np.isfinite(m).all(1)
                     if good.any():
-                        yield pd.DataFrame({"dim": [int(n)], "keys": [p["k"].to_numpy()[good].tolist()], "m": [m[good].tobytes()]})
+                        kept = keys.take(pa.array(part[good]))
+                        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), pa.array([m[good].tobytes()], pa.binary())], names=["dim", "keys", "m"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, f"dim int, keys array<{kind}>, m binary")
+    return df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"dim int, keys array<{kind}>, m binary")
 
 
 def batch_top(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, metric: str = "sqeuclidean") -> DataFrame:
@@ -101,22 +105,24 @@ def batch_top(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k:
 
     The queries are a stated, smaller set. They and the rows are packed into blocks, each
     pair of blocks is one matrix product that gives k rows for a query, and these are merged
-    by rank; no pair of single rows is ever a row. Ties by key.
+    by rank; no pair of single rows is ever a row. The queries are repeated for each key, of
+    which there are as many as the rows' number asks for. Ties by key.
     """
+    spread = max(8, -(-vectors.count() // (BLOCK_ROWS * BLOCKS_A_KEY)))  # from the files' footers
     kind = vectors.schema[key].dataType.simpleString()
-    q = _blocks(queries, key, vector, 256).select("dim", F.col("keys").alias("qkeys"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("m"), F.lit(SPREAD)).cast("int")
-    pairs = _blocks(vectors, key, vector, 4096).withColumn("salt", salt).join(q, ["dim", "salt"])
+    q = _blocks(queries, key, vector, 256).select("dim", F.col("keys").alias("qkeys"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("m"), F.lit(spread)).cast("int")
+    pairs = _blocks(vectors, key, vector, BLOCK_ROWS).withColumn("salt", salt).join(q, ["dim", "salt"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
                 x = np.frombuffer(row.m).reshape(-1, row.dim)
                 d = _measure(x, np.frombuffer(row.qm).reshape(-1, row.dim), metric)
-                keys = np.array(list(row.keys))
-                for j, qk in enumerate(row.qkeys):
-                    order = np.lexsort((keys, d[:, j]))[:k]
-                    yield pd.DataFrame({"query": qk, "neighbour": keys[order], "distance": d[order, j]})
+                order = np.argsort(np.asarray(row.keys), kind="stable")  # ties by key
+                keys, d = np.asarray(row.keys)[order], d[order]
+                near = np.argsort(d, axis=0, kind="stable")[:k]
+                yield pd.DataFrame({"query": np.repeat(np.asarray(row.qkeys), len(near)), "neighbour": keys[near].T.ravel(), "distance": np.take_along_axis(d, near, 0).T.ravel()})
 
     near = pairs.mapInPandas(run, f"query {kind}, neighbour {kind}, distance double")
     order = Window.partitionBy("query").orderBy("distance", "neighbour")

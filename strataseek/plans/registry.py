@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataseek.functions import text
 from strataseek.functions.embedding import HashEmbedder, with_vectors
-from strataseek.functions.runtime import ensure_checkpoint_dir, table
+from strataseek.functions.runtime import cut, ensure_checkpoint_dir, table
 from strataseek.operators import chunking, fusion, incremental, keyword, lookup, semantic
 from strataseek.operators.filters import scope
 from strataseek.plans import search
+from strataseek.sources import changes, files
+from strataseek.sources.store import Store
 from strataseek.streaming import maintenance
 
 QUERIES: dict = {}
@@ -38,13 +40,16 @@ def _query_embedding(spark: SparkSession, d: str) -> list[float]:
 
 
 def _query_chunk_vector(spark: SparkSession, d: str) -> list[float]:
-    """The vector of the first chunk that has one."""
-    sized = table(spark, d, "chunks").where(F.size("vector") == 768)
-    for row in sized.orderBy("id", "content").select("vector").limit(64).collect():
-        if all(x is not None and math.isfinite(x) for x in row[0]):
-            return row[0]
-    usable = sized.where(F.forall("vector", lambda x: ~F.isnan(x) & x.isNotNull()))
-    return usable.orderBy("id", "content").select("vector").first()[0]
+    """The vector of the first chunk that has one: looked for among the rows of the smallest
+    ids, and among all only if none of those has one."""
+    c = table(spark, d, "chunks")
+    ids = [r[0] for r in c.select("id").orderBy(F.asc_nulls_last("id")).limit(32).collect()]
+    if ids and ids[-1] is not None:
+        for row in c.where(F.col("id") <= ids[-1]).where(F.size("vector") == 768).orderBy("id", "content").select("vector").limit(64).collect():
+            if all(x is not None and math.isfinite(x) for x in row[0]):
+                return row[0]
+    usable = c.where(F.size("vector") == 768).where(F.forall("vector", lambda x: ~F.isnan(x) & x.isNotNull()))
+    return usable.agg(F.min_by("vector", F.struct("id", "content"))).first()[0]
 
 
 # vectors
@@ -82,7 +87,10 @@ def semantic_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     return got.select("query", "neighbour", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"SELECT vec_id, round(sqrt({_DOT.format(a=_V, b=_V)}), 5) AS norm_before, 1.0::DOUBLE AS norm_after FROM embeddings")
+_NORM = f"sqrt({_DOT.format(a=_V, b=_V)})"
+
+
+@query(f"WITH u AS (SELECT vec_id, {_NORM} AS n, list_transform({_V}, lambda x: x / {_NORM}) AS v FROM embeddings) SELECT vec_id, round(n, 5) AS norm_before, round(sqrt({_DOT.format(a='v', b='v')}), 5) AS norm_after FROM u")
 def vector_normalize_check(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").withColumn("n", semantic.normalized(F.col("embedding")))
     return e.select("vec_id", F.round(F.sqrt(semantic.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm_before"), F.round(F.sqrt(semantic.dot(F.col("n"), F.col("n"))), 5).alias("norm_after"))
@@ -101,12 +109,12 @@ def chunk_semantic_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _embedded(spark, d):
     c = table(spark, d, "chunks").select("id", "content").where("content IS NOT NULL").distinct()
-    return with_vectors(c, lambda: HashEmbedder(64))
+    return with_vectors(c, HashEmbedder)
 
 
-@query()
+@query("SELECT DISTINCT id, md5(content) AS content_md5, 768 AS dim, (CASE WHEN regexp_matches(content, '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END)::DOUBLE AS norm FROM chunks WHERE content IS NOT NULL")
 def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of all contents by the hashing embedder, as a check of their length and norm."""
+    """Vectors of all whole contents by the hashing embedder, as a check of their length and norm."""
     e = _embedded(spark, d)
     return e.select("id", F.md5("content").alias("content_md5"), F.size("vector").alias("dim"), F.round(semantic.dot(F.col("vector"), F.col("vector")), 3).alias("norm"))
 
@@ -150,8 +158,8 @@ def keyword_candidates(spark: SparkSession, d: str) -> DataFrame:
 def _bm25_top(spark, d, q: text.Query, k: int, **filters):
     chunks = table(spark, d, "chunks").select("id", "path", "language", "start_line", "end_line", "content")
     scoped = scope(chunks, **filters)
-    df = keyword.document_frequency(scoped, q.tokens)
-    return keyword.top(scoped, q.tokens, df, chunks.count(), k)
+    df, total = keyword.statistics(scoped, q.tokens)
+    return keyword.top(scoped, q.tokens, df, chunks.count() if filters else total, k)
 
 
 @query(f"WITH {_duck_bm25(_P.tokens)} SELECT id, round(bm25, 6) AS bm25 FROM scored ORDER BY scored.bm25 DESC, id, content LIMIT 20")
@@ -171,11 +179,21 @@ def keyword_bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_duck_bm25(_N.tokens)} SELECT count(*) AS candidates, count(*) FILTER (WHERE bm25 = 0) AS zero_score FROM scored")
 def keyword_zero_score_rows(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("id", "content")
-    df = keyword.document_frequency(chunks, _N.tokens)
-    scored = keyword.candidates(chunks, _N.tokens).select(keyword.bm25(_N.tokens, df, chunks.count(), text.words(F.col("content"))).alias("bm25"))
+    df, total = keyword.statistics(chunks, _N.tokens)
+    scored = keyword.candidates(chunks, _N.tokens).select(keyword.bm25(_N.tokens, df, total, text.words(F.col("content"))).alias("bm25"))
     return scored.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("bm25") == 0).alias("zero_score"))
 
 
+LONG = "loader resolves entry packet metric bucket filter worker schema parser buffer column ledger quota cursor retry"
+_L = text.tokenize(LONG)
+
+
+@query(f"WITH {_duck_bm25(_L.tokens)} SELECT id, round(bm25, 6) AS bm25 FROM scored ORDER BY scored.bm25 DESC, id, content LIMIT 20")
+def keyword_long_query_topk(spark: SparkSession, d: str) -> DataFrame:
+    """More than twelve tokens: the first twelve find candidates, all score them."""
+    return _bm25_top(spark, d, _L, 20).select("id", F.round("bm25", 6).alias("bm25"))
+
+
 @query(" UNION ALL ".join(f"SELECT '{t}' AS token, count(*) FILTER (WHERE {_duck_holds(t)}) AS df FROM chunks" for t in [*_P.tokens, *_N.tokens]))
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
     tokens = [*_P.tokens, *_N.tokens]
@@ -219,8 +237,8 @@ def _fused(spark, d, q: text.Query, weighted: bool, limit: int):
     chunks = table(spark, d, "chunks")
     columns = chunks.select("id", "path", "start_line", "content")
     sem = semantic.top(chunks.select("id", "content", "vector"), "vector", _query_chunk_vector(spark, d), 30, ["id", "content"])
-    df = keyword.document_frequency(columns, list(dict.fromkeys(q.tokens + q.literals)))
-    kw = keyword.top(columns, q.tokens, df, columns.count(), 30)
+    df, total = keyword.statistics(columns, list(dict.fromkeys(q.tokens + q.literals)))
+    kw = keyword.top(columns, q.tokens, df, total, 30)
     weight = fusion.keyword_weight(q.literals, df) if weighted else 1.0
     return fusion.fuse(fusion.ranked(sem, "distance", "id", "content"), fusion.ranked(kw, F.desc("bm25"), "id", "content"), limit, weight)
 
@@ -259,6 +277,21 @@ def confidence_summary(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.round("first_distance", 6).alias("first_distance"), F.round("min_distance", 6).alias("min_distance"), "rows", "confidence")
 
 
+@query(
+    f"""WITH {_Q7}, m AS (SELECT vec_id, label % 2 = 0 AS lit, label % 3 <> 0 AS known, vec_id % 5 = 0 AS kw, vec_id % 3 AS n, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE {_SQ.format(a=_V, b="qv")} / 2.5 END AS dd FROM embeddings, q)
+SELECT vec_id, CASE
+WHEN lit THEN CASE WHEN NOT known THEN 'low' WHEN dd <= 0.55 OR kw THEN 'high' ELSE 'medium' END
+WHEN dd IS NOT NULL THEN CASE WHEN dd <= 0.55 THEN 'high' WHEN dd > 0.75 THEN 'low' ELSE 'medium' END
+WHEN kw AND n > 0 THEN 'high' ELSE 'medium' END AS confidence FROM m"""
+)
+def confidence_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Every branch of the confidence, over situations made from the vectors' ids, labels and distances."""
+    e = semantic.with_distance(table(spark, d, "embeddings"), "embedding", _query_embedding(spark, d))
+    distance = F.when(F.col("vec_id") % 7 != 0, F.col("distance") / 2.5)
+    level = fusion.confidence(F.col("label") % 2 == 0, F.col("label") % 3 != 0, distance, F.col("vec_id") % 5 == 0, F.col("vec_id") % 3)
+    return e.select("vec_id", level.alias("confidence"))
+
+
 @query(f"SELECT id, md5(content) AS content_md5, ({' + '.join(f'''(length(lower(content)) - length(replace(lower(content), '{t}', ''))) // {len(t)}''' for t in ['ledger', 'loadledger'])})::INT AS hits FROM chunks WHERE {_duck_holds('ledger')}")
 def literal_hits(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks").where(text.holds(F.col("content"), "ledger"))
@@ -295,6 +328,18 @@ def language_stats(spark: SparkSession, d: str) -> DataFrame:
     return lookup.language_stats(table(spark, d, "chunks"))
 
 
+@query("WITH n AS (SELECT language, count(*) AS n FROM chunks GROUP BY language) SELECT language, n, row_number() OVER (ORDER BY n DESC, language NULLS LAST) AS place FROM n")
+def language_order(spark: SparkSession, d: str) -> DataFrame:
+    """Languages with most chunks first, and their places."""
+    n = lookup.language_order(table(spark, d, "chunks"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.asc_nulls_last("language"))).cast("bigint"))  # one row for each language
+
+
+@query("SELECT md5(concat(path, ':', start_line, '-', end_line, '  (', coalesce(language, ''), ')', chr(10), '```', coalesce(language, ''), chr(10), content, chr(10), '```')) AS text_md5 FROM chunks")
+def chunk_details(spark: SparkSession, d: str) -> DataFrame:
+    return search.format_chunk(table(spark, d, "chunks")).select(F.md5("text").alias("text_md5"))
+
+
 @query("SELECT (SELECT count(*) FROM chunks) AS chunks, (SELECT count(DISTINCT path) FROM chunks) AS paths_with_chunks, count(*) AS file_rows, count(DISTINCT path) AS files FROM files")
 def index_totals(spark: SparkSession, d: str) -> DataFrame:
     return lookup.index_totals(table(spark, d, "chunks"), table(spark, d, "files"))
@@ -353,9 +398,16 @@ def oversize_split(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversize(rows).select(F.col("path").alias("id"), "start_line", "end_line", F.md5("content").alias("content_md5")).distinct()
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(parts) AS t, unnest(range(1, len(parts) + 1)) AS i FROM p),
+q AS (SELECT doc_id, i, (sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(t) - 2)::INT AS s, length(t)::INT AS n FROM l),
+f AS (SELECT doc_id, i, s, s + n AS e FROM q WHERE i = 1
+UNION ALL SELECT q.doc_id, q.i, CASE WHEN f.e - f.s < 800 AND q.n < 800 AND q.s - f.e < 200 AND q.s + q.n - f.s <= 2000 THEN f.s ELSE q.s END, q.s + q.n FROM f JOIN q ON q.doc_id = f.doc_id AND q.i = f.i + 1)
+SELECT doc_id, s, max(e) AS e FROM f GROUP BY doc_id, s"""
+)
 def merge_small_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """The paragraphs of each document as ranges, folded; tested against a loop."""
+    """The paragraphs of each document as ranges, folded."""
     docs = table(spark, d, "documents")
     parts = F.split("text", "\n\n", -1)
     ends = F.aggregate(
@@ -402,10 +454,44 @@ def preview_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("id", F.md5(text.preview(F.col("content"))).alias("preview_md5"), F.md5(text.one_line(F.col("content"))).alias("line_md5"))
 
 
-@query()
+@query(
+    f"""WITH {_duck_bm25(_N.tokens)}, top AS (SELECT *, row_number() OVER (ORDER BY bm25 DESC, id, content) AS rank FROM scored ORDER BY rank LIMIT 10)
+SELECT rank, concat('[', rank, '] ', path, ':', start_line, '-', end_line, '  (', concat_ws(', ', language, 'via=keyword', concat('kw_hits=', {" + ".join(f"(length(lower(content)) - length(replace(lower(content), '{t}', ''))) // {len(t)}" for t in _N.literals)}), printf('bm25=%.2f', bm25)), ')', chr(10), 'id: ', id, chr(10), '```', coalesce(language, ''), chr(10),
+CASE WHEN length(content) > 800 THEN content[1:800] || chr(10) || '... (truncated)' ELSE content END, chr(10), '```') AS text FROM top"""
+)
 def format_results(spark: SparkSession, d: str) -> DataFrame:
+    got = search.search(table(spark, d, "chunks"), NAMED, None, mode="keyword")
+    return search.format_results(got.rows, literals=True).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query()
+def format_hybrid_results(spark: SparkSession, d: str) -> DataFrame:
+    """Formatted results with all four scores, and the lines above them as rank 0."""
     got = search.search(table(spark, d, "chunks"), NAMED, _query_chunk_vector(spark, d))
-    return search.format_results(got.rows, literals=True)
+    return search.head(got.summary).select(F.lit(0).alias("rank"), "text").unionByName(search.format_results(got.rows, literals=True))
+
+
+def _duck_top(q: text.Query, k: int, n: int) -> str:
+    return f"(WITH {_duck_bm25(q.tokens)} SELECT {n} AS query, id, round(bm25, 6) AS bm25, row_number() OVER (ORDER BY scored.bm25 DESC, id, content) AS rank FROM scored ORDER BY scored.bm25 DESC, id, content LIMIT {k})"
+
+
+@query(" UNION ALL ".join(_duck_top(q, 10, i) for i, q in enumerate((_P, _N, _L), 1)))
+def search_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Several questions at once."""
+    got = search.search_all(table(spark, d, "chunks"), [PLAIN, NAMED, LONG], [None] * 3, mode="keyword")
+    return got.select("query", "id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    f"""WITH {_duck_bm25(_P.tokens)}, top AS (SELECT path FROM scored ORDER BY bm25 DESC, id, content LIMIT 50), p AS (SELECT DISTINCT path FROM top),
+st AS (SELECT path, max(mtime) AS stored FROM files GROUP BY path), dk AS (SELECT path, max(mtime_ms) AS m FROM file_listing WHERE is_file GROUP BY path)
+SELECT count(*) AS looked_at, count(*) FILTER (WHERE floor(m) > floor(stored)) AS stale, count(*) FILTER (WHERE dk.path IS NULL) AS missing, min(CASE WHEN floor(m) > floor(stored) THEN p.path END) AS example
+FROM p LEFT JOIN st ON p.path = st.path LEFT JOIN dk ON p.path = dk.path"""
+)
+def result_freshness(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the files of the found chunks have changed since."""
+    rows = search.search(table(spark, d, "chunks"), PLAIN, None, k=50, mode="keyword").rows
+    return incremental.freshness(rows, table(spark, d, "files"), table(spark, d, "file_listing"))
 
 
 @query(
@@ -459,6 +545,44 @@ def upsert_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return incremental.upserted(files, changed, incremental.file_rows(changed, chunks))
 
 
+@query(f"WITH {_CHANGED} SELECT (SELECT count(*) FROM disk) AS on_disk, (SELECT count(*) FROM changed) AS changed, (SELECT count(*) FROM disk) - (SELECT count(*) FROM changed) AS skipped")
+def index_run_counts(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.run_counts(table(spark, d, "file_listing"), table(spark, d, "files"))
+
+
+@query(
+    """WITH a AS (SELECT path, max(floor(mtime))::BIGINT AS o FROM files GROUP BY path), b AS (SELECT path, max(mtime_ms) AS n FROM file_listing WHERE is_file GROUP BY path)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'unlink' ELSE 'change' END AS kind FROM a FULL JOIN b ON a.path = b.path WHERE b.path IS NULL OR o IS DISTINCT FROM n"""
+)
+def change_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The events that turn what is stored into what is on disk."""
+    stored = table(spark, d, "files").select("path", F.floor("mtime").cast("bigint").alias("mtime_ms"), F.lit(True).alias("is_file"))
+    return changes.events_between(stored, table(spark, d, "file_listing"))
+
+
+_IGNORED = r"(^|/)(node_modules|\.git|dist|build|out|target|\.next|\.nuxt|\.turbo|\.cache|\.vercel|coverage)/|(^|/)([^/]*\.lock|package-lock\.json|yarn\.lock|pnpm-lock\.yaml|\.DS_Store|[^/]*\.generated\.(ts|js)|[^/]*\.min\.(js|css))(/|$)"
+
+
+@query(f"SELECT path, count(*) AS n FROM (SELECT path FROM file_listing WHERE is_file UNION ALL SELECT path FROM chunks) WHERE path IS NOT NULL AND NOT regexp_matches(path, '{_IGNORED}') GROUP BY path")
+def kept_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of files and chunks that no ignore rule hides."""
+    paths = table(spark, d, "file_listing").where("is_file").select("path").unionByName(table(spark, d, "chunks").select("path"))
+    return files.not_ignored(paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(f"SELECT path, kind, count(*) AS n FROM (SELECT path, kind, {_LANGUAGE} AS l FROM change_events) WHERE kind IN ('change', 'unlink') AND l IS NOT NULL AND NOT starts_with(path, '../') AND NOT starts_with(path, '/') GROUP BY path, kind")
+def useful_events(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.useful(table(spark, d, "change_events")).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_STORED}, few AS (SELECT DISTINCT path FROM files ORDER BY path LIMIT 40) SELECT path, stored FROM stored WHERE path IN (SELECT path FROM few)")
+def stored_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times of a list of paths."""
+    f = table(spark, d, "files")
+    paths = [r[0] for r in f.select("path").distinct().orderBy("path").limit(40).collect()]
+    return incremental.stored_times(f.where(F.col("path").isin(paths))).select("path", "stored")
+
+
 _LAST = """last AS (SELECT path, kind, event_time, seq FROM (SELECT path, kind, event_time, seq, row_number() OVER (PARTITION BY path ORDER BY event_time DESC NULLS LAST, seq DESC, kind DESC) AS r
 FROM change_events WHERE path IS NOT NULL AND kind IS NOT NULL) WHERE r = 1)"""
 
@@ -469,6 +593,41 @@ def delete_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return incremental.deleted(table(spark, d, "chunks").select("id", "path", "start_line", "end_line"), gone)
 
 
+def _kept_store(spark: SparkSession, d: str) -> Store:
+    """The tables written as an index; then the changed files get their first chunks alone as
+    new content, and unlinked paths are deleted."""
+    store = Store(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    chunks, listed = table(spark, d, "chunks"), table(spark, d, "files")
+    store.publish(chunks.where("path IS NOT NULL"), listed)
+    changed = cut(incremental.changed_files(table(spark, d, "file_listing"), store.files()))
+    store.upsert(changed, chunks.where("start_line = 1").join(changed, "path", "left_semi"))
+    store.delete(incremental.split_changes(table(spark, d, "change_events"))[0])
+    return store
+
+
+_GONE = f"{_LAST}, gone AS (SELECT path FROM last WHERE kind = 'unlink')"
+
+
+@query(
+    f"""WITH {_CHANGED}, {_GONE} SELECT id, path, start_line, end_line, md5(content) AS content_md5, len(vector) AS dim FROM chunks
+WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM gone) AND (start_line = 1 OR path NOT IN (SELECT path FROM changed))"""
+)
+def store_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the index on disk after an upsert and a delete."""
+    c = _kept_store(spark, d).chunks()
+    return c.select("id", "path", "start_line", "end_line", F.md5("content").alias("content_md5"), F.when(F.col("vector").isNotNull(), F.size("vector")).cast("bigint").alias("dim"))
+
+
+@query(
+    f"""WITH {_CHANGED}, {_GONE}, n AS (SELECT path, count(*)::INT AS n FROM chunks WHERE start_line = 1 GROUP BY path),
+u AS (SELECT path, mtime, chunk_count FROM files WHERE path NOT IN (SELECT path FROM changed) UNION ALL SELECT changed.path, floor(mtime_ms)::DOUBLE, coalesce(n, 0) FROM changed LEFT JOIN n ON changed.path = n.path)
+SELECT path, mtime, chunk_count FROM u WHERE path NOT IN (SELECT path FROM gone)"""
+)
+def store_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of the index on disk after an upsert and a delete."""
+    return _kept_store(spark, d).files()
+
+
 @query(f"WITH {_LAST} SELECT path, kind, event_time, seq FROM last")
 def coalesce_changes(spark: SparkSession, d: str) -> DataFrame:
     return incremental.coalesced(table(spark, d, "change_events"))
@@ -494,4 +653,4 @@ def stream_changes(spark: SparkSession, d: str) -> DataFrame:
     state = maintenance.LatestState(spark, f"{work}/state")
     q = maintenance.maintain(events, state.merge, f"{work}/log", interval=None, known_languages=False)
     q.awaitTermination()
-    return state.read()
+    return state.latest()

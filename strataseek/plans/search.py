@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from strataseek.functions.embedding import Embedder, HashEmbedder, with_vectors
+from strataseek.functions.runtime import cut
 from strataseek.functions.text import Query, occurrences, preview, tokenize
 from strataseek.operators import chunking, fusion, incremental, keyword, lookup, semantic
 from strataseek.operators.filters import clamp, scope
 from strataseek.schema import CHUNKS
 from strataseek.sources import files as sources
 from strataseek.sources.store import Store
+from strataseek.streaming import maintenance
 
 
 @dataclass
 class SearchResult:
-    """Rows in order (``rank`` from 1) and what is known about them as one row."""
+    """Rows in order (``rank`` from 1) and what is known about them as one row: first_distance,
+    min_distance, rows, confidence, paths (distinct ones), literals (rows of the index that
+    hold each) and reasons of a confidence that isn't high."""
 
     rows: DataFrame
     summary: DataFrame
@@ -28,6 +35,23 @@ class SearchResult:
     mode: str
 
 
+@dataclass(frozen=True)
+class IndexRun:
+    """What a run did: files on disk that have changed or not, those that were read and
+    written, those that couldn't be read and stay as they were, new chunks, dropped files."""
+
+    changed: int
+    skipped: int
+    processed: int
+    unreadable: int
+    chunks: int
+    removed: int
+
+    @property
+    def percent(self) -> int:
+        return round(100 * self.processed / self.changed) if self.changed else 100
+
+
 def literal_hits(literals: list[str]):
     """Places of all literals in a content."""
     return reduce(lambda a, b: a + b, [occurrences(F.col("content"), t) for t in literals], F.lit(0)).cast("int")
@@ -49,7 +73,9 @@ def search(chunks: DataFrame, text: str, vector: list[float] | None, k=10, mode:
     mode = mode if mode in ("semantic", "keyword") else "hybrid"
     scoped = scope(chunks, language, path_glob, path_glob_exclude)
     wanted = query.literals if mode == "semantic" else list(dict.fromkeys(query.tokens + query.literals))
-    df = keyword.document_frequency(scoped, wanted, match)
+    df, total = keyword.statistics(scoped, wanted, match)
+    if scoped is not chunks and corpus != "filtered" and mode != "semantic":
+        total = chunks.count()  # from the files' footers
     columns = ["id", "path", "language", "start_line", "end_line", "content"]
     pool = max(3 * k, 30)
     sem = kw = None
@@ -58,7 +84,6 @@ def search(chunks: DataFrame, text: str, vector: list[float] | None, k=10, mode:
             raise ValueError("this mode needs a query vector")
         sem = semantic.top(scoped.select(*columns, "vector"), "vector", vector, k if mode == "semantic" else pool, ["id", "content"], metric).drop("vector")
     if mode != "semantic":
-        total = (scoped if corpus == "filtered" else chunks).count()
         kw = keyword.top(scoped.select(*columns), query.tokens, df, total, k if mode == "keyword" else pool, match, candidate_limit, min_score)
     none = F.lit(None).cast("double")
     if mode == "semantic":
@@ -68,15 +93,54 @@ def search(chunks: DataFrame, text: str, vector: list[float] | None, k=10, mode:
     else:
         a = fusion.ranked(sem, "distance", "id", "content")
         b = fusion.ranked(kw, F.desc("bm25"), "id", "content")
-        fused = fusion.fuse(a, b, k, fusion.keyword_weight(query.literals, df))
+        fused = fusion.fuse(a, b, k, fusion.keyword_weight(query.literals, df), columns[1:])
         order = [F.desc(F.round("rrf", 12)), F.asc_nulls_last("rank_semantic"), F.col("rank_keyword")]
-        text_of = a.select(*columns, F.lit(0).alias("from")).unionByName(b.select(*columns, F.lit(1).alias("from"))).groupBy("id").agg(F.min_by(F.struct(*columns[1:]), F.struct("from", "content")).alias("c"))
-        got = fusion.ranked(fused.join(text_of, "id"), *order).select("id", "c.*", "distance", "bm25", "rrf", "via", (F.col("rank") + 1).alias("rank"))
+        got = fusion.ranked(fused, *order).select(*columns, "distance", "bm25", "rrf", "via", (F.col("rank") + 1).alias("rank"))
     got = got.withColumn("kw_hits", literal_hits(query.literals))
-    seen = got.agg(F.min_by("distance", F.when(F.col("distance").isNotNull(), F.col("rank"))).alias("first_distance"), F.min("distance").alias("min_distance"), F.count(F.lit(1)).alias("rows"))
+    seen = got.agg(F.min_by("distance", F.when(F.col("distance").isNotNull(), F.col("rank"))).alias("first_distance"), F.min("distance").alias("min_distance"), F.count(F.lit(1)).alias("rows"), F.count_distinct("path").alias("paths"))
     found = any(df.get(t, 0) > 0 for t in query.literals)
     level = fusion.confidence(F.lit(bool(query.literals)), F.lit(found), F.col("first_distance"), F.lit(mode == "keyword"), F.col("rows"))
-    return SearchResult(got, seen.withColumn("confidence", level), query, mode)
+    summary = seen.withColumn("confidence", level).select("first_distance", "min_distance", "rows", "confidence", "paths", _counts({t: df.get(t, 0) for t in query.literals}).alias("literals"), _reasons(query, found).alias("reasons"))
+    return SearchResult(got, summary, query, mode)
+
+
+def _counts(values: dict[str, int]):
+    pairs = [x for t, n in values.items() for x in (F.lit(t), F.lit(n).cast("bigint"))]
+    return F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,bigint>)")
+
+
+def _reasons(query: Query, found: bool):
+    """Why a confidence isn't high; null if it is."""
+    near = F.when(F.col("first_distance").isNotNull(), F.format_string("best dist=%.3f", F.col("first_distance")))
+    none = F.lit("no chunk holds a literal of the query" if query.literals and not found else None).cast("string")
+    return F.when(F.col("confidence") != "high", F.array_compact(F.array(near, none)))
+
+
+def head(summary: DataFrame, stale: DataFrame | None = None) -> DataFrame:
+    """(text): the lines above the results, fewer where there is nothing to say. ``stale``: the
+    one row of ``Engine.freshness``."""
+    both = summary.crossJoin(stale) if stale is not None else summary.withColumn("stale", F.lit(0)).withColumn("looked_at", F.lit(0)).withColumn("example", F.lit(None).cast("string"))  # one row each
+    told = F.array_join(F.transform(F.map_entries("literals"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
+    lines = [
+        F.when(F.size("literals") > 0, F.concat(F.lit("literal tokens: "), told)),
+        F.when(F.col("confidence") != "high", F.concat_ws(" - ", F.concat(F.lit("confidence: "), F.col("confidence")), F.nullif(F.array_join("reasons", "; "), F.lit("")))),
+        F.when(F.col("confidence") == "low", F.lit("  look for the exact text, search by keyword, or ask in other words")),
+        F.when(F.col("stale") > 0, F.format_string("stale: %s of %s result files changed after indexing, such as %s", F.col("stale").cast("string"), F.col("looked_at").cast("string"), F.col("example"))),
+        F.when(F.col("rows") == 0, F.lit("no matches")),
+    ]
+    return both.select(F.concat_ws("\n", *lines).alias("text"))
+
+
+def format_chunk(chunk: DataFrame) -> DataFrame:
+    """(text): one block for each chunk, with its whole content."""
+    place = F.concat(F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("  ("), F.coalesce("language", F.lit("")), F.lit(")"))
+    return chunk.select(F.concat_ws("\n", place, F.concat(F.lit("```"), F.coalesce("language", F.lit(""))), F.coalesce("content", F.lit("")), F.lit("```")).alias("text"))
+
+
+def search_all(chunks: DataFrame, texts: list[str], vectors: list[list[float] | None], **options) -> DataFrame:
+    """The results of several questions, with ``query`` (from 1) and ``question``."""
+    found = [search(chunks, t, v, **options).rows.select(F.lit(i).alias("query"), F.lit(t).alias("question"), "*") for i, (t, v) in enumerate(zip(texts, vectors), 1)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def format_results(rows: DataFrame, literals: bool = False) -> DataFrame:
@@ -93,17 +157,35 @@ def format_results(rows: DataFrame, literals: bool = False) -> DataFrame:
 
 
 class Engine:
-    """An index in a folder: what a user calls."""
+    """An index in a folder: what a user calls. Changes of the index run one after another."""
 
-    def __init__(self, spark: SparkSession, root: str, data_dir: str, make_embedder: Callable[[], Embedder] = HashEmbedder, watch: bool = True, startup_scan: bool = True):
-        self.spark, self.root, self.store, self.make = spark, root, Store(spark, data_dir), make_embedder
+    def __init__(self, spark: SparkSession, root: str, data_dir: str, make_embedder: Callable[[], Embedder] = HashEmbedder, watch: bool = True, startup_scan: bool = True, settle: float = 0.5, buckets: int = 64):
+        self.spark, self.root, self.store, self.make = spark, root, Store(spark, data_dir, buckets), make_embedder
         self.ignore = sources.build_ignore(root, data_dir)
-        self.watch, self.startup_scan = watch, startup_scan
+        self.watch, self.startup_scan, self.settle = watch, startup_scan, settle
+        self._writing = threading.Lock()
+
+    # questions
 
     def search(self, text: str, **options) -> SearchResult:
         vector = None if options.get("mode") == "keyword" and tokenize(text).tokens else self.make().embed([text])[0].tolist()
         return search(self.store.chunks(), text, vector, **options)
 
+    def search_all(self, texts: list[str], **options) -> DataFrame:
+        """The results of several questions: ``search_all``."""
+        return search_all(self.store.chunks(), texts, self.make().embed(texts).tolist(), **options)
+
+    def answer(self, text: str, **options) -> tuple[DataFrame, DataFrame]:
+        """(the lines above the results, the results) as text."""
+        got = self.search(text, **options)
+        return head(got.summary, self.freshness(got.rows)), format_results(got.rows, bool(got.query.literals))
+
+    def freshness(self, rows: DataFrame) -> DataFrame:
+        """One row about the distinct paths of some results: looked_at, stale (newer on disk than
+        in the index), missing, example (of a stale one). Only these paths are looked at."""
+        paths = cut(rows.select("path").distinct())
+        return incremental.freshness(paths, self.store.files(), sources.list_paths(paths, self.root))
+
     def exists(self, text: str, max_locations=20, match: str = "contains", **filters) -> tuple[DataFrame, DataFrame]:
         """(one row of counts, the first places)."""
         if not text or not isinstance(text, str):
@@ -118,31 +200,86 @@ class Engine:
 
     def stats(self) -> tuple[DataFrame, DataFrame]:
         """(totals, chunks of each language, most first)."""
-        return lookup.index_totals(self.store.chunks(), self.store.files()), lookup.language_stats(self.store.chunks()).orderBy(F.desc("n"), "language")
+        return lookup.index_totals(self.store.chunks(), self.store.files()), lookup.language_order(self.store.chunks())
 
     def staleness(self, sample: int | None = 100) -> DataFrame:
-        return incremental.staleness(sources.list_tree(self.spark, self.root, self.ignore, strict=False), self.store.files(), sample)
+        """Stale and missing files of a sample, or of all. Only the sampled paths are looked at."""
+        return incremental.staleness(lambda paths: sources.list_paths(paths, self.root), self.store.files(), sample)
+
+    # changes
 
     def chunk(self, contents: DataFrame) -> DataFrame:
         return with_vectors(chunking.chunk_files(contents), self.make).select(*CHUNKS.fieldNames())
 
-    def index(self, force: bool = False, prune_missing: bool = False) -> int:
-        """Index what has changed since the last run (all with ``force``); the number of files
-        read. Files that are gone stay, unless ``prune_missing``."""
-        listing = sources.list_tree(self.spark, self.root, self.ignore)
-        changed = incremental.changed_files(listing, self.store.files(), force)
-        gone = incremental.missing_files(listing, self.store.files()) if prune_missing else None
-        n = changed.count()
-        if n or (gone is not None and gone.limit(1).count()):
-            self.store.upsert(changed, self.chunk(sources.read_contents(self.spark, self.root, changed)), gone)
-        return n
+    def _write(self, changed: DataFrame, gone: DataFrame | None) -> tuple[int, int]:
+        """Read the changed files once, cut and embed them, and replace their rows; (files, chunks).
+        A file that can't be read keeps the rows and the time it has, so it is tried again."""
+        contents = cut(sources.read_contents(self.spark, self.root, changed))
+        read = changed.join(contents.select("path"), "path", "left_semi").select("path", "mtime_ms")
+        self.store.upsert(read, self.chunk(contents), gone)
+        written = self.store.files().join(contents.select("path"), "path", "left_semi")
+        return tuple(written.agg(F.count(F.lit(1)), F.coalesce(F.sum("chunk_count"), F.lit(0))).first())
+
+    def index(self, force: bool = False, prune_missing: bool = False) -> IndexRun:
+        """Index what has changed since the last run (all with ``force``). Files that are gone
+        stay, unless ``prune_missing``."""
+        with self._writing:
+            listing = cut(sources.list_tree(self.spark, self.root, self.ignore))
+            changed = cut(incremental.changed_files(listing, self.store.files(), force))
+            gone = cut(incremental.missing_files(listing, self.store.files())) if prune_missing else None
+            n, removed = changed.count(), gone.count() if prune_missing else 0
+            processed, chunks = self._write(changed, gone) if n or removed else (0, 0)
+            return IndexRun(n, incremental.on_disk(listing).count() - n, processed, n - processed, chunks, removed)
 
     catch_up = index
 
-    def apply(self, events: DataFrame) -> None:
-        """One batch of changes (path, kind, event_time, seq): deletes first, then what is still there."""
-        known = events.where(F.col("path").isNotNull())
-        gone, touched = incremental.split_changes(known)
-        listing = sources.list_tree(self.spark, self.root, self.ignore, strict=False)
-        there = incremental.on_disk(listing).join(touched, "path", "left_semi")
-        self.store.upsert(there, self.chunk(sources.read_contents(self.spark, self.root, there)), gone)
+    def apply(self, events: DataFrame) -> IndexRun:
+        """One batch of changes (path, kind, event_time, seq): deletes first, then what is still
+        there. Only the batch's own paths are looked at, each once it has rested."""
+        with self._writing:
+            gone, touched = (cut(x) for x in incremental.split_changes(events.where(F.col("path").isNotNull())))
+            there = cut(incremental.on_disk(sources.list_paths(touched, self.root, self.ignore, self.settle)))
+            n, removed = there.count(), gone.count()
+            processed, chunks = self._write(there, gone) if n or removed else (0, 0)
+            return IndexRun(n, 0, processed, n - processed, chunks, removed)
+
+    def serve(self, log: str, checkpoint: str, since: datetime | None = None, interval: str | None = "2 seconds") -> Service:
+        """Keep the index current in the background while questions are answered: what changed
+        while nothing ran is indexed unless ``startup_scan`` is off, and events that are added
+        to ``log`` are applied unless ``watch`` is off."""
+        query = maintenance.maintain(maintenance.read_events(self.spark, log, since=since), self.apply, checkpoint, interval) if self.watch else None
+        service = Service(query)
+        if self.startup_scan:
+            service.start(self.catch_up)
+        return service
+
+
+class Service:
+    """The background work of ``Engine.serve``. A failed scan at the start doesn't end the
+    service; its error is kept in ``error``."""
+
+    def __init__(self, query: StreamingQuery | None):
+        self.query, self.error, self.first_run, self._thread = query, None, None, None
+
+    def start(self, scan: Callable[[], IndexRun]) -> None:
+        def run():
+            try:
+                self.first_run = scan()
+            except Exception as e:
+                self.error = e
+
+        self._thread = threading.Thread(target=run, daemon=True)
+        self._thread.start()
+
+    def await_idle(self) -> None:
+        """Wait until the scan has ended and all events that are there are applied."""
+        if self._thread:
+            self._thread.join()
+        if self.query:
+            self.query.processAllAvailable()
+
+    def stop(self) -> None:
+        """Apply what has arrived, then end."""
+        self.await_idle()
+        if self.query:
+            self.query.stop()

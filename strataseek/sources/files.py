@@ -5,7 +5,11 @@ from __future__ import annotations
 import fnmatch
 import os
 import re
+import stat
+import time
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,38 +76,91 @@ def build_ignore(root: str, data_dir: str | None = None) -> Ignore:
 
 
 def find_root(start: str) -> str:
-    """The nearest folder upwards that holds a repository, else the folder itself."""
-    at = os.path.abspath(start)
-    while True:
-        if os.path.exists(os.path.join(at, ".git")):
-            return at
-        up = os.path.dirname(at)
-        if up == at:
-            return os.path.abspath(start)
-        at = up
-
-
-def list_tree(spark: SparkSession, root: str, ignore: Ignore | None = None, strict: bool = True) -> DataFrame:
-    """(path, mtime_ms, is_file) of the indexable files of a local tree; ignored folders are
-    not entered. Unreadable folders are an error, or skipped with ``strict=False``."""
+    """The nearest folder, from ``start`` upwards, with a ``.git`` in it; ``start`` if there is none."""
+    own = Path(start).absolute()
+    return str(next((p for p in [own, *own.parents] if (p / ".git").exists()), own))
+
+
+def not_ignored(df: DataFrame, ignore: Ignore | None = None) -> DataFrame:
+    """Rows whose path no rule hides; those of a null path are left out."""
+    rules = ignore or Ignore(ALWAYS_IGNORED)
+
+    @F.pandas_udf("boolean")
+    def shown(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: p is not None and not rules.ignores(p))
+
+    return df.where(shown("path"))
+
+
+def _wanted(name: str) -> bool:
+    return "." in name and name.rpartition(".")[2] in LANGUAGE_OF
+
+
+def _stat(root: str, rel: str, settle: float = 0) -> tuple[str, int, bool] | None:
+    """(path, mtime_ms, True) of a regular file, None if there is none. One written less
+    than ``settle`` seconds ago is looked at again until it rests."""
+    full = os.path.join(root, rel)
+    try:
+        seen = os.stat(full)
+        while settle and (age := time.time() - seen.st_mtime) < settle:
+            time.sleep(min(settle, max(0.01, settle - max(age, 0))))
+            before, seen = seen, os.stat(full)
+            if (before.st_mtime_ns, before.st_size) == (seen.st_mtime_ns, seen.st_size):
+                break
+        return (rel, seen.st_mtime_ns // 1_000_000, True) if stat.S_ISREG(seen.st_mode) else None
+    except OSError:
+        return None
+
+
+def list_tree(spark: SparkSession, root: str, ignore: Ignore | None = None, strict: bool = True, folders: int = 256) -> DataFrame:
+    """(path, mtime_ms, is_file) of the indexable files of a tree that the executors reach;
+    ignored folders are not entered. The driver only opens folders from the root downwards
+    until it has about ``folders`` of them; these are walked in tasks, and no file passes
+    the driver. Unreadable folders are an error, or skipped with ``strict=False``."""
     ignore = ignore or build_ignore(root)
-    rows = []
 
     def fail(e: OSError):
         if strict:
             raise e
 
-    for folder, subs, names in os.walk(root, onerror=fail):
-        rel = os.path.relpath(folder, root).replace(os.sep, "/")
-        rel = "" if rel == "." else rel + "/"
-        subs[:] = sorted(d for d in subs if not ignore.ignores(rel + d, True))
-        for name in sorted(names):
-            suffix = name.rpartition(".")[2]
-            if suffix in LANGUAGE_OF and "." in name and not ignore.ignores(rel + name):
-                full = os.path.join(folder, name)
-                if os.path.isfile(full):
-                    rows.append((rel + name, int(os.stat(full).st_mtime_ns // 1_000_000), True))
-    return spark.createDataFrame(rows, LISTING)
+    def children(rel: str) -> list[str]:
+        try:
+            with os.scandir(os.path.join(root, rel)) as entries:
+                return sorted(rel + e.name + "/" for e in entries if e.is_dir(follow_symlinks=False) and not ignore.ignores(rel + e.name, True))
+        except OSError as e:
+            fail(e)
+            return []
+
+    flat, todo = [], [""]
+    while todo and len(flat) + len(todo) < folders:
+        flat.append(todo.pop(0))
+        todo += children(flat[-1])
+
+    def walk(batches):
+        for pdf in batches:
+            for start, deep in zip(pdf["folder"], pdf["deep"]):
+                out = []
+                for folder, subs, names in os.walk(os.path.join(root, start), onerror=fail):
+                    rel = os.path.relpath(folder, root).replace(os.sep, "/")
+                    rel = "" if rel == "." else rel + "/"
+                    subs[:] = [d for d in subs if not ignore.ignores(rel + d, True)] if deep else []
+                    out += [r for n in names if _wanted(n) and not ignore.ignores(rel + n) and (r := _stat(root, rel + n))]
+                yield pd.DataFrame(out, columns=["path", "mtime_ms", "is_file"])
+
+    starts = spark.createDataFrame([(f, False) for f in flat] + [(f, True) for f in todo], "folder string, deep boolean")
+    return starts.repartition(min(folders, max(1, len(flat) + len(todo)))).mapInPandas(walk, LISTING)
+
+
+def list_paths(paths: DataFrame, root: str, ignore: Ignore | None = None, settle: float = 0) -> DataFrame:
+    """(path, mtime_ms, is_file) of those of the given paths that are indexable files now; only
+    these are looked at. ``settle``: seconds a file must rest before it is taken."""
+
+    def look(batches):
+        for pdf in batches:
+            out = [r for p in pdf["path"] if _wanted(p) and not (ignore and ignore.ignores(p)) and (r := _stat(root, p, settle))]
+            yield pd.DataFrame(out, columns=["path", "mtime_ms", "is_file"])
+
+    return paths.select("path").where("path IS NOT NULL").mapInPandas(look, LISTING)
 
 
 def scan_tree(spark: SparkSession, root: str, ignore: Ignore | None = None) -> DataFrame:
@@ -112,11 +169,10 @@ def scan_tree(spark: SparkSession, root: str, ignore: Ignore | None = None) -> D
     are left out: they have no chunks."""
     base = root.rstrip("/")
     rules = ignore or Ignore(ALWAYS_IGNORED)
-    hidden = F.udf(lambda p: rules.ignores(p), "boolean")  # short paths only, after the language filter
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(base)
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "^" + re.escape(re.sub(r"^[a-z0-9]+:/+", "/", base)) + "/*", "")
     named = raw.select(rel.alias("path"), F.unix_millis("modificationTime").alias("mtime_ms"), F.lit(True).alias("is_file"), F.col("content"))
-    return named.where(language(F.col("path")).isNotNull()).where(~hidden("path")).withColumn("content", F.decode("content", "UTF-8"))
+    return not_ignored(named.where(language(F.col("path")).isNotNull()), rules).withColumn("content", F.decode("content", "UTF-8"))
 
 
 def read_contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
@@ -124,8 +180,6 @@ def read_contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame
     The root must be reachable from the executors."""
 
     def run(batches):
-        import pandas as pd
-
         for pdf in batches:
             out = []
             for p in pdf["path"]:

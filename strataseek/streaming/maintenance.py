@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from strataseek.functions.runtime import cut
 from strataseek.functions.text import language
 from strataseek.operators import incremental
+from strataseek.sources.store import Tables
 
 EVENTS = T.StructType(
     [
@@ -23,12 +26,14 @@ EVENTS = T.StructType(
 )
 
 
-def read_events(spark: SparkSession, folder: str, pattern: str | None = None, files_per_trigger: int = 8) -> DataFrame:
-    """A log of change events as a stream: files that are added to a folder."""
+def read_events(spark: SparkSession, folder: str, pattern: str | None = None, files_per_trigger: int = 8, since: datetime | None = None) -> DataFrame:
+    """A log of change events as a stream: files that are added to a folder. ``since``: only
+    events that arrived then or later, so that a new stream needn't begin with the log."""
     reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.parquet(folder)
+    events = reader.parquet(folder)
+    return events if since is None else events.where(F.col("arrived_at") >= F.lit(since).cast("timestamp_ntz"))
 
 
 def useful(events: DataFrame, known_languages: bool = True) -> DataFrame:
@@ -39,29 +44,33 @@ def useful(events: DataFrame, known_languages: bool = True) -> DataFrame:
 
 def maintain(events: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, interval: str | None = "2 seconds", known_languages: bool = True) -> StreamingQuery:
     """Apply each micro-batch of events, coalesced by path. Batches run one after another;
-    after a failure the checkpoint gives the batch again, so ``apply`` must be repeatable:
+    an empty one does nothing; after a failure the checkpoint gives the batch again, so ``apply`` must be repeatable:
     upserts and deletes by path are. Without an interval all that is there is applied and the
     query ends. A trigger takes the place of a timer, so a last burst is never left over."""
 
     def batch(df: DataFrame, _: int) -> None:
-        apply(incremental.coalesced(useful(df, known_languages)))
+        events = incremental.coalesced(useful(df, known_languages))
+        if not events.isEmpty():
+            apply(events)
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-class LatestState:
-    """The last kind of every path, as a table on disk that each batch is merged into."""
+class LatestState(Tables):
+    """The last kind of every path, as a table on disk. A batch is merged into the buckets of
+    its paths; a new process goes on from the state on disk, and a batch that is merged
+    once more after a failure changes nothing."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.version = spark, folder.rstrip("/"), 0
+    SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("event_time", T.TimestampNTZType()), T.StructField("seq", T.LongType())])
 
-    def read(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], "path string, kind string, event_time timestamp_ntz, seq bigint")
-        return self.spark.read.parquet(f"{self.folder}/{self.version}")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16):
+        super().__init__(spark, folder, {"latest": self.SCHEMA}, buckets)
+
+    def latest(self) -> DataFrame:
+        return self.read("latest")
 
     def merge(self, batch: DataFrame) -> None:
-        merged = incremental.coalesced(self.read().unionByName(batch))
-        merged.write.mode("overwrite").parquet(f"{self.folder}/{self.version + 1}")
-        self.version += 1
+        batch = cut(batch.select("path", "kind", "event_time", "seq"))
+        old = self.latest().join(batch.select("path"), "path", "left_semi")
+        self.replace(batch.select("path").distinct(), {"latest": incremental.coalesced(old.unionByName(batch))})

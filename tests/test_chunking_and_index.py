@@ -1,12 +1,13 @@
 import os
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from strataseek.functions.embedding import HashEmbedder, mean_pool
 from strataseek.operators import chunking, incremental
-from strataseek.plans.search import Engine
+from strataseek.plans.search import Engine, format_chunk
 from strataseek.schema import CHUNKS, FILES, require
 from strataseek.sources import files as sources
 from strataseek.sources.changes import events_between
@@ -129,15 +130,18 @@ def test_engine_indexes_incrementally(spark, tmp_path):
     put(root, "node_modules/c.js", "function no() {}\n" * 20, 1000)
     put(root, "empty.py", "", 1000)
     engine = Engine(spark, str(root), str(data), make_embedder=lambda: HashEmbedder(32))
-    assert engine.index() == 3 and engine.index() == 0
+    first = engine.index()
+    assert (first.changed, first.skipped, first.processed, first.unreadable, first.chunks, first.removed, first.percent) == (3, 0, 3, 0, 2, 0, 100)
+    again = engine.index()
+    assert (again.changed, again.skipped, again.processed, again.percent) == (0, 3, 0, 100)
     assert {r.path: r.chunk_count for r in engine.store.files().collect()} == {"src/a.py": 1, "docs/b.md": 1, "empty.py": 0}
     put(root, "src/a.py", "def find_account():\n    return lookup('account')  # " + "y" * 90 + "\n", 900)
     assert engine.staleness().first().stale == 0
     (root / "docs/b.md").unlink()
-    assert engine.index() == 1
+    assert engine.index().processed == 1
     assert engine.exists("account")[0].first().matches == 1 and engine.exists("find_user")[0].first().matches == 0
     assert engine.staleness().first() == (3, 0, 1)
-    engine.index(prune_missing=True)
+    assert engine.index(prune_missing=True).removed == 1
     totals, languages = engine.stats()
     assert totals.first() == (1, 1, 2, 2) and [tuple(r) for r in languages.collect()] == [("python", 1)]
     found = engine.search("find_account", k=3).rows.first()
@@ -175,12 +179,120 @@ def test_store_versions(spark, tmp_path):
     store.delete(changed)
     assert store.chunks().count() == store.files().count() == 0
     assert len([n for n in os.listdir(tmp_path / "s") if n != "current"]) == 2
+    assert len(store._manifests()) == 2
     with pytest.raises(ValueError):
         require(chunks.withColumn("start_line", F.lit("1")), CHUNKS, "chunks")
     with pytest.raises(ValueError):
         require(chunks, FILES, "files")
 
 
+def test_a_change_rewrites_only_its_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), buckets=8)
+    rows = [(f"p{k}:1-2", f"p{k}", "py", 1, 2, f"c{k}", [float(k)]) for k in range(60)]
+    changed = spark.createDataFrame([(r[1], 5) for r in rows], "path string, mtime_ms long")
+    store.upsert(changed, spark.createDataFrame(rows, CHUNKS))
+    before = store._state()["tables"]
+    new = [("p7:1-3", "p7", "py", 1, 3, "new", [0.0]), ("p7:9-9", "p7", "py", 9, 9, "more", None)]
+    one = spark.createDataFrame([("p7", 9)], "path string, mtime_ms long")
+    store.upsert(one, spark.createDataFrame(new, CHUNKS))
+    after = store._state()["tables"]
+    assert all(sum(after[t][b] != before[t][b] for b in before[t]) == 1 for t in ("chunks", "files"))
+    got = {r.id: r.content for r in store.chunks().collect()}
+    assert got == {r[0]: r[5] for r in rows if r[1] != "p7"} | {"p7:1-3": "new", "p7:9-9": "more"}
+    assert {r.path: r.chunk_count for r in store.files().collect()} == {r[1]: 2 if r[1] == "p7" else 1 for r in rows}
+    assert store.get_chunk("p7:1-3").first().content == "new" and store.get_chunk("p7:1-2").count() == 0
+    store.delete(changed.where("path < 'p3'"))
+    assert Store(spark, str(tmp_path / "s")).chunks().where("path < 'p3'").count() == 0 and store.files().count() == sum(r[1] >= "p3" for r in rows)
+    store.publish(spark.createDataFrame(rows[:3], CHUNKS), store.files().limit(0))
+    assert store.chunks().count() == 3 and store.files().count() == 0
+
+
+def test_an_unreadable_file_keeps_its_rows_and_is_tried_again(spark, tmp_path, monkeypatch):
+    root = tmp_path / "repo"
+    root.mkdir()
+    for name in "ab":
+        put(root, f"{name}.md", "\n".join([f"{name} {LINE}"] * 5), 1000)
+    engine = Engine(spark, str(root), str(tmp_path / "data"), make_embedder=lambda: HashEmbedder(8))
+    assert engine.index().chunks == 2
+    for name in "ab":
+        put(root, f"{name}.md", "\n".join([f"new {LINE}"] * 5), 2000)
+    read = sources.read_contents
+    monkeypatch.setattr(sources, "read_contents", lambda s, r, p: read(s, r, p).where("path <> 'b.md'"))
+    run = engine.index()
+    assert (run.changed, run.processed, run.unreadable, run.percent) == (2, 1, 1, 50)
+    assert {r.path: r.content.split()[0] for r in engine.store.chunks().collect()} == {"a.md": "new", "b.md": "b"}
+    assert {r.path: r.mtime for r in engine.store.files().collect()} == {"a.md": 2e6, "b.md": 1e6}
+    monkeypatch.undo()
+    run = engine.index()
+    assert (run.changed, run.processed, run.skipped) == (1, 1, 1) and engine.index().changed == 0
+
+
+def test_listing_in_tasks(spark, tmp_path):
+    for k in range(40):
+        put(tmp_path, f"d{k % 7}/e{k % 3}/f{k}.py", "x", 1000 + k)
+    put(tmp_path, "top.py", "x", 1), put(tmp_path, "build/no.py", "x", 1), put(tmp_path, "noext", "x", 1), put(tmp_path, "d1/.gitignore", "", 1)
+    want = {(f"d{k % 7}/e{k % 3}/f{k}.py", 1000_000 + k * 1000, True) for k in range(40)} | {("top.py", 1000, True)}
+    for folders in (1, 4, 256):
+        assert {tuple(r) for r in sources.list_tree(spark, str(tmp_path), folders=folders).collect()} == want
+    asked = spark.createDataFrame([("top.py",), ("gone.py",), ("noext",), (None,), ("d1",)], "path string")
+    assert [tuple(r) for r in sources.list_paths(asked, str(tmp_path), settle=0.2).collect()] == [("top.py", 1000, True)]
+    with pytest.raises(OSError):
+        sources.list_tree(spark, str(tmp_path / "absent")).collect()
+    assert sources.list_tree(spark, str(tmp_path / "absent"), strict=False).count() == 0
+
+
+def log_of(spark, folder, rows):
+    """Rows (seq, path, kind, second of the day) as a file of the log."""
+    df = spark.createDataFrame(rows, "seq long, path string, kind string, s long")
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0,0,0,s)")
+    df.select("seq", "path", "kind", at.alias("event_time"), at.alias("arrived_at")).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def test_service_scans_watches_and_answers(spark, tmp_path):
+    root, log = tmp_path / "repo", tmp_path / "log"
+    root.mkdir()
+    put(root, "a.md", "\n".join([f"alpha_one {LINE}"] * 5), 1000)
+    log_of(spark, log, [(1, "a.md", "unlink", 1)])
+    engine = Engine(spark, str(root), str(tmp_path / "data"), make_embedder=lambda: HashEmbedder(8), settle=0.05)
+    service = engine.serve(str(log), str(tmp_path / "check"), since=datetime(2024, 1, 1, 0, 0, 2), interval="200 milliseconds")
+    service.await_idle()
+    assert service.first_run.processed == 1 and service.error is None and engine.exists("alpha_one")[0].first().matches == 1
+    put(root, "b.md", "\n".join([f"beta_two {LINE}"] * 5), 2000)
+    log_of(spark, log, [(2, "b.md", "change", 3), (3, "none.md", "change", 3), (4, "../x.md", "change", 3)])
+    service.stop()
+    assert engine.exists("beta_two")[0].first().matches == 1 and not service.query.isActive
+    put(root, "b.md", "\n".join([f"gamma {LINE}"] * 5), 3000)
+    found = engine.search("beta_two", mode="keyword")
+    assert engine.freshness(found.rows).first() == (1, 1, 0, "b.md")
+    head, rows = engine.answer("beta_two", mode="keyword")
+    assert head.first().text == "literal tokens: beta_two=1\nstale: 1 of 1 result files changed after indexing, such as b.md"
+    assert rows.first().text.startswith("[1] b.md:1-5  (md, via=keyword, kw_hits=5")
+    head, rows = engine.answer("absent_name", mode="keyword")
+    assert head.first().text.split("\n") == ["literal tokens: absent_name=0", "confidence: low - no chunk holds a literal of the query", "  look for the exact text, search by keyword, or ask in other words", "no matches"] and rows.count() == 0
+    assert format_chunk(engine.get_chunk("b.md:1-5")).first().text.startswith("b.md:1-5  (md)\n```md\nbeta_two")
+    assert {(r.query, r.id) for r in engine.search_all(["beta_two", "alpha_one"], mode="keyword").collect()} == {(1, "b.md:1-5"), (2, "a.md:1-5")}
+    quiet = Engine(spark, str(root), str(tmp_path / "data"), watch=False, startup_scan=False).serve(str(log), str(tmp_path / "c2"))
+    assert quiet.query is None and quiet.first_run is None
+    quiet.stop()
+
+
+def test_latest_state_goes_on_after_a_restart(spark, tmp_path):
+    log, state = tmp_path / "log", str(tmp_path / "state")
+
+    def run():
+        held = maintenance.LatestState(spark, state, buckets=4)
+        maintenance.maintain(maintenance.read_events(spark, str(log)), held.merge, str(tmp_path / "check"), interval=None).awaitTermination()
+        return {(r.path, r.kind, r.seq) for r in held.latest().collect()}
+
+    log_of(spark, log, [(1, "a.md", "change", 1), (2, "b.md", "change", 1)])
+    assert run() == {("a.md", "change", 1), ("b.md", "change", 2)}
+    log_of(spark, log, [(3, "b.md", "unlink", 2), (4, "a.md", "unlink", 0)])
+    assert run() == {("a.md", "change", 1), ("b.md", "unlink", 3)} == run()
+    held = maintenance.LatestState(spark, state)
+    held.merge(held.latest())
+    assert held.latest().count() == 2
+
+
 def test_diffs_with_dirt(spark):
     stored = spark.createDataFrame([("a.py", 5.5, 1), ("a.py", 4.0, 1), ("b.py", 9.0, None), ("gone.py", 1.0, 0), ("n.py", None, 1)], FILES)
     listing = spark.createDataFrame([("a.py", 5, True), ("b.py", 8, True), ("new.py", 1, True), ("d", 1, False), ("x.bin", 1, True), ("n.py", 1, True), ("t.py", None, True)], "path string, mtime_ms long, is_file boolean")
