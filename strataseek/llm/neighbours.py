@@ -29,7 +29,7 @@ DIM = 768
 K = 5
 #: Cells of a vector on average and at most. How much farther than the nearest cell another one
 #: may be is chosen by the sample so that the average holds.
-COPIES, MOST_COPIES = 2.4, 8
+COPIES, MOST_COPIES = 2.2, 8
 #: Vectors for each cell, so a graph has about COPIES times as many nodes.
 CELL_ROWS = 750
 #: Centres that the driver fits, and the vectors it fits them on.
@@ -169,7 +169,7 @@ class Graph:
     row's candidates are what a search of the graph so far finds and the few rows of its
     block, which is far smaller than the graph."""
 
-    def __init__(self, x: np.ndarray, links: int = 12, ef: int = 32, block: int = 64):
+    def __init__(self, x: np.ndarray, links: int = 12, ef: int = 28, block: int = 128):
         self.x, self.norm, self.ef, self.m = x, (x**2).sum(1), ef, links
         rng = np.random.default_rng(SEED)
         n = len(x)
@@ -343,9 +343,9 @@ def cell_lists(x: np.ndarray, low: np.ndarray, k: int, homes: np.ndarray, rank:
             yield row, c[t], dd[t].astype(float)
 
 
-def _sampled(chunks: DataFrame, dim: int, n: int, most: int) -> DataFrame:
-    """About ``most`` of n distinct vectors, by the hash of their id: key, vec."""
-    share = F.pmod(F.xxhash64("id"), F.lit(max(1, n // most))) == 0
+def _sampled(chunks: DataFrame, dim: int, n: int, most: int, draw: int) -> DataFrame:
+    """About ``most`` of n distinct vectors, by the hash of their id and of the draw's number: key, vec."""
+    share = F.pmod(F.xxhash64("id", F.lit(draw)), F.lit(max(1, n // most))) == 0
     return packed(chunks.where(share), dim).where("key IS NOT NULL").select("key", "vec").dropDuplicates(["key"])
 
 
@@ -355,12 +355,14 @@ def fit_cells(chunks: DataFrame, dim: int, n: int) -> Cells:
     cells = int(min(MOST_CELLS, n // CELL_ROWS))
     if cells <= MOST_COPIES:
         return Cells(np.zeros((1, dim), np.float32))
-    sample = decode([r.vec for r in _sampled(chunks, dim, n, SAMPLE).select("vec").limit(2 * SAMPLE).collect()])
-    if not len(sample):
+    sample = decode([r.vec for r in _sampled(chunks, dim, n, SAMPLE, 0).select("vec").limit(2 * SAMPLE).collect()])
+    if len(sample) < 4 * MOST_COPIES:
         return Cells(np.zeros((1, dim), np.float32))
+    # the margin is chosen on vectors that no centre was fitted on: those lie nearer to theirs
+    sample, held = sample[len(sample) // 4 :], sample[: len(sample) // 4]
     coarse = fit_centres(sample, min(cells, COARSE))
     if cells <= COARSE:
-        return Cells(coarse).fit_margin(sample)
+        return Cells(coarse).fit_margin(held)
     share = np.bincount(_nearest(sample, coarse)[0][:, 0], minlength=len(coarse)) / len(sample)
     wanted = np.maximum(1, np.rint(share * cells)).astype(int)
     shared = chunks.sparkSession.sparkContext.broadcast((coarse, wanted))
@@ -375,9 +377,9 @@ def fit_cells(chunks: DataFrame, dim: int, n: int) -> Cells:
         centres = fit_centres(decode(pdf["vec"]), int(shared.value[1][c]))
         return pd.DataFrame({"coarse": [c], "fine": [centres.astype(np.float16).tobytes()]})
 
-    drawn = _sampled(chunks, dim, n, cells * FINE_SAMPLE).select("vec").mapInPandas(home, "coarse int, vec binary")
+    drawn = _sampled(chunks, dim, n, cells * FINE_SAMPLE, 1).select("vec").mapInPandas(home, "coarse int, vec binary")
     fine = drawn.groupBy("coarse").applyInPandas(fit, "coarse int, fine binary").collect()
-    return Cells(coarse, {r.coarse: np.frombuffer(r.fine, np.float16).reshape(-1, dim) for r in fine}).fit_margin(sample)
+    return Cells(coarse, {r.coarse: np.frombuffer(r.fine, np.float16).reshape(-1, dim) for r in fine}).fit_margin(held)
 
 
 def neighbours(chunks: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
