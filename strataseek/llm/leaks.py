@@ -3,8 +3,8 @@
 Prefix-filtered set join. Items and documents become sequences of folded words and
 of three-word shingles. A run of twelve words holds ten shingles in a row, so a
 document can only match where ten shingles in a row are item shingles; one scan of
-the corpus cuts these stretches out (a fixed-size bitmap of item shingles, whatever
-their number, tells which to keep). Item windows are joined to the stretches on the
+the corpus cuts these stretches out (a bitmap of item shingles, sized by their number
+within bounds, tells which to keep). Item windows are joined to the stretches on the
 rarest shingle of each window only (containment must be full, so one prefix token
 is enough), the position fixes the one place where the window can lie, and the
 twelve words are compared there. Equal stretches are joined once.
@@ -27,7 +27,12 @@ from strataseek.functions.runtime import cut, table
 
 WORDS = 12
 SHINGLE = 3
-BITMAP_BITS = 22
+#: The filter of the corpus scan has about so many bits for each shingle of the items, within
+#: these powers of two: 0.5 MB at least, 128 MB at most, above which more of the corpus passes it.
+BITS_A_SHINGLE, LEAST_BITS, MOST_BITS = 64, 22, 30
+#: Found passages up to which they are broadcast (about 100 bytes each), and by how many salts the
+#: documents of one passage are spread beyond.
+BROADCAST_ROWS, SALTS = 200_000, 64
 
 # Letters of other scripts that look like a Latin one.
 LOOKALIKES = {
@@ -96,8 +101,8 @@ def _shingles(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -137,7 +142,8 @@ def stretches(docs: DataFrame, bitmap) -> DataFrame:
     least = WORDS - SHINGLE + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool)
+        bits, packed = bitmap.value
+        known = np.frombuffer(packed, np.uint8)
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
@@ -145,7 +151,8 @@ def stretches(docs: DataFrame, bitmap) -> DataFrame:
                     if len(ws) < WORDS:
                         continue
                     g = _shingles(_codes(ws))
-                    hit = np.flatnonzero(known[_slot(g)])
+                    slot = _slot(g, bits)
+                    hit = np.flatnonzero(known[slot >> 3] & (128 >> (slot & 7)))
                     if len(hit) < least:
                         continue
                     for part in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
@@ -161,13 +168,28 @@ def stretches(docs: DataFrame, bitmap) -> DataFrame:
     return found.withColumn("key", F.md5(F.concat_ws(" ", "words")))
 
 
-def _bitmap(windows: DataFrame) -> bytes:
-    """Bits of all item shingles, 2**BITMAP_BITS of them however many items there are."""
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    slots = windows.select(F.explode("grams").alias("g")).select(F.shiftrightunsigned("g", 64 - BITMAP_BITS).alias("s"))
-    for row in slots.distinct().toLocalIterator():
-        bits[row.s] = True
-    return np.packbits(bits).tobytes()
+def filter_bits(shingles: int) -> int:
+    """Binary logarithm of the filter's size for so many shingles."""
+    return min(MOST_BITS, max(LEAST_BITS, int(shingles * BITS_A_SHINGLE - 1).bit_length()))
+
+
+def _bitmap(windows: DataFrame) -> tuple[int, bytes]:
+    """(binary logarithm of the bits, the bits) of all item shingles. Pages of 4 kB are made in
+    tasks; the driver lays them together, at most 2**MOST_BITS bits."""
+    bits = filter_bits(windows.count() + WORDS)  # windows of a passage begin at every word
+    page = 15
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1 << page, bool)
+        held[pdf["s"].to_numpy() & ((1 << page) - 1)] = True
+        return pd.DataFrame({"page": pdf["page"].iloc[:1], "b": [np.packbits(held).tobytes()]})
+
+    slots = windows.select(F.explode("grams").alias("g")).select(F.shiftrightunsigned("g", 64 - bits).alias("s")).distinct()
+    pages = slots.withColumn("page", F.shiftright("s", page)).groupBy("page").applyInPandas(fill, "page bigint, b binary")
+    out = bytearray(1 << (bits - 3))
+    for row in pages.toLocalIterator():
+        out[row.page << (page - 3) : (row.page + 1) << (page - 3)] = row.b
+    return bits, bytes(out)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -198,7 +220,13 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         .select("key", "item_id")
         .distinct()
     )
-    return segs.select("doc_id", "key").join(hits, "key").select("doc_id", "item_id").distinct()
+    hits = cut(hits)
+    if hits.count() <= BROADCAST_ROWS:
+        both = segs.select("doc_id", "key").join(F.broadcast(hits), "key")
+    else:  # a passage that many documents share is spread over tasks
+        salted = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = segs.select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["key", "salt"])
+    return both.select("doc_id", "item_id").distinct()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

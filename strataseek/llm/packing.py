@@ -26,7 +26,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Patterns of one capacity at most, and the sampled fillings they are taken from.
 MOST_PATTERNS = 30_000
 DRAWS = 20_000
-SALTS = 64
+#: Texts of one length are numbered in so many parts at least, and one for each so many texts.
+SALTS, SALT_ROWS = 64, 50_000
 SEED = 7
 
 
@@ -83,7 +84,8 @@ def _enumerate(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
 
 
 def _fit(patterns: list, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Non-negative least squares for the repeat counts, by multiplicative updates."""
+    """Non-negative least squares for the repeat counts, by multiplicative updates until no
+    count that matters changes by a hundredth of a repeat."""
     lens = np.array([len(p) for p in patterns])
     col = np.repeat(np.arange(len(patterns)), lens)
     row = np.array([a for p in patterns for a, _ in p])
@@ -93,7 +95,10 @@ def _fit(patterns: list, histogram: np.ndarray, rounds: int = 400) -> np.ndarray
     target = np.bincount(col, weights=val * histogram[row], minlength=len(patterns))
     for _ in range(rounds):
         y = np.bincount(row, weights=val * x[col], minlength=len(histogram))
-        x *= target / np.maximum(np.bincount(col, weights=val * y[row], minlength=len(patterns)), 1e-12)
+        new = x * target / np.maximum(np.bincount(col, weights=val * y[row], minlength=len(patterns)), 1e-12)
+        moved, x = np.abs(new - x).max(initial=0), new
+        if moved < 0.01:
+            break
     return x
 
 
@@ -152,64 +157,68 @@ def pack(docs: DataFrame, containers: DataFrame, vocabulary: str = VOCABULARY) -
     Columns: container_kind, container_id, position, doc_id, piece, token_start, n_tokens.
     A text above the capacity is divided into pieces of exactly the capacity and a rest
     that is packed like any text; every other text is piece 0 and whole. A null or empty
-    text takes no room: it has null container_id and position. Kinds with a null or
-    non-positive capacity are left out; repeated kinds count once; repeated rows of
-    ``docs`` are packed each. Extra columns are ignored; empty tables give no rows.
+    text takes no room: it has null container_id and position. A null kind is a kind like
+    others; rows with a null or non-positive capacity are left out; of several capacities
+    of a kind the smallest counts; repeated rows of ``docs`` are packed each. Extra columns
+    are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
     sized = cut(token_counts(docs, vocabulary))
-    kinds = containers.select("container_kind", "capacity_tokens").where("capacity_tokens > 0").distinct()
-    capacities = {r[0]: r[1] for r in kinds.collect()}  # one row for each kind of container
+    kinds = containers.where("capacity_tokens > 0").groupBy("container_kind").agg(F.min("capacity_tokens").alias("c"))
+    rows = sorted(((r[0], int(r[1])) for r in kinds.collect()), key=str)  # one row for each kind of container
+    names, capacities = [r[0] for r in rows], [r[1] for r in rows]
+    salts = max(SALTS, sized.count() // SALT_ROWS)
     doc = sized.schema["doc_id"].dataType.simpleString()
     out = f"container_kind string, container_id bigint, position int, doc_id {doc}, piece int, token_start bigint, n_tokens bigint"
     if not capacities:
         return spark.createDataFrame([], out)
-    offered = F.array(*[F.struct(F.lit(k).cast("string").alias("container_kind"), F.lit(c).cast("bigint").alias("c")) for k, c in sorted(capacities.items(), key=str)])
+    offered = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).cast("bigint").alias("c")) for k, c in enumerate(capacities)])
     by_kind = sized.select("doc_id", "n_tokens", F.explode(offered).alias("k")).select("doc_id", "n_tokens", "k.*")
     pieces = by_kind.select(
-        "container_kind",
+        "kind",
         "doc_id",
         "c",
         F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_tokens") / F.col("c")) - 1, F.lit(0)).cast("int"))).alias("piece"),
         "n_tokens",
     ).select(
-        "container_kind",
+        "kind",
         "doc_id",
         "piece",
         (F.col("piece") * F.col("c")).alias("token_start"),
         F.least(F.col("c"), F.col("n_tokens") - F.col("piece") * F.col("c")).alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).alias("salt"),
+        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("salt"),
     )
     held = pieces.where("n_tokens > 0")
-    by_salt = cut(held.groupBy("container_kind", "n_tokens", "salt").agg(F.count(F.lit(1)).alias("n")))
-    bins = by_salt.groupBy("container_kind", "n_tokens").agg(F.sum("n").alias("n")).toPandas()  # at most the sum of the capacities
+    by_salt = cut(held.groupBy("kind", "n_tokens", "salt").agg(F.count(F.lit(1)).alias("n")))
+    bins = by_salt.groupBy("kind", "n_tokens").agg(F.sum("n").alias("n")).toPandas()  # at most the sum of the capacities
     plans = {}
-    for kind, part in bins.groupby("container_kind", dropna=False):
+    for kind, part in bins.groupby("kind"):
         part = part.sort_values("n_tokens")
         sizes, counts = part["n_tokens"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
         plans[kind] = _intervals(plan(sizes, counts, int(capacities[kind])), sizes, counts)
-    order = Window.partitionBy("container_kind", "n_tokens").orderBy("salt")
+    order = Window.partitionBy("kind", "n_tokens").orderBy("salt")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = by_salt.select("container_kind", "n_tokens", "salt", before.alias("before"))
-    lengths = spark.createDataFrame(bins.assign(first=bins.sort_values("n_tokens").groupby("container_kind")["n"].transform(lambda s: s.cumsum() - s))[["container_kind", "n_tokens", "first"]], "container_kind string, n_tokens bigint, first bigint")
-    ranked = held.withColumn("r", F.row_number().over(Window.partitionBy("container_kind", "n_tokens", "salt").orderBy("doc_id", "piece")) - 1)
-    placed = ranked.join(offsets, ["container_kind", "n_tokens", "salt"]).join(lengths, ["container_kind", "n_tokens"])
+    offsets = by_salt.select("kind", "n_tokens", "salt", before.alias("before"))
+    lengths = spark.createDataFrame(bins.assign(first=bins.sort_values("n_tokens").groupby("kind")["n"].transform(lambda s: s.cumsum() - s))[["kind", "n_tokens", "first"]], "kind int, n_tokens bigint, first bigint")
+    ranked = held.withColumn("r", F.row_number().over(Window.partitionBy("kind", "n_tokens", "salt").orderBy("doc_id", "piece")) - 1)
+    placed = ranked.join(offsets, ["kind", "n_tokens", "salt"]).join(lengths, ["kind", "n_tokens"])
     shared = spark.sparkContext.broadcast(plans)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for kind, part in pdf.groupby("container_kind"):
+            for kind, part in pdf.groupby("kind"):
                 p = shared.value[kind]
                 g = part["g"].to_numpy()
                 i = np.searchsorted(p["start"], g, "right") - 1
                 k = g - p["start"][i]
                 yield pd.DataFrame({
-                    "container_kind": kind, "container_id": p["base"][i] + k // p["times"][i], "position": p["slot"][i] + k % p["times"][i],
+                    "container_kind": names[kind], "container_id": p["base"][i] + k // p["times"][i], "position": p["slot"][i] + k % p["times"][i],
                     "doc_id": part["doc_id"], "piece": part["piece"], "token_start": part["token_start"], "n_tokens": part["n_tokens"],
                 })
 
-    whole = placed.select("container_kind", "doc_id", "piece", "token_start", "n_tokens", (F.col("first") + F.col("before") + F.col("r")).alias("g"))
-    empty = pieces.where("n_tokens <= 0").select("container_kind", F.lit(None).cast("bigint").alias("container_id"), F.lit(None).cast("int").alias("position"), "doc_id", "piece", "token_start", "n_tokens")
+    whole = placed.select("kind", "doc_id", "piece", "token_start", "n_tokens", (F.col("first") + F.col("before") + F.col("r")).alias("g"))
+    named = F.array(*[F.lit(k).cast("string") for k in names])
+    empty = pieces.where("n_tokens <= 0").select(named[F.col("kind")].alias("container_kind"), F.lit(None).cast("bigint").alias("container_id"), F.lit(None).cast("int").alias("position"), "doc_id", "piece", "token_start", "n_tokens")
     return whole.mapInPandas(run, out).unionByName(empty)
 
 
@@ -223,8 +232,9 @@ def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = pack(table(spark, sf_dir, "documents"), kinds).where("container_id IS NOT NULL").groupBy("container_kind").agg(
         (F.max("container_id") + 1).alias("containers"), F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces")
     )
-    return used.join(kinds.distinct(), "container_kind").select(
-        "container_kind", "containers", "tokens", "pieces", (F.col("containers") * F.col("capacity_tokens") - F.col("tokens")).alias("unused_tokens")
+    sizes = kinds.where("capacity_tokens > 0").groupBy(F.col("container_kind").alias("k")).agg(F.min("capacity_tokens").alias("c"))
+    return used.join(sizes, F.col("container_kind").eqNullSafe(F.col("k"))).select(
+        "container_kind", "containers", "tokens", "pieces", (F.col("containers") * F.col("c") - F.col("tokens")).alias("unused_tokens")
     )
 
 

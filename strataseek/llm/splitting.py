@@ -147,7 +147,7 @@ def _by_file(chunks: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with those of one file next to each other and in order, so that repeated ones
     stand together; one shuffle by file."""
     rows = chunks.select("id", "path", F.coalesce("start_line", F.lit(1)).alias("start_line"), F.coalesce("content", F.lit("")).alias("content"), *columns)
-    keyed = rows.withColumn("file", F.coalesce("path", F.col("id"), F.lit("")))
+    keyed = rows.withColumn("file", F.coalesce("path", F.col("id"), F.md5("content")))
     return keyed.repartition("file").sortWithinPartitions("file", "start_line", "id", "content", "language")
 
 
@@ -194,7 +194,7 @@ def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP_LINES)
     end_line, content, own_start_line (behind the lines shared with the piece before).
 
     Smaller chunks, and null or empty contents, have none. Lines end at ``\\n`` only. A null
-    start_line counts as 1; a null path is a file of one chunk; repeated rows count once;
+    start_line counts as 1; a null path is a file of its own for each id; repeated rows count once;
     an id with two contents has the pieces of each. Other columns are ignored; an empty
     table gives no rows. Only a line above the limit is cut within.
     """

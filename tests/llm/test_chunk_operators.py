@@ -137,6 +137,12 @@ def test_boundaries_use_the_file_around_a_chunk(spark):
     assert splitting.pieces(chunks(spark, [])).count() == 0
 
 
+def test_rows_without_path_and_id_are_files_of_their_own(spark):
+    rows = [(None, None, None, None, f"line {k}\n" * 400) for k in range(5)]
+    out = splitting.pieces(chunks(spark, rows)).collect()
+    assert {r.content.split("\n")[0] for r in out} == {f"line {k}" for k in range(5)} and min(r.start_line for r in out) == 1
+
+
 def test_boundaries_of_a_large_file_in_many_chunks(spark):
     lines = ["{"] + [s for k in range(5000) for s in (f'  "outer{k}": {{', '    "inner": "' + "x" * 70 + '",', '    "more": 1,', '    "last": 2', "  },")] + ['  "end": 0', "}"]
     fenced = ["# a", "```"] + ["# no unit, " + "y" * 60] * 21_000 + ["```", "# b"]

@@ -137,12 +137,37 @@ def test_packing_is_whole_and_tight(spark):
     assert {r.container_kind for r in out} == {"small", "big"}
 
 
+def test_packing_of_null_and_repeated_kinds(spark):
+    kinds = spark.createDataFrame([(None, 10), ("a", 30), ("a", 20), ("a", 20), ("z", 0), ("n", None)], "container_kind string, capacity_tokens int")
+    rows = [(k, "word " * (k % 25 + 1), "en") for k in range(60)]
+    out = packing.pack(docs(spark, rows), kinds).collect()
+    for kind, capacity in ((None, 10), ("a", 20)):
+        mine = [r for r in out if r.container_kind == kind]
+        room = {}
+        for r in mine:
+            room.setdefault(r.container_id, []).append(r.n_tokens)
+        assert {r.doc_id for r in mine} == set(range(60)) and max(map(sum, room.values())) <= capacity
+    assert {r.container_kind for r in out} == {None, "a"}
+
+
 def test_packing_empty_tables(spark):
     kinds = spark.createDataFrame([("small", 64)], "container_kind string, capacity_tokens int")
     assert packing.pack(docs(spark, []), kinds).count() == 0
     assert packing.pack(docs(spark, [(1, "a", "en")]), kinds.where("false")).count() == 0
 
 
+def test_leaks_of_a_hot_passage_in_salted_parts(spark, monkeypatch):
+    """A third of the documents hold one passage; the filter grows with the items."""
+    rows = [(k, f"intro {k} {PASSAGE}" if k % 3 == 0 else f"nothing of interest number {k}", "en") for k in range(300)]
+    held = [(1, PASSAGE), (2, PASSAGE)]
+    monkeypatch.setattr(leaks, "BROADCAST_ROWS", 0)
+    got = {tuple(r) for r in leaks.leaks(docs(spark, rows), items(spark, held)).collect()}
+    assert got == {(k, i) for k in range(0, 300, 3) for i in (1, 2)}
+    assert [leaks.filter_bits(n) for n in (1, 2**16, 2**17, 2**30)] == [22, 22, 23, 30]
+    monkeypatch.setattr(leaks, "LEAST_BITS", 16)
+    assert {tuple(r) for r in leaks.leaks(docs(spark, rows), items(spark, held)).collect()} == got
+
+
 # languages
 
 SENTENCES = {
