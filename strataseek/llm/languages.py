@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -194,7 +195,7 @@ def refit(docs: DataFrame, samples: DataFrame, most: int = REFIT_DOCUMENTS) -> t
             texts = [t.replace("\x00", " ") for t in pdf["text"]]
             labels = pdf["lang"].tolist()
             for a, b in _blocks(texts):
-                s = _read(texts[a:b], prof)
+                s = _read(texts[a:b], prof).rows
                 if not len(s):
                     continue
                 s = s[~s["heading"]]
@@ -274,7 +275,18 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return change, np.cumsum(run)
 
 
-def _sentences(texts: list[str], prof: Profiles, fences: list[tuple[int, int]] | None = None) -> pd.DataFrame:
+class Sentences(NamedTuple):
+    """Sentences as rows, the letter groups of all of them and the row that each belongs to."""
+
+    rows: pd.DataFrame
+    codes: np.ndarray
+    of: np.ndarray
+
+
+NO_SENTENCES = Sentences(pd.DataFrame(), np.empty(0, np.int32), np.empty(0, np.int32))
+
+
+def _sentences(texts: list[str], prof: Profiles, fences: list[tuple[int, int]] | None = None) -> Sentences:
     """One row for each sentence with letters: doc (place in the batch), para, start, end
     (code points), n (letter groups), heading, and a column of scores for each language.
     ``fences``: the fenced spans of the one text, where they are known already."""
@@ -297,9 +309,9 @@ def _sentences(texts: list[str], prof: Profiles, fences: list[tuple[int, int]] |
     para = (np.cumsum(blank))[line] + doc
     codes, at = groups(sym)
     if not len(codes):
-        return pd.DataFrame()
+        return NO_SENTENCES
     rows = prof.rows(codes)
-    first, _ = _dense(sent[at])
+    first, of = _dense(sent[at])
     score = np.add.reduceat(prof.scores[rows], first, axis=0)
     n = np.diff(np.append(first, len(at)))
     begin = at[first]
@@ -312,7 +324,7 @@ def _sentences(texts: list[str], prof: Profiles, fences: list[tuple[int, int]] |
     offset = np.concatenate([[1], np.flatnonzero(zero) + 1])
     out = pd.DataFrame({"doc": doc[begin], "para": para[begin], "start": begin - offset[doc[begin]], "end": end - offset[doc[begin]], "n": n, "heading": heading})
     out["cjk"] = np.add.reduceat((cp[at] >= 0x3040).astype(np.int64), first)
-    return pd.concat([out, pd.DataFrame(score, columns=prof.langs)], axis=1)
+    return Sentences(pd.concat([out, pd.DataFrame(score, columns=prof.langs)], axis=1), codes.astype(np.int32), of.astype(np.int32))
 
 
 #: A sentence is another language's than the rest only if that one leads by so much
@@ -321,8 +333,15 @@ LEAD = 5.0
 LEAST_LETTERS = 12
 
 
-def _stretches(s: pd.DataFrame, langs: list[str]) -> pd.DataFrame:
-    """Sentences -> stretches of one language: doc, start, end, lang, confidence, sentences, paragraphs."""
+def _stretches(read: Sentences, langs: list[str]) -> pd.DataFrame:
+    """Sentences -> stretches of one language: doc, start, end, lang, cosine, confidence, sentences, paragraphs.
+
+    The cosine is that of the stretch's bundle with its language's centred prototype. The
+    bundle's norm follows from the counts of its groups, whose vectors are orthogonal but
+    for one part in the root of DIM. The confidence is the softmax of the languages'
+    cosines in units of their standard deviation, 1 / root of DIM.
+    """
+    s = read.rows
     x = s[langs].to_numpy()
     doc = s["doc"].to_numpy()
     body = ~s["heading"].to_numpy()
@@ -352,7 +371,10 @@ def _stretches(s: pd.DataFrame, langs: list[str]) -> pd.DataFrame:
     g_first, g_run = _dense(key)
     g_x = np.add.reduceat(x, g_first, axis=0)
     g_lang = lang[g_first]
-    z = g_x / np.sqrt(np.add.reduceat(n, g_first))[:, None]
+    key, count = np.unique(g_run[read.of] * np.int64(SYMBOLS**3) + read.codes, return_counts=True)
+    norm = np.sqrt(DIM * np.bincount(key // SYMBOLS**3, count.astype(float) ** 2, len(g_first)))
+    cosine = g_x / np.maximum(norm, 1e-9)[:, None]
+    z = cosine * np.sqrt(DIM)
     z = np.exp(np.minimum(z - z.max(1, keepdims=True), 0))
     conf = z[np.arange(len(z)), g_lang] / z.sum(1)
     # whole paragraphs: every sentence of the paragraph has the language
@@ -361,15 +383,15 @@ def _stretches(s: pd.DataFrame, langs: list[str]) -> pd.DataFrame:
     whole[p_first] = same & (weight[p_first] > 0)
     return pd.DataFrame({
         "doc": doc[g_first], "start": s["start"].to_numpy()[g_first], "end": s["end"].to_numpy()[np.append(g_first[1:], len(s)) - 1],
-        "lang": np.array(langs, object)[g_lang], "confidence": conf,
+        "lang": np.array(langs, object)[g_lang], "cosine": cosine[np.arange(len(z)), g_lang].astype(float), "confidence": conf,
         "sentences": np.add.reduceat((weight > 0).astype(np.int64), g_first), "paragraphs": np.add.reduceat(whole, g_first),
         "groups": np.add.reduceat(n, g_first),
     })
 
 
 def stretches(docs: DataFrame, samples: DataFrame) -> DataFrame:
-    """Stretches in one language: doc_id, start_char, end_char, lang, confidence, sentences,
-    paragraphs (whole ones), letter_groups.
+    """Stretches in one language: doc_id, start_char, end_char, lang, cosine, confidence,
+    sentences, paragraphs (whole ones), letter_groups.
 
     Null or empty texts and texts without prose give no stretch. Whole texts are read.
     Without samples there is no language to choose from and no row. Repeated rows are
@@ -377,7 +399,7 @@ def stretches(docs: DataFrame, samples: DataFrame) -> DataFrame:
     """
     langs, protos = refit(docs, samples)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start_char int, end_char int, lang string, confidence double, sentences int, paragraphs int, letter_groups int"
+    schema = f"doc_id {kind}, start_char int, end_char int, lang string, cosine double, confidence double, sentences int, paragraphs int, letter_groups int"
     model = docs.sparkSession.sparkContext.broadcast((langs, protos))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -388,9 +410,9 @@ def stretches(docs: DataFrame, samples: DataFrame) -> DataFrame:
             ids, texts = pdf["doc_id"].to_numpy(), [(t or "").replace("\x00", " ") for t in pdf["text"]]
             for a, b in _blocks(texts):
                 s = _read(texts[a:b], prof)
-                if len(s):
+                if len(s.rows):
                     g = _stretches(s, prof.langs)
-                    yield pd.DataFrame({"doc_id": ids[a + g["doc"].to_numpy()], "start_char": g["start"], "end_char": g["end"], "lang": g["lang"], "confidence": g["confidence"], "sentences": g["sentences"], "paragraphs": g["paragraphs"], "letter_groups": g["groups"]})
+                    yield pd.DataFrame({"doc_id": ids[a + g["doc"].to_numpy()], "start_char": g["start"], "end_char": g["end"], "lang": g["lang"], "cosine": g["cosine"], "confidence": g["confidence"], "sentences": g["sentences"], "paragraphs": g["paragraphs"], "letter_groups": g["groups"]})
 
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
@@ -401,24 +423,27 @@ BLOCK = 1_000_000
 _BLANK_LINE = re.compile(r"^[\x00-\x09\x0b-\x20\ufeff]*\n", re.M)
 
 
-def _read(texts: list[str], prof: Profiles) -> pd.DataFrame:
+def _read(texts: list[str], prof: Profiles) -> Sentences:
     """Sentences of a block of texts. One text above BLOCK characters is read in parts that end
     with a line, which changes nothing: sentences and names end with their line, fences are
     found in the whole text before, and paragraphs are numbered on from part to part. So
     its stretches are those of one reading, and memory grows with its sentences only."""
     if len(texts) != 1 or len(texts[0]) <= BLOCK:
         return _sentences(texts, prof)
-    text, out, a, blank = texts[0], [], 0, 0
+    text, out, a, blank, n = texts[0], [], 0, 0, 0
     fences = _fences(text)
     while a < len(text):
         b = text.rfind("\n", a, a + BLOCK) + 1 or text.find("\n", a + BLOCK) + 1 or len(text)
         part = text[a:b]
         s = _sentences([part], prof, [(x - a, y - a) for x, y in fences if x < b and y > a])
-        if len(s):
-            out.append(s.assign(start=s["start"] + a, end=s["end"] + a, para=s["para"] + blank))
+        if len(rows := s.rows):
+            out.append(Sentences(rows.assign(start=rows["start"] + a, end=rows["end"] + a, para=rows["para"] + blank), s.codes, s.of + n))
+            n += len(rows)
         blank += len(_BLANK_LINE.findall(part))
         a = b
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
+    if not out:
+        return NO_SENTENCES
+    return Sentences(pd.concat([s.rows for s in out], ignore_index=True), *(np.concatenate([s[k] for s in out]) for k in (1, 2)))
 
 
 def _blocks(texts: list[str], most: int | None = None) -> Iterator[tuple[int, int]]:

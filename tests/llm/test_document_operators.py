@@ -214,8 +214,8 @@ def test_long_texts_give_what_one_reading_gives(spark, monkeypatch):
     for size in (50, 333, 700, 1500):
         monkeypatch.setattr(languages, "BLOCK", size)
         got = languages._stretches(languages._read([text], prof), prof.langs)
-        same = [c for c in whole.columns if c != "confidence"]
-        assert got[same].equals(whole[same]) and np.allclose(got["confidence"], whole["confidence"])
+        same = [c for c in whole.columns if c not in ("confidence", "cosine")]
+        assert got[same].equals(whole[same]) and np.allclose(got[["confidence", "cosine"]], whole[["confidence", "cosine"]])
         assert [b - a for a, b in languages._blocks(["x", text, "y", "z"])] == [1, 1, 2]
     monkeypatch.undo()
     assert "de" not in set(whole["lang"][whole["start"] < text.index("some_name")])
@@ -223,6 +223,17 @@ def test_long_texts_give_what_one_reading_gives(spark, monkeypatch):
     assert {r.lang for r in out if r.letter_groups > 100} == {"ru"} and max(r.end_char for r in out) > 1_000_000
 
 
+def test_cosine_is_that_of_the_bundle(spark):
+    langs, protos = languages.fit(samples(spark))
+    prof = languages.Profiles(langs, protos)
+    text = " ".join(SENTENCES["de"] * 3)
+    read = languages._sentences([text], prof)
+    (_, row), = languages._stretches(read, langs).iterrows()
+    bundle = sum(prof.bind(read.codes[i : i + 500]).astype(float).sum(0) for i in range(0, len(read.codes), 500))
+    exact = bundle @ prof.protos[:, langs.index("de")] / np.linalg.norm(bundle)
+    assert row["lang"] == "de" and abs(row["cosine"] - exact) < 0.05 * exact
+
+
 def test_label_of_a_language_beyond_the_list(spark):
     rows = [(k, "sv", "Det gamla beteendet kan återställas men ska inte längre behövas av någon.") for k in range(3)]
     both = samples(spark).unionByName(samples(spark, rows))
