@@ -48,7 +48,7 @@ def tokenize(text: str | None) -> Query:
 
 def words(col: Column) -> Column:
     """All words of a text in lower case, short ones and stop words too."""
-    return F.regexp_extract_all(F.lower(col), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
 def tokens(col: Column) -> Column:
