@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from re import _constants as rc
 from re import _parser as rp
 
-from strataseek.functions.runtime import table
+from strataseek.functions.runtime import cut, table
 
 WINDOW = 1536
 OVERLAP = 512
@@ -348,6 +349,9 @@ _NUMBERS = re.compile(r"[^\n]{0,40}?[\[{(]\s*(?P<v>(?:0x[0-9a-fA-F]{1,2}|\d{1,3}
 _BODY_LINE = re.compile(r"[\s\"'+#/*|.>-]*[A-Za-z0-9+/=]{8,}(?:\\n)?[\"'+,.\s\\]*")
 _LONE = re.compile(r"""\s*(?:\+|\.)?\s*(?P<q>["'])(?P<s>[^"'\s]{6,})(?P=q)\s*(?:[;,)+.\\]|\|\|)*\s*""")
 
+#: What may stand behind a piece of a string that goes on in the next line.
+_JOINED = re.compile(r"""\\?["'`][ \t]*(?:\+|\.|\\|<<|\|\||&|\.\.)?[ \t]*\\?\s*""")
+
 _LOOKUP = re.compile(r"getenv|environ|\benv\b|\bENV\b|env::|config|settings|vault|secrets?\.|lookup|fetch|require", re.I)
 
 Span = tuple[int, int]
@@ -519,6 +523,49 @@ def _from_above(text: str) -> list[list[Span]]:
     return []
 
 
+class Head(NamedTuple):
+    """What a text holds of a value if one goes on from above: its kind, its places, and whether
+    it reaches the text's end. Whether one does, the text before must tell."""
+
+    kind: str
+    spans: list[Span]
+    through: bool
+
+
+def _heads(text: str) -> list[Head]:
+    """Lines at the beginning that could be a key's body, and those that could be lone pieces of a string."""
+    out, at = [], 0
+    while at < len(text):
+        end = _line(text, at)[1]
+        if not _BODY_LINE.fullmatch(text, at, end):
+            break
+        at = end + 1
+    if at and (body := _body(text, 0, min(at, len(text)))):
+        out.append(Head("key", body, not text[at:].strip()))
+    pieces, at, ended = [], 0, False
+    while not ended and at < len(text) and (m := _LONE.fullmatch(text, at, _line(text, at)[1])):
+        pieces.append(m.span("s"))
+        ended = m[0].rstrip()[-1:] in ";)"
+        at = m.end() + 1
+    return [*out, Head("string", pieces, not ended and not text[at:].strip())] if pieces else out
+
+
+def _open_end(text: str, places: np.ndarray, tags: np.ndarray, values: list[list[Span]]) -> tuple[str, int] | None:
+    """(kind, beginning) of a value that may go on below the text: a key without its closing
+    marker, or a string of which nothing but a sign of joining follows."""
+    keys = places[(tags >> TAGS.index("armour") & 1).astype(bool)]
+    if len(keys):
+        start = text.rfind("-----BEGIN", 0, int(keys[-1]))
+        rest = text[int(keys[-1]) + 1 :]
+        if [(start, start)] in [v[:1] for v in values] and not ARMOUR_END.search(rest) and all(_BODY_LINE.fullmatch(x) or ":" in x or not x.strip("\"'`+ \t\r\\n") for x in rest.split("\n")):
+            return "key", start
+    if values:
+        last = max(values, key=lambda v: v[-1][1])
+        if _JOINED.fullmatch(text, last[-1][1]):
+            return "string", last[0][0]
+    return None
+
+
 def spans(text: str, places: np.ndarray, tags: np.ndarray) -> list[list[Span]]:
     """Values of a text, each as the spans of its pieces; a value that began above the text
     is the first. ``places``: where the automaton's matches end, in characters, with tags."""
@@ -546,8 +593,18 @@ def spans(text: str, places: np.ndarray, tags: np.ndarray) -> list[list[Span]]:
     return out
 
 
-def _scan(texts: list[str]) -> Iterator[tuple[int, list[list[Span]]]]:
-    """(number of the text, its values) for the texts that have any, in blocks of bounded size."""
+class Found(NamedTuple):
+    """What was found in text ``k``: its values, what its head would hold of a value of each kind
+    from above, and what may go on below it."""
+
+    k: int
+    values: list[list[Span]]
+    heads: list[Head]
+    end: tuple[str, int] | None
+
+
+def _scan(texts: list[str]) -> Iterator[Found]:
+    """What the texts hold that hold anything, in blocks of bounded size."""
     i = 0
     while i < len(texts):
         j, size = i, 0
@@ -568,8 +625,10 @@ def _scan(texts: list[str]) -> Iterator[tuple[int, list[list[Span]]]]:
             if len(coded[k]) != len(text) and len(places):  # bytes to characters
                 chars = np.cumsum((np.frombuffer(coded[k], np.uint8) & 0xC0) != 0x80) - 1
                 places = chars[places]
-            if found := spans(text, places, tags[own]):
-                yield i + k, found
+            values = spans(text, places, tags[own])
+            heads = [] if values and values[0] in _from_above(text) else _heads(text)
+            if values or heads:
+                yield Found(i + k, values, heads, _open_end(text, places, tags[own], values))
         i = j
 
 
@@ -584,45 +643,88 @@ def _masked(text: str, values: list[list[Span]]) -> str:
     return "".join(out)
 
 
-def credentials(chunks: DataFrame) -> DataFrame:
-    """One row for each value: id, path, line_no, start_char, end_char (of its first piece
-    within the content, 0-based).
-
-    A null id, path or start_line is passed on (line_no counts from 1 then); null and
-    empty contents hold none; repeated rows are reported once; extra columns are ignored;
-    an empty table gives no rows. Whole contents are read.
-    """
+def _scanned(chunks: DataFrame) -> DataFrame:
+    """Values, heads and open ends of all rows: what, id, path, line_no, start_char, end_char,
+    kind, last (the last line that an open end or a head reaching its chunk's end covers)."""
+    names = ["what", "id", "path", "line_no", "start_char", "end_char", "kind", "last"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [t or "" for t in pdf["content"]]
             ids, paths, starts = pdf["id"].tolist(), pdf["path"].tolist(), pdf["start_line"].tolist()
             rows = []
-            for k, values in _scan(texts):
+            for k, values, heads, end in _scan(texts):
+                first, bottom = int(starts[k]), int(starts[k]) + texts[k].count("\n")
                 for value in values:
                     a, b = next((s for s in value if s[0] < s[1]), value[0])
-                    rows.append((ids[k], paths[k], int(starts[k]) + texts[k].count("\n", 0, value[0][0]), a, b))
-            yield pd.DataFrame(rows, columns=["id", "path", "line_no", "start_char", "end_char"])
+                    rows.append(("value", ids[k], paths[k], first + texts[k].count("\n", 0, value[0][0]), a, b, None, None))
+                for head in heads:
+                    rows.append(("head", ids[k], paths[k], first, *head.spans[0], head.kind, bottom if head.through else None))
+                if end:
+                    rows.append(("open", ids[k], paths[k], first + texts[k].count("\n", 0, end[1]), None, None, end[0], bottom))
+            yield pd.DataFrame(rows, columns=names)
 
     source = chunks.select("id", "path", F.coalesce("start_line", F.lit(1)).alias("start_line"), "content")
-    return source.mapInPandas(run, "id string, path string, line_no int, start_char int, end_char int").distinct()
+    return source.mapInPandas(run, "what string, id string, path string, line_no int, start_char int, end_char int, kind string, last int").distinct()
+
+
+def _entered(scanned: DataFrame) -> DataFrame:
+    """The heads into which a value goes on: those of chunks that begin on a line of the same file
+    that an open value covers, be it open since several chunks."""
+    lines = F.explode(F.sequence(F.col("line_no") + 1, F.col("last") + 1)).alias("line_no")
+    heads, new = scanned.where("what = 'head'"), scanned.where("what = 'open'")
+    found = heads.where("false")
+    while not new.isEmpty():
+        covered = new.where("last IS NOT NULL").select("path", "kind", lines).distinct()
+        new = cut(heads.join(covered, ["path", "kind", "line_no"], "left_semi").join(found, ["id", "path", "line_no", "kind"], "left_anti"))
+        found = found.unionByName(new)
+    return found
+
+
+def credentials(chunks: DataFrame) -> DataFrame:
+    """One row for each value: id, path, line_no, start_char, end_char (of its first piece
+    within the content, 0-based). A value that a chunk of the same file leaves open is
+    followed into the chunks that begin within it or just behind.
+
+    A null id, path or start_line is passed on (line_no counts from 1 then); null and
+    empty contents hold none; repeated rows are reported once; extra columns are ignored;
+    an empty table gives no rows. Whole contents are read.
+    """
+    scanned = cut(_scanned(chunks))
+    both = scanned.where("what = 'value'").unionByName(_entered(scanned))
+    return both.select("id", "path", "line_no", "start_char", "end_char").distinct()
+
+
+#: Chunks into which a value goes on, up to which they are broadcast (about 200 bytes each).
+BROADCAST_ROWS = 100_000
 
 
 def masked(chunks: DataFrame) -> DataFrame:
     """Distinct rows with every value's characters replaced by asterisks (numbers of a byte
-    array by zeros) and all else unchanged: id, path, language, start_line, end_line, content, values."""
+    array by zeros) and all else unchanged: id, path, language, start_line, end_line,
+    content, n_values. Contents are read twice: first for what goes on into other chunks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            content = pdf["content"].tolist()
+            content, kinds = pdf["content"].tolist(), pdf["kinds"].tolist()
             n = np.zeros(len(pdf), np.int32)
-            for k, values in _scan([t or "" for t in content]):
+            for k, values, heads, _ in _scan([t or "" for t in content]):
+                values = [*(h.spans for h in heads if kinds[k] is not None and h.kind in kinds[k]), *values]
                 content[k] = _masked(content[k], values)
                 n[k] = len(values)
-            yield pdf.assign(content=content, n_values=n)
+            yield pdf.drop(columns="kinds").assign(content=content, n_values=n)
 
     names = ["id", "path", "language", "start_line", "end_line", "content"]
-    return chunks.select(names).distinct().mapInPandas(run, "id string, path string, language string, start_line int, end_line int, content string, n_values int")
+    rows = chunks.select(names).distinct()
+    entered = cut(_entered(cut(_scanned(chunks).where("what <> 'value'"))).groupBy("id", "path", F.col("line_no").alias("start_line")).agg(F.collect_set("kind").alias("kinds")))
+    n = entered.count()
+    if n:
+        right = F.broadcast(entered) if n <= BROADCAST_ROWS else entered
+        same = (rows["id"] == right["id"]) & (rows["path"] == right["path"]) & (F.coalesce(rows["start_line"], F.lit(1)) == right["start_line"])
+        rows = rows.join(right, same, "left").select(*[rows[c] for c in names], "kinds")
+    else:
+        rows = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
+    return rows.mapInPandas(run, "id string, path string, language string, start_line int, end_line int, content string, n_values int")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,12 +179,12 @@ HARMLESS = [
 
 @pytest.mark.parametrize("text", SECRETS)
 def test_secret_is_found(text):
-    assert list(credentials._scan(["a = 1\n" + text + "\nb = 2\n"]))
+    assert [f for f in credentials._scan(["a = 1\n" + text + "\nb = 2\n"]) if f.values]
 
 
 @pytest.mark.parametrize("text", HARMLESS)
 def test_harmless_is_left(text):
-    assert not list(credentials._scan(["a = 1\n" + text + "\nb = 2\n"]))
+    assert not [f for f in credentials._scan(["a = 1\n" + text + "\nb = 2\n"]) if f.values]
 
 
 def test_credentials_lines_and_masks(spark):
@@ -244,7 +244,7 @@ def test_values_are_found_through_the_automaton_alone(monkeypatch):
         own = (tags >> i & 1).astype(bool)
         assert credentials.spans(text, at[own] - 1, tags[own] & 1 << i), tag
     monkeypatch.setattr(credentials, "hits", lambda data: (np.empty(0, np.int64), np.empty(0, np.int64)))
-    assert not list(credentials._scan(SECRETS))
+    assert not [f for f in credentials._scan(SECRETS) if f.values]
 
 
 @pytest.mark.parametrize("name", sorted(credentials.SECRET_PARTS | {"contrasen\u0303a", "moje_Hasło", "HASŁO"}))
@@ -252,7 +252,7 @@ def test_every_name_of_a_secret_is_read(name):
     for form in (name, name.upper(), "db_" + name):
         for text in (f"{form} = 'Kupfer#9959x'", f"{form}: Kupfer#9959x"):
             assert len(credentials.hits(text.encode())[0]), text
-            (_, values), = credentials._scan(["é\n" + text])
+            values, = (f.values for f in credentials._scan(["é\n" + text]))
             assert credentials._masked("é\n" + text, values).endswith(text.replace("Kupfer#9959x", "*" * 12)[2:]), text
 
 
@@ -267,12 +267,42 @@ def test_values_are_followed_to_their_end():
     texts.append("k = `-----BEGIN RSA PRIVATE KEY-----\n" + texts[-1] + "`")
     texts.append('k = "-----BEGIN RSA PRIVATE KEY-----\\n' + "\\n".join(body) + '\\n-----END RSA PRIVATE KEY-----"')
     for text in texts:
-        (_, values), = credentials._scan([text])
+        values, = (f.values for f in credentials._scan([text]))
         new = credentials._masked(text, values)
         assert not any(p in new for p in pieces + body) and len(new) == len(text)
         assert all(a == b for a, b in zip(text, new) if a in " \n\"'\\;-")
 
 
+def test_values_over_several_chunks_of_a_file(spark):
+    """A key of 200 lines and a string of many pieces, in frames; the same text elsewhere is none."""
+    import base64
+
+    rnd = random.Random(9)
+    lump = lambda n: base64.b64encode(rnd.randbytes(n)).decode()
+    body = [lump(48) for _ in range(200)]
+    key = ["a = 1", "k = `-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----`", "b = 2"]
+    pieces = [lump(48) for _ in range(40)]
+    string = ["c = 3", f'const passwd = "{pieces[0]}" +', *(f'  "{p}" +' for p in pieces[1:-1]), f'  "{pieces[-1]}";', "d = 4"]
+    rows, want = [], set()
+    for path, lines, first, last in (("r/k.ts", key, 2, 202), ("r/s.ts", string, 2, 41)):
+        for at in range(0, len(lines), 12 if path == "r/s.ts" else 52):
+            part = lines[at : at + (15 if path == "r/s.ts" else 60)]
+            rows.append((f"{path}:{at}", path, "ts", at + 1, "\n".join(part)))
+            if at + 1 <= last:
+                want.add((f"{path}:{at}", max(at + 1, first)))
+    rows += [(f"data{k}", "r/data.ts", "ts", 61 + k, r[4]) for k, r in enumerate(rows) if r[0] in ("r/k.ts:52", "r/s.ts:12")] + [("own", "r/k.ts", "ts", 900, rows[1][4])]
+    df = chunks(spark, rows + rows[:3])
+    assert {(r.id, r.line_no) for r in credentials.credentials(df).collect()} == want
+    for broadcast in (100_000, 0):
+        credentials.BROADCAST_ROWS = broadcast
+        out = {r.id: r.content for r in credentials.masked(df).collect()}
+        assert len(out) == len(rows)
+        for r in rows:
+            assert len(out[r[0]]) == len(r[4]) and (out[r[0]] == r[4]) == (r[0][:4] in ("data", "own") or r[0] not in {i for i, _ in want})
+            assert r[0][:4] in ("data", "own") or not any(x in out[r[0]] for x in body + pieces)
+    credentials.BROADCAST_ROWS = 100_000
+
+
 # provenance
 
 
