@@ -735,4 +735,13 @@ def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked(table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_masked": p2_masked}
+def p2_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What masking must leave: the rows, and the white space of their contents in its places."""
+    m = masked(table(spark, sf_dir, "chunks"))
+    return m.select("id", "path", "language", "start_line", "end_line", F.md5(F.regexp_replace("content", r"[^ \t\r\n]", "x")).alias("layout_md5"))
+
+
+ORACLES = {
+    "p2_layout": r"SELECT id, path, language, start_line, end_line, md5(regexp_replace(content, '[^ \t\r\n]', 'x', 'g')) AS layout_md5 FROM (SELECT DISTINCT id, path, language, start_line, end_line, content FROM chunks)"
+}
+QUERIES = {"p2_layout": p2_layout, "p2_found": p2_found, "p2_masked": p2_masked}

@@ -501,4 +501,12 @@ def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stretches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_stretches": p8_stretches}
+def p8_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language that each document's label names, null if it is unusable."""
+    return table(spark, sf_dir, "documents").select("doc_id", label_code(F.col("lang")).alias("label"))
+
+
+_FIRST = "regexp_split_to_array(lower(trim(lang)), '[-_.@ ]')[1]"
+_NAMED = " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in ALIASES.items())
+ORACLES = {"p8_labels": f"SELECT doc_id, CASE {_FIRST} {_NAMED} END AS label FROM documents"}
+QUERIES = {"p8_labels": p8_labels, "p8_found": p8_found, "p8_stretches": p8_stretches}

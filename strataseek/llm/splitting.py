@@ -9,6 +9,7 @@ is opened. Pieces then take over whole lines of the piece before as far as they
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -191,27 +192,29 @@ def boundaries(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP_LINES) -> DataFrame:
     """Pieces of the chunks above ``limit`` characters: id, path, language, piece, start_line,
-    end_line, content, own_start_line (behind the lines shared with the piece before).
+    end_line, content, own_start_line (behind the lines shared with the piece before),
+    source_md5 (of the chunk's content).
 
     Smaller chunks, and null or empty contents, have none. Lines end at ``\\n`` only. A null
     start_line counts as 1; a null path is a file of its own for each id; repeated rows count once;
     an id with two contents has the pieces of each. Other columns are ignored; an empty
     table gives no rows. Only a line above the limit is cut within.
     """
-    names = ["id", "path", "language", "piece", "start_line", "end_line", "content", "own_start_line"]
+    names = ["id", "path", "language", "piece", "start_line", "end_line", "content", "own_start_line", "source_md5"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for path, known, large in _files(batches, limit):
-            for (id_, language, start, _), lines, units in _described(path, known, large):
+            for (id_, language, start, content), lines, units in _described(path, known, large):
+                source = hashlib.md5(content.encode("utf-8", "surrogatepass")).hexdigest()
                 for n, p in enumerate(pack(lines, units, limit, overlap)):
-                    out.append((id_, path, language, n, start + p.start, start + p.end - 1, p.text, start + p.own))
+                    out.append((id_, path, language, n, start + p.start, start + p.end - 1, p.text, start + p.own, source))
             if len(out) > 2_000:
                 yield pd.DataFrame(out, columns=names)
                 out = []
         yield pd.DataFrame(out, columns=names)
 
-    return _by_file(chunks, ["language"]).mapInPandas(run, "id string, path string, language string, piece int, start_line int, end_line int, content string, own_start_line int")
+    return _by_file(chunks, ["language"]).mapInPandas(run, "id string, path string, language string, piece int, start_line int, end_line int, content string, own_start_line int, source_md5 string")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,4 +225,20 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+def p1_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every oversized chunk without their overlaps, joined again: (id,
+    content_md5), which must be those of the chunks themselves."""
+    p = pieces(table(spark, sf_dir, "chunks"))
+    own = F.array_join(F.slice(F.split("content", "\n", -1), F.col("own_start_line") - F.col("start_line") + 1, F.size(F.split("content", "\n", -1))), "\n")
+    parts = p.groupBy("id", "source_md5").agg(F.sort_array(F.collect_list(F.struct("piece", F.col("own_start_line").alias("at"), own.alias("own")))).alias("l"))
+    # parts of one long line have one line number
+    joined = F.aggregate(
+        "l",
+        F.struct(F.lit("").alias("text"), F.lit(None).cast("int").alias("at")),
+        lambda acc, x: F.struct(F.concat(acc["text"], F.when(acc["at"].isNull() | (acc["at"] == x["at"]), "").otherwise("\n"), x["own"]).alias("text"), x["at"].alias("at")),
+    )
+    return parts.select("id", F.md5(joined["text"]).alias("content_md5")).distinct()
+
+
+ORACLES = {"p1_rejoined": "SELECT DISTINCT id, md5(content) AS content_md5 FROM chunks WHERE length(content) > 2000"}
+QUERIES = {"p1_rejoined": p1_rejoined, "p1_found": p1_found, "p1_pieces": p1_pieces}
