@@ -190,16 +190,21 @@ def pack(docs: DataFrame, containers: DataFrame, vocabulary: str = VOCABULARY) -
     )
     held = pieces.where("n_tokens > 0")
     by_salt = cut(held.groupBy("kind", "n_tokens", "salt").agg(F.count(F.lit(1)).alias("n")))
-    bins = by_salt.groupBy("kind", "n_tokens").agg(F.sum("n").alias("n")).toPandas()  # at most the sum of the capacities
-    plans = {}
-    for kind, part in bins.groupby("kind"):
-        part = part.sort_values("n_tokens")
-        sizes, counts = part["n_tokens"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
-        plans[kind] = _intervals(plan(sizes, counts, int(capacities[kind])), sizes, counts)
+    bins = cut(by_salt.groupBy("kind", "n_tokens").agg(F.sum("n").alias("n")))  # at most the sum of the capacities
+
+    def made(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, kind = pdf.sort_values("n_tokens"), int(pdf["kind"].iloc[0])
+        sizes, counts = pdf["n_tokens"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+        return pd.DataFrame({"kind": kind, **_intervals(plan(sizes, counts, capacities[kind]), sizes, counts)})
+
+    # one plan for each kind, made from its histogram in a task of its own
+    whole_plan = bins.repartition(len(names), "kind").groupBy("kind").applyInPandas(made, "kind int, start bigint, base bigint, times bigint, slot bigint").toPandas()
+    plans = {kind: {c: part[c].to_numpy() for c in ("start", "base", "times", "slot")} for kind, part in whole_plan.sort_values("start").groupby("kind")}
     order = Window.partitionBy("kind", "n_tokens").orderBy("salt")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = by_salt.select("kind", "n_tokens", "salt", before.alias("before"))
-    lengths = spark.createDataFrame(bins.assign(first=bins.sort_values("n_tokens").groupby("kind")["n"].transform(lambda s: s.cumsum() - s))[["kind", "n_tokens", "first"]], "kind int, n_tokens bigint, first bigint")
+    shorter = Window.partitionBy("kind").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = bins.select("kind", "n_tokens", F.coalesce(F.sum("n").over(shorter), F.lit(0)).alias("first"))
     ranked = held.withColumn("r", F.row_number().over(Window.partitionBy("kind", "n_tokens", "salt").orderBy("doc_id", "piece")) - 1)
     placed = ranked.join(offsets, ["kind", "n_tokens", "salt"]).join(lengths, ["kind", "n_tokens"])
     shared = spark.sparkContext.broadcast(plans)
