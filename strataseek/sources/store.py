@@ -132,7 +132,7 @@ class Tables:
             fs.delete(path(f"{self.path}/current/{m}"), False)
         used = {v.split("/", 1)[0] for v in named} | {self._manifest(m)["version"] for m in names[-self.keep :]}
         for s in fs.listStatus(path(self.path)):
-            if s.isDirectory() and s.getPath().getName() not in used | {"current"}:
+            if re.fullmatch("[0-9a-f]{12}", s.getPath().getName()) and s.getPath().getName() not in used:  # left by a failed write
                 fs.delete(s.getPath(), True)
 
 
