@@ -34,21 +34,31 @@ def term_count(word_list: Column, term: str) -> Column:
     return F.size(word_list) - F.size(F.array_remove(word_list, term))
 
 
-def bm25(tokens: list[str], df: dict[str, int], total: int, word_list: Column) -> Column:
-    """Score of a row from its words, terms in the tokens' order. Frequencies count whole
-    words; a token without a document frequency counts as in one document."""
-    length = F.size(word_list)
+def _score(tokens: list[str], df: dict[str, int], total: int, length: Column, counts: list[Column]) -> Column:
     norm = 1 - B + B * (length / AVERAGE_LENGTH)
     score: Column = F.lit(0.0)
-    for t in tokens:
+    for t, tf in zip(tokens, counts):
         weight = idf(df.get(t, 1), total)
-        if weight <= 0:
-            continue
-        tf = term_count(word_list, t)
-        score = score + F.when(tf > 0, F.lit(weight) * (tf * (K1 + 1)) / (tf + K1 * norm)).otherwise(0.0)
+        if weight > 0:
+            score = score + F.when(tf > 0, F.lit(weight) * (tf * (K1 + 1)) / (tf + K1 * norm)).otherwise(0.0)
     return F.when(length > 0, score).otherwise(0.0)
 
 
+def bm25(tokens: list[str], df: dict[str, int], total: int, word_list: Column) -> Column:
+    """Score of a row from its words, terms in the tokens' order. Frequencies count whole
+    words; a token without a document frequency counts as in one document."""
+    return _score(tokens, df, total, F.size(word_list), [term_count(word_list, t) for t in tokens])
+
+
+def with_bm25(rows: DataFrame, tokens: list[str], df: dict[str, int], total: int) -> DataFrame:
+    """Rows with ``bm25`` of their content. Words and counts are columns of their own in
+    between, each written once: as one expression the code of a row would be too large
+    for the JVM to compile."""
+    counted = rows.withColumn("_words", words(F.col("content"))).withColumns({"_n": F.size("_words"), **{f"_t{i}": term_count(F.col("_words"), t) for i, t in enumerate(tokens)}})
+    scored = counted.withColumn("bm25", _score(tokens, df, total, F.col("_n"), [F.col(f"_t{i}") for i in range(len(tokens))]))
+    return scored.select(*rows.columns, "bm25")
+
+
 def candidates(scoped: DataFrame, tokens: list[str], match: str = "contains", limit: int | None = None) -> DataFrame:
     """Rows that hold any of the first twelve tokens. All of them, unless a limit is asked
     for; then the first by path and line."""
@@ -59,7 +69,7 @@ def candidates(scoped: DataFrame, tokens: list[str], match: str = "contains", li
 def top(scoped: DataFrame, tokens: list[str], df: dict[str, int], total: int, k: int, match: str = "contains", limit: int | None = None, min_score: float | None = None) -> DataFrame:
     """The k best candidates with ``bm25``; ties by id, then content. A candidate may score 0,
     since it is found by substring and scored by word."""
-    scored = candidates(scoped, tokens, match, limit).withColumn("_word_list", words(F.col("content"))).withColumn("bm25", bm25(tokens, df, total, F.col("_word_list"))).drop("_word_list")
+    scored = with_bm25(candidates(scoped, tokens, match, limit), tokens, df, total)
     if min_score is not None:
         scored = scored.where(F.col("bm25") >= min_score)
     return scored.orderBy(F.desc("bm25"), "id", "content").limit(k)
