@@ -1,4 +1,4 @@
-"""Session helpers shared by operators: table loading, lineage cuts and size checks."""
+"""Session helpers shared by operators: table loading and lineage cuts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +33,3 @@ def cut(df: DataFrame) -> DataFrame:
     times is computed once and survives the loss of an executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def null_safe_text(col):
-    """Null text counts as empty."""
-    return F.coalesce(col, F.lit(""))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataseek.functions.text import holds, words
-from strataseek.operators.filters import any_token
+from strataseek.operators.filters import CANDIDATE_TOKENS, any_token
 
 # Fixed values of the ranking.
 K1, B, AVERAGE_LENGTH = 1.5, 0.75, 120.0
@@ -59,17 +59,17 @@ def with_bm25(rows: DataFrame, tokens: list[str], df: dict[str, int], total: int
     return scored.select(*rows.columns, "bm25")
 
 
-def candidates(scoped: DataFrame, tokens: list[str], match: str = "contains", limit: int | None = None) -> DataFrame:
-    """Rows that hold any of the first twelve tokens. All of them, unless a limit is asked
-    for; then the first by path and line."""
-    found = scoped.where(any_token(tokens, match))
+def candidates(scoped: DataFrame, tokens: list[str], match: str = "contains", limit: int | None = None, most: int | None = CANDIDATE_TOKENS) -> DataFrame:
+    """Rows that hold any of the first ``most`` tokens (None: of all). All of them, unless a
+    limit is asked for; then the first by path and line."""
+    found = scoped.where(any_token(tokens, match, most))
     return found.orderBy("path", "start_line", "id").limit(limit) if limit else found
 
 
-def top(scoped: DataFrame, tokens: list[str], df: dict[str, int], total: int, k: int, match: str = "contains", limit: int | None = None, min_score: float | None = None) -> DataFrame:
+def top(scoped: DataFrame, tokens: list[str], df: dict[str, int], total: int, k: int, match: str = "contains", limit: int | None = None, min_score: float | None = None, most: int | None = CANDIDATE_TOKENS) -> DataFrame:
     """The k best candidates with ``bm25``; ties by id, then content. A candidate may score 0,
     since it is found by substring and scored by word."""
-    scored = with_bm25(candidates(scoped, tokens, match, limit), tokens, df, total)
+    scored = with_bm25(candidates(scoped, tokens, match, limit, most), tokens, df, total)
     if min_score is not None:
         scored = scored.where(F.col("bm25") >= min_score)
     return scored.orderBy(F.desc("bm25"), "id", "content").limit(k)

@@ -180,7 +180,7 @@ def keyword_bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 def keyword_zero_score_rows(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("id", "content")
     df, total = keyword.statistics(chunks, _N.tokens)
-    scored = keyword.candidates(chunks, _N.tokens).select(keyword.bm25(_N.tokens, df, total, text.words(F.col("content"))).alias("bm25"))
+    scored = keyword.with_bm25(keyword.candidates(chunks, _N.tokens), _N.tokens, df, total)
     return scored.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("bm25") == 0).alias("zero_score"))
 
 

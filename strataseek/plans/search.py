@@ -16,7 +16,7 @@ from strataseek.functions.embedding import Embedder, HashEmbedder, with_vectors
 from strataseek.functions.runtime import cut
 from strataseek.functions.text import Query, occurrences, preview, tokenize
 from strataseek.operators import chunking, fusion, incremental, keyword, lookup, semantic
-from strataseek.operators.filters import clamp, scope
+from strataseek.operators.filters import CANDIDATE_TOKENS, clamp, scope
 from strataseek.schema import CHUNKS
 from strataseek.sources import files as sources
 from strataseek.sources.store import Store
@@ -57,7 +57,7 @@ def literal_hits(literals: list[str]):
     return reduce(lambda a, b: a + b, [occurrences(F.col("content"), t) for t in literals], F.lit(0)).cast("int")
 
 
-def search(chunks: DataFrame, text: str, vector: list[float] | None, k=10, mode: str = "hybrid", language: str | None = None, path_glob: str | None = None, path_glob_exclude: str | None = None, metric: str = "sqeuclidean", match: str = "contains", corpus: str = "all", candidate_limit: int | None = None, min_score: float | None = None) -> SearchResult:
+def search(chunks: DataFrame, text: str, vector: list[float] | None, k=10, mode: str = "hybrid", language: str | None = None, path_glob: str | None = None, path_glob_exclude: str | None = None, metric: str = "sqeuclidean", match: str = "contains", corpus: str = "all", candidate_limit: int | None = None, min_score: float | None = None, candidate_tokens: int | None = CANDIDATE_TOKENS) -> SearchResult:
     """Search by meaning (``semantic``), words (``keyword``) or both (any other mode).
 
     A keyword search without tokens becomes a semantic one. Document frequencies respect
@@ -84,7 +84,7 @@ def search(chunks: DataFrame, text: str, vector: list[float] | None, k=10, mode:
             raise ValueError("this mode needs a query vector")
         sem = semantic.top(scoped.select(*columns, "vector"), "vector", vector, k if mode == "semantic" else pool, ["id", "content"], metric).drop("vector")
     if mode != "semantic":
-        kw = keyword.top(scoped.select(*columns), query.tokens, df, total, k if mode == "keyword" else pool, match, candidate_limit, min_score)
+        kw = keyword.top(scoped.select(*columns), query.tokens, df, total, k if mode == "keyword" else pool, match, candidate_limit, min_score, candidate_tokens)
     none = F.lit(None).cast("double")
     if mode == "semantic":
         got = fusion.ranked(sem, "distance", "id", "content").select(*columns, "distance", none.alias("bm25"), none.alias("rrf"), F.lit("semantic").alias("via"), (F.col("rank") + 1).alias("rank"))

@@ -173,3 +173,23 @@ def test_search_prefix_property(spark):
     few = [r.id for r in search.search(df, "load user_id", [1.0, 0.0], k=2).rows.orderBy("rank").collect()]
     many = [r.id for r in search.search(df, "load user_id", [1.0, 0.0], k=3).rows.orderBy("rank").collect()]
     assert many[:2] == few
+
+
+def test_candidates_of_more_than_twelve_tokens(spark):
+    """The thirteenth token finds rows only if it is asked for; both evaluators of distances agree."""
+    tokens = [f"word{i:02d}" for i in range(13)]
+    df = spark.createDataFrame([("a", "word00"), ("b", "word12"), ("c", None)], "id string, content string")
+    assert [r.id for r in keyword.candidates(df, tokens).collect()] == ["a"]
+    assert [r.id for r in keyword.candidates(df, tokens, most=None).orderBy("id").collect()] == ["a", "b"]
+    assert keyword.with_bm25(df, ["word12"], {}, 3).where("id = 'b'").first().bm25 > 0 == keyword.with_bm25(df.where("id = 'a'"), ["word12"], {}, 3).first().bm25
+
+
+@pytest.mark.parametrize("dim", [96, 97])
+def test_distances_on_both_sides_of_the_switch(spark, dim):
+    rows = [(k, [float((k * i) % 7) for i in range(dim)]) for k in range(5)] + [(9, None), (10, [1.0])]
+    df = spark.createDataFrame(rows, "k long, v array<float>")
+    q = [1.0] * dim
+    for metric in semantic.METRICS[:2]:
+        got = {r.k: r.distance for r in semantic.with_distance(df, "v", q, metric).collect()}
+        want = {k: sum((x - 1) ** 2 for x in v) for k, v in rows[:5]}
+        assert got == {k: pytest.approx(d if metric == "sqeuclidean" else d**0.5) for k, d in want.items()}
