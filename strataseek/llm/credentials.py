@@ -386,14 +386,23 @@ def _line(text: str, p: int) -> Span:
     return text.rfind("\n", 0, p) + 1, len(text) if end < 0 else end
 
 
+_BEHIND_NAME = " \t\x0b\x0c\r:=->!,/\"'`])\\"
+
+
 def _name_start(text: str, a: int, p: int) -> int:
-    """Where the name begins behind which the automaton stopped at p, in a line from a on."""
-    while p > a and text[p - 1] in " \t:=->!,/\"'`])\\\x0b\x0c\rto" and not (text[p - 1] in "to" and not text[p : p + 1].isspace()):
-        if text[p - 1] in "to" and text[max(a, p - 3) : p] not in (" to", "\tto"):
-            break
-        p -= 2 if text[p - 1] in "to" else 1
+    """Where the name begins behind which the automaton stopped at p, in a line from a on: back
+    over signs (and a ``to`` between two of them), then over the name, then on to its first letter."""
+    stop = p
+    while p > a and text[p - 1] in _BEHIND_NAME:
+        p -= 1
+    if text.endswith((" to", "\tto"), a, p):
+        p -= 2
+        while p > a and text[p - 1] in _BEHIND_NAME:
+            p -= 1
     while p > a and (text[p - 1].isalnum() or text[p - 1] in "_-" or "\u0300" <= text[p - 1] <= "\u036f"):
         p -= 1
+    while p < stop and (text[p].isdigit() or not text[p].isalnum() and text[p] != "_"):
+        p += 1
     return p
 
 
@@ -578,8 +587,6 @@ def spans(text: str, places: np.ndarray, tags: np.ndarray) -> list[list[Span]]:
             if tag == "assign":
                 a, b = _line(text, p)
                 start = _name_start(text, a, p)
-                while start < p and (text[start].isdigit() or not text[start].isalnum() and text[start] != "_"):
-                    start += 1
                 if start in names:
                     continue
                 names.add(start)
