@@ -3,8 +3,9 @@
 Distinct vectors are routed into cells around centres of unit length. A vector belongs to
 its nearest cell and to those that are hardly farther, to COPIES cells on average: several
 near a border, where neighbours part, and one inside a cell. The number of cells grows
-with the table. Centres are fitted on bounded samples in two levels: coarse ones on the
-driver, and within each of them fine ones in tasks. Each cell holds a hierarchical
+with the table, and so does the sample that the centres are fitted on. They begin as fine
+centres within coarse ones and are then moved together, without the coarse ones' borders;
+rows are compared with all of them. Each cell holds a hierarchical
 navigable small-world graph as flat arrays of neighbour numbers, into which rows are
 inserted by searching it; exact distances order what the graph finds, and the lists of a
 vector's cells are merged. Equal vectors are one node with their six smallest ids, so a
@@ -33,9 +34,10 @@ COPIES, MOST_COPIES = 2.4, 8
 #: Vectors for each cell, so a graph has about COPIES times as many nodes.
 CELL_ROWS = 750
 #: Centres that the driver fits, and the vectors it fits them on.
-COARSE, SAMPLE = 256, 20_000
-#: Fine centres in all (which are broadcast, 1.5 kB each), and the vectors each is fitted on.
-MOST_CELLS, FINE_SAMPLE = 32_768, 40
+COARSE, SAMPLE = 128, 20_000
+#: Fine centres in all (which are broadcast, 1.5 kB each), the vectors for each, one in how many
+#: of them it begins with, and the rounds in which all are moved.
+MOST_CELLS, FINE_SAMPLE, BEGIN, ROUNDS = 32_768, 160, 4, 4
 PROJECTED = 64
 SEED = 11
 
@@ -60,11 +62,16 @@ def encode(v: np.ndarray) -> bytes:
 
 def decode(parts) -> np.ndarray:
     """Encoded vectors -> float32 rows."""
-    out = []
-    for b in parts:
+    out = np.zeros((0, DIM), np.float32)
+    for i, b in enumerate(parts):
         body = zlib.decompress(b[1:], -15)
-        out.append(np.frombuffer(body, "<f4") if b[0] == 0xFF else np.frombuffer(body, np.int8).astype(np.float32) / np.float32(1 << b[0]))
-    return np.stack(out) if out else np.zeros((0, DIM), np.float32)
+        v = np.frombuffer(body, "<f4") if b[0] == 0xFF else np.frombuffer(body, np.int8)
+        if not i:
+            out = np.empty((len(parts), len(v)), np.float32)
+        out[i] = v
+        if b[0] != 0xFF:
+            out[i] /= np.float32(1 << b[0])
+    return out
 
 
 def packed(chunks: DataFrame, dim: int = DIM) -> DataFrame:
@@ -98,12 +105,25 @@ def _rotation(dim: int) -> np.ndarray:
 
 def _nearest(x: np.ndarray, centres: np.ndarray, most: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of each row's nearest centres (of unit length) and their products, nearest first."""
-    most = min(most, len(centres))
+    n = len(centres)
+    most = min(most, n)
     at, near = [np.empty((0, most), np.int64)], [np.empty((0, most), np.float32)]
-    for i in range(0, len(x), 4096):
-        p = x[i : i + 4096] @ centres.T
-        got = np.argpartition(-p, most - 1, axis=1)[:, :most]
-        got = np.take_along_axis(got, np.argsort(-np.take_along_axis(p, got, 1), axis=1, kind="stable"), 1)
+    # centres in columns, of which only those with the largest products are looked into
+    width = max(most, 2 * int(n**0.5))
+    deep = -(-n // width)
+    step = min(4096, max(64, (1 << 23) // n))
+    room = np.full((min(step, len(x)), deep * width), -np.inf, np.float32)
+    for i in range(0, len(x), step):
+        part = x[i : i + step]
+        p = room[: len(part)]
+        p[:, :n] = part @ centres.T
+        if most == 1:
+            got = p.argmax(1)[:, None]
+        else:
+            top = np.argpartition(-p.reshape(len(p), deep, width).max(1), most - 1, axis=1)[:, :most]
+            cand = (top[:, None] + np.arange(deep)[:, None] * width).reshape(len(p), -1)
+            got = np.take_along_axis(cand, np.argpartition(-np.take_along_axis(p, cand, 1), most - 1, axis=1)[:, :most], 1)
+            got = np.take_along_axis(got, np.argsort(-np.take_along_axis(p, got, 1), axis=1, kind="stable"), 1)
         at.append(got)
         near.append(np.take_along_axis(p, got, 1))
     return np.concatenate(at), np.concatenate(near)
@@ -123,29 +143,33 @@ def fit_centres(sample: np.ndarray, cells: int, rounds: int = 4) -> np.ndarray:
 
 
 class Cells:
-    """Centres in two levels; a coarse centre without fine ones is a cell itself."""
+    """Centres of cells; a coarse centre without fine ones is a cell itself. They are kept in
+    half precision, in which they are broadcast."""
 
     def __init__(self, coarse: np.ndarray, fine: dict[int, np.ndarray] | None = None, margin: float = 0.0):
         self.coarse, self.margin = coarse, margin
-        self.fine = [(fine or {}).get(c, coarse[c : c + 1]) for c in range(len(coarse))]
-        self.first = np.concatenate([[0], np.cumsum([len(f) for f in self.fine])]).astype(np.int32)
-
-    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and products of each row's MOST_COPIES nearest cells, nearest first. Fine
-        centres are looked for in as many of the nearest coarse cells."""
-        at, near = _nearest(x, self.coarse, MOST_COPIES)
-        if self.first[-1] == len(self.coarse):
-            return at, near
-        ids = np.full((len(x), at.shape[1] * MOST_COPIES), -1, np.int64)
-        score = np.full(ids.shape, -np.inf, np.float32)
-        for c in np.unique(at):
-            r, j = np.nonzero(at == c)
-            got, p = _nearest(x[r], self.fine[c].astype(np.float32), MOST_COPIES)
-            place = j[:, None] * MOST_COPIES + np.arange(got.shape[1])
-            ids[r[:, None], place] = got + self.first[c]
-            score[r[:, None], place] = p
-        order = np.argsort(-score, axis=1, kind="stable")[:, :MOST_COPIES]
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+        fine = [(fine or {}).get(c, coarse[c : c + 1]) for c in range(len(coarse))]
+        self.first = np.concatenate([[0], np.cumsum([len(f) for f in fine])]).astype(np.int32)
+        self.centres = np.concatenate(fine).astype(np.float16)
+        self._single: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_single": None}
+
+    def nearest(self, x: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and products of each row's nearest cells (MOST_COPIES), nearest first. All
+        centres are compared: neighbours often part at the coarse ones' borders."""
+        if self._single is None:
+            self._single = self.centres.astype(np.float32)
+        return _nearest(x, self._single, most or MOST_COPIES)
+
+    def moved(self, to: dict[int, np.ndarray]) -> Cells:
+        """The same cells around other centres."""
+        out = Cells(self.coarse)
+        out.first, out.centres = self.first, self.centres.copy()
+        for c, centre in to.items():
+            out.centres[c] = centre
+        return out
 
     def fit_margin(self, sample: np.ndarray, copies: float = COPIES) -> Cells:
         """Choose the margin by which the sample's rows have ``copies`` cells on average."""
@@ -351,35 +375,53 @@ def _sampled(chunks: DataFrame, dim: int, n: int, most: int, draw: int) -> DataF
 
 def fit_cells(chunks: DataFrame, dim: int, n: int) -> Cells:
     """Cells for n distinct vectors. What reaches the driver is at most 2 x SAMPLE vectors and
-    MOST_CELLS centres in half precision."""
+    in each round MOST_CELLS centres in half precision."""
     cells = int(min(MOST_CELLS, n // CELL_ROWS))
     if cells <= MOST_COPIES:
         return Cells(np.zeros((1, dim), np.float32))
-    sample = decode([r.vec for r in _sampled(chunks, dim, n, SAMPLE, 0).select("vec").limit(2 * SAMPLE).collect()])
+    rows = _sampled(chunks, dim, n, SAMPLE, 0).limit(2 * SAMPLE).collect()
+    sample = decode([r.vec for r in rows])
     if len(sample) < 4 * MOST_COPIES:
         return Cells(np.zeros((1, dim), np.float32))
     # the margin is chosen on vectors that no centre was fitted on: those lie nearer to theirs
-    sample, held = sample[len(sample) // 4 :], sample[: len(sample) // 4]
+    some = len(sample) // 4
+    sample, held, apart = sample[some:], sample[:some], [(r.key,) for r in rows[:some]]
     coarse = fit_centres(sample, min(cells, COARSE))
     if cells <= COARSE:
         return Cells(coarse).fit_margin(held)
     share = np.bincount(_nearest(sample, coarse)[0][:, 0], minlength=len(coarse)) / len(sample)
     wanted = np.maximum(1, np.rint(share * cells)).astype(int)
-    shared = chunks.sparkSession.sparkContext.broadcast((coarse, wanted))
+    spark = chunks.sparkSession
+    drawn = cut(_sampled(chunks, dim, n, cells * FINE_SAMPLE, 1).join(F.broadcast(spark.createDataFrame(apart, "key binary")), "key", "left_anti"))
 
-    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"coarse": _nearest(decode(pdf["vec"]), shared.value[0])[0][:, 0].astype(np.int32), "vec": pdf["vec"]})
+    def by_nearest(part: DataFrame, to: Cells) -> DataFrame:
+        shared = spark.sparkContext.broadcast(to)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for i in range(0, len(pdf), 1024):
+                    vec = pdf["vec"].iloc[i : i + 1024]
+                    yield pd.DataFrame({"cell": shared.value.nearest(decode(vec), 1)[0][:, 0].astype(np.int32), "vec": vec})
+
+        return part.select("vec").mapInPandas(run, "cell int, vec binary").groupBy("cell")
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = int(pdf["cell"].iloc[0])
+        centres = fit_centres(decode(pdf["vec"]), int(wanted[c]))
+        return pd.DataFrame({"cell": [c], "centres": [centres.astype(np.float16).tobytes()]})
+
+    def move(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(decode(pdf["vec"].iloc[i : i + 1024]).sum(0) for i in range(0, len(pdf), 1024))
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "centres": [(total / max(np.linalg.norm(total), 1e-12)).astype(np.float16).tobytes()]})
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = int(pdf["coarse"].iloc[0])
-        centres = fit_centres(decode(pdf["vec"]), int(shared.value[1][c]))
-        return pd.DataFrame({"coarse": [c], "fine": [centres.astype(np.float16).tobytes()]})
+    def collected(groups, step) -> dict[int, np.ndarray]:
+        return {r.cell: np.frombuffer(r.centres, np.float16).reshape(-1, dim) for r in groups.applyInPandas(step, "cell int, centres binary").collect()}
 
-    drawn = _sampled(chunks, dim, n, cells * FINE_SAMPLE, 1).select("vec").mapInPandas(home, "coarse int, vec binary")
-    fine = drawn.groupBy("coarse").applyInPandas(fit, "coarse int, fine binary").collect()
-    return Cells(coarse, {r.coarse: np.frombuffer(r.fine, np.float16).reshape(-1, dim) for r in fine}).fit_margin(held)
+    first = drawn.where(F.pmod(F.xxhash64("key"), F.lit(BEGIN)) == 0)
+    out = Cells(coarse, collected(by_nearest(first, Cells(coarse)), begin))
+    for _ in range(ROUNDS):
+        out = out.moved(collected(by_nearest(drawn, out), move))
+    return out.fit_margin(held)
 
 
 def neighbours(chunks: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:

@@ -95,3 +95,40 @@ def test_encoding_round_trip():
         v = v.astype(np.float32)
         assert (nb.decode([nb.encode(v)])[0] == v).all()
     assert nb.encode(np.array([0.0, 1.0], np.float32)) == nb.encode(np.array([-0.0, 1.0], np.float32))
+
+
+def test_neighbours_share_cells_where_coarse_borders_part_them(spark, monkeypatch):
+    """Families of 12 vectors in many more topics than there are coarse centres, as in large tables."""
+    dim, n = 128, 19_200
+    rng = np.random.default_rng(7)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    topics = unit(rng.standard_normal((n // 48, 1, 1, dim)))
+    families = unit(0.41 * topics + 0.91 * unit(rng.standard_normal((n // 48, 4, 1, dim))))
+    v = (0.85 * families + 0.53 * unit(rng.standard_normal((n // 48, 4, 12, dim)))).reshape(n, dim)
+    v = (np.rint(unit(v) * 128) / 128).astype(np.float32)
+    monkeypatch.setattr(nb, "CELL_ROWS", 60)
+    monkeypatch.setattr(nb, "COARSE", 64)
+    monkeypatch.setattr(nb, "FINE_SAMPLE", 20)
+    monkeypatch.setattr(nb, "SAMPLE", 1200)
+    cells = nb.fit_cells(table(spark, [(f"i{k:05d}", "c", x) for k, x in enumerate(v.tolist())]), dim, n)
+    home = cells.homes(v)
+    assert len(cells.coarse) == 64 and 280 <= cells.first[-1] <= 360 and (home >= 0).sum(1).mean() < 3
+    some = np.arange(0, n, 8)
+    d = 2 - 2 * v[some] @ v.T
+    d[np.arange(len(some)), some] = np.inf
+    near = np.argsort(d, axis=1)[:, :5]
+    met = (home[some][:, None, :, None] == home[near][:, :, None, :]) & (home[some] >= 0)[:, None, :, None]
+    assert met.any((2, 3)).mean() > 0.97
+
+
+@pytest.mark.parametrize("n", [1, 9, 30, 997])
+def test_nearest_centres_are_those_of_all(n):
+    rng = np.random.default_rng(8)
+    x, c = rng.standard_normal((500, 20)).astype(np.float32), rng.standard_normal((n, 20)).astype(np.float32)
+    for most in (1, 8):
+        at, p = nb._nearest(x, c, most)
+        assert np.allclose(p, -np.sort(-(x @ c.T), axis=1)[:, :most], atol=1e-5)
+        assert np.allclose(p, np.take_along_axis(x @ c.T, at, 1), atol=1e-5)
