@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,43 +39,60 @@ COARSE, SAMPLE = 128, 20_000
 MOST_CELLS, FINE_SAMPLE, BEGIN, ROUNDS = 32_768, 160, 4, 4
 PROJECTED = 64
 SEED = 11
+#: A beam's place that holds no row; it counts as opened.
+NO_PLACE = np.iinfo(np.int64).max
 
 
 # vectors as bytes
 
 
+def plain(rows: np.ndarray) -> list[bytes]:
+    """Rows as bytes without loss: a byte that names the form, then signed bytes over a power of
+    two where all values fit, else floats."""
+    out: list = [b""] * len(rows)
+    for i in range(0, len(rows), 256):
+        part = rows[i : i + 256].astype(np.float32) + np.float32(0)
+        rest = np.arange(len(part))
+        for shift in (7, 5, 9):
+            w = part[rest] * np.float32(1 << shift)
+            fits = (np.abs(w).max(1) <= 127) & (w == np.rint(w)).all(1)
+            for j, v in zip(rest[fits], w[fits].astype(np.int8)):
+                out[i + j] = bytes([shift]) + v.tobytes()
+            rest = rest[~fits]
+            if not len(rest):
+                break
+        for j in rest:
+            out[i + j] = b"\xff" + part[j].astype("<f4").tobytes()
+    return out
+
+
+def shrunk(b: bytes) -> bytes:
+    """A plain row with its values Huffman coded."""
+    z = zlib.compressobj(1, zlib.DEFLATED, -15, 4, zlib.Z_HUFFMAN_ONLY)
+    return b[:1] + z.compress(b[1:]) + z.flush()
+
+
 def encode(v: np.ndarray) -> bytes:
-    """A vector without loss: signed bytes over a power of two where all values fit, else
-    floats; then Huffman coded."""
-    v = v.astype(np.float32) + np.float32(0)
-    for shift in (7, 5, 9):
-        w = v * np.float32(1 << shift)
-        if np.abs(w).max() <= 127 and (w == np.rint(w)).all():
-            head, body = bytes([shift]), w.astype(np.int8).tobytes()
-            break
-    else:
-        head, body = b"\xff", v.astype("<f4").tobytes()
-    z = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
-    return head + z.compress(body) + z.flush()
+    return shrunk(plain(v[None])[0])
 
 
 def decode(parts) -> np.ndarray:
     """Encoded vectors -> float32 rows."""
-    out = np.zeros((0, DIM), np.float32)
-    for i, b in enumerate(parts):
-        body = zlib.decompress(b[1:], -15)
-        v = np.frombuffer(body, "<f4") if b[0] == 0xFF else np.frombuffer(body, np.int8)
-        if not i:
-            out = np.empty((len(parts), len(v)), np.float32)
-        out[i] = v
-        if b[0] != 0xFF:
-            out[i] /= np.float32(1 << b[0])
-    return out
+    if not len(parts):
+        return np.zeros((0, DIM), np.float32)
+    bodies = [zlib.decompress(b[1:], -15) for b in parts]
+    forms = [b[0] for b in parts]
+    if forms[0] != 0xFF and forms.count(forms[0]) == len(forms):
+        out = np.frombuffer(b"".join(bodies), np.int8).reshape(len(bodies), -1).astype(np.float32)
+        out /= np.float32(1 << forms[0])
+        return out
+    rows = [np.frombuffer(b, "<f4") if form == 0xFF else np.frombuffer(b, np.int8) / np.float32(1 << form) for form, b in zip(forms, bodies)]
+    return np.stack(rows).astype(np.float32)
 
 
-def packed(chunks: DataFrame, dim: int = DIM) -> DataFrame:
-    """id, h (hash of content), key (hash of the vector) and vec (its bytes); key and vec
-    are null if the vector is not usable."""
+def packed(chunks: DataFrame, dim: int = DIM, vec: bool = True) -> DataFrame:
+    """id, h (hash of content), key (hash of the vector) and, if asked for, vec (its bytes); key
+    and vec are null if the vector is not usable."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,16 +100,19 @@ def packed(chunks: DataFrame, dim: int = DIM) -> DataFrame:
             keys: list = [None] * len(col)
             vecs: list = [None] * len(col)
             sized = np.flatnonzero(col.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim)
-            if len(sized):
-                flat = col.take(pa.array(sized)).flatten().cast(pa.float32()).fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(-1, dim)
+            for k in range(0, len(sized), 1024):
+                at = sized[k : k + 1024]
+                flat = col.take(pa.array(at)).flatten().cast(pa.float32()).fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(-1, dim)
                 good = np.isfinite(flat).all(1) & (flat != 0).any(1)
-                for i, v in zip(sized[good], flat[good]):
-                    vecs[i] = encode(v)
-                    keys[i] = hashlib.blake2b(vecs[i], digest_size=16).digest()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], names=["id", "h", "key", "vec"])
+                for i, b in zip(at[good].tolist(), plain(flat[good])):
+                    keys[i] = hashlib.blake2b(b, digest_size=16).digest()
+                    if vec:
+                        vecs[i] = shrunk(b)
+            out = {"id": batch.column("id"), "h": batch.column("h"), "key": pa.array(keys, pa.binary())}
+            yield pa.RecordBatch.from_pydict(out | {"vec": pa.array(vecs, pa.binary())} if vec else out)
 
     source = chunks.where("id IS NOT NULL").select("id", F.coalesce(F.xxhash64("content"), F.lit(0)).alias("h"), F.col("vector").cast("array<float>").alias("vector"))
-    return source.mapInArrow(run, "id string, h bigint, key binary, vec binary")
+    return source.mapInArrow(run, "id string, h bigint, key binary" + ", vec binary" * vec)
 
 
 # shards
@@ -189,16 +208,16 @@ class Cells:
 
 class Graph:
     """Hierarchical navigable small-world graph over the rows of ``x``: for each level an
-    array of neighbour numbers, -1 where a row has fewer. Rows are inserted in blocks: a
-    row's candidates are what a search of the graph so far finds and the few rows of its
-    block, which is far smaller than the graph."""
+    array of neighbour numbers, -1 where a row has fewer, and a last row of -1 for the missing
+    one. Rows are inserted in blocks: a row's candidates are what a search of the graph so far
+    finds and the few rows of its block, which is far smaller than the graph."""
 
     def __init__(self, x: np.ndarray, links: int = 12, ef: int = 28, block: int = 128):
-        self.x, self.norm, self.ef, self.m = x, (x**2).sum(1), ef, links
+        self.x, self.norm, self.ef, self.m = np.ascontiguousarray(x), (x**2).sum(1), ef, links
         rng = np.random.default_rng(SEED)
         n = len(x)
         self.level = np.minimum((-np.log(1 - rng.random(n)) / np.log(links)).astype(int), 5)
-        self.links = [np.full((n, links * (2 if lv == 0 else 1)), -1, np.int32) for lv in range(int(self.level.max()) + 1)] if n else []
+        self.links = [np.full((n + 1, links * (2 if lv == 0 else 1)), -1, np.int32) for lv in range(int(self.level.max()) + 1)] if n else []
         order = rng.permutation(n)
         self.entry = -1
         for i in range(0, n, block):
@@ -208,17 +227,18 @@ class Graph:
         at = np.full((len(new), 1), self.entry) if self.entry >= 0 else None
         for lv in range(len(self.links) - 1, -1, -1):
             own = np.flatnonzero(self.level[new] >= lv)
-            ids = np.full((len(own), 0), -1)
+            ids, dist = np.full((len(own), 0), -1), np.full((len(own), 0), np.inf, np.float32)
             if at is not None and self.level[self.entry] >= lv:
-                found, _ = self.beam(self.x[new], at, lv, self.ef if lv == 0 else 8)
-                at, ids = found[:, :2], found[own]
+                found, far = self.beam(self.x[new], at, lv, self.ef if lv == 0 else 8)
+                at, ids, dist = found[:, :2], found[own], far[own]
             rows = new[own]
-            d = self.norm[rows][None] - 2 * (self.x[rows] @ self.x[rows].T)
+            d = self.norm[rows][:, None] + self.norm[rows] - 2 * (self.x[rows] @ self.x[rows].T)
             np.fill_diagonal(d, np.inf)
             k = min(self.ef, len(rows))
             near = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.empty((0, 0), int)
-            near = np.where(np.isfinite(np.take_along_axis(d, near, 1)), rows[near], -1)
-            self._link(rows, np.concatenate([ids, near], axis=1), lv)
+            d = np.take_along_axis(d, near, 1)
+            near = np.where(np.isfinite(d), rows[near], -1)
+            self._link(rows, np.concatenate([ids, near], axis=1), np.concatenate([dist, d], axis=1), lv)
         top = new[self.level[new].argmax()]
         if self.entry < 0 or self.level[top] > self.level[self.entry]:
             self.entry = int(top)
@@ -227,32 +247,31 @@ class Graph:
         d = self.norm[rows][:, None] + self.norm[cand] - 2 * np.matmul(self.x[cand], self.x[rows][:, :, None])[:, :, 0]
         return np.where(cand < 0, np.inf, d)
 
-    def _choose(self, rows: np.ndarray, cand: np.ndarray, most: int) -> np.ndarray:
+    def _choose(self, cand: np.ndarray, dist: np.ndarray, most: int) -> np.ndarray:
         """Up to ``most`` of each row's candidates: first those that are nearer to the row than
         to any one chosen before, then the nearest others."""
-        out = np.full((len(rows), most), -1, np.int32)
-        step = max(1, 4_000_000 // max(1, cand.shape[1] ** 2))
-        for i in range(0, len(rows), step):
-            c = cand[i : i + step]
-            d = self._distance(rows[i : i + step], c)
+        out = np.full((len(cand), most), -1, np.int32)
+        step = max(1, 200_000 // max(self.ef, most) ** 2)
+        for i in range(0, len(cand), step):
+            c, d = cand[i : i + step], dist[i : i + step]
             order = np.argsort(d, axis=1, kind="stable")[:, : max(self.ef, most)]
             c, d = np.take_along_axis(c, order, 1), np.take_along_axis(d, order, 1)
-            xs = self.x[c]
-            pair = self.norm[c][:, :, None] + self.norm[c][:, None] - 2 * np.matmul(xs, xs.transpose(0, 2, 1))
-            chosen = np.zeros(c.shape, bool)
-            near = pair < d[:, :, None]
-            for j in range(c.shape[1]):
-                chosen[:, j] = np.isfinite(d[:, j]) & ~(near[:, j] & chosen).any(1)
+            xs, half = self.x.take(c, axis=0), self.norm[c] / 2
+            # near[row, i, j]: candidate j is nearer to candidate i than to the row
+            near = np.matmul(xs, xs.transpose(0, 2, 1)) - half[:, :, None] > (half - d / 2)[:, None]
+            chosen = np.isfinite(d)
+            for j in range(c.shape[1] - 1):
+                chosen[:, j + 1 :] &= ~(near[:, j, j + 1 :] & chosen[:, j, None])
             rank = np.argsort(np.where(np.isfinite(d), ~chosen, 2), axis=1, kind="stable")[:, :most]
             got = np.where(np.isfinite(np.take_along_axis(d, rank, 1)), np.take_along_axis(c, rank, 1), -1)
             out[i : i + step, : got.shape[1]] = got
         return out
 
-    def _link(self, rows: np.ndarray, cand: np.ndarray, lv: int) -> None:
+    def _link(self, rows: np.ndarray, cand: np.ndarray, dist: np.ndarray, lv: int) -> None:
         if not len(rows) or not cand.shape[1]:
             return
         width = self.links[lv].shape[1]
-        mine = self._choose(rows, cand, width // 2)
+        mine = self._choose(cand, dist, width // 2)
         self.links[lv][rows, : mine.shape[1]] = mine
         # links back, of which a row keeps its nearest new ones before it chooses again
         src = np.repeat(rows, mine.shape[1])
@@ -275,96 +294,103 @@ class Graph:
             order = np.argsort(part < 0, axis=1, kind="stable")[:, :width]
             self.links[lv][to[fits]] = np.take_along_axis(part, order, 1)
         if (~fits).any():
-            self.links[lv][to[~fits]] = self._choose(to[~fits], full[~fits], width)
+            part = full[~fits]
+            self.links[lv][to[~fits]] = self._choose(part, self._distance(to[~fits], part), width)
 
     def beam(self, q: np.ndarray, start: np.ndarray, lv: int, ef: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of one level for all queries side by side: (rows, distances), nearest
-        first. Each round opens the ``step`` nearest rows of a beam that are still unopened."""
+        first. Each round opens the ``step`` nearest rows of a beam that are still unopened.
+        A place of a beam is one number, so that sorting it moves all: the distance's bits, the
+        row, and a last bit that is set once it is opened."""
         b, n = len(q), len(self.x)
         width = max(ef, start.shape[1])
-        ids = np.full((b, width), -1, np.int64)
-        dist = np.full((b, width), np.inf, np.float32)
-        seen = np.full((b, n + 1), -1, np.int32)
-        seen[:, n] = 0  # the place of a missing neighbour, -1
-        fresh = start >= 0
-        for j in range(1, start.shape[1]):
-            fresh[:, j] &= (start[:, j : j + 1] != start[:, :j]).all(1)
-        r, c = np.nonzero(fresh)
-        v = start[r, c]
-        ids[r, c] = v
-        dist[r, c] = self.norm[v] - 2 * np.einsum("ij,ij->i", self.x[v], q[r])
-        seen[r, v] = 0
-        todo = dist.copy()  # distances of the rows that are not opened yet
-        links = self.links[lv]
-        live = np.arange(b)
+        links, size, base = self.links[lv], (q**2).sum(1), np.arange(b) * (n + 1)
+        seen = np.full(b * (n + 1), -1, np.int16)
+        seen[n :: n + 1] = 0  # the place of a missing neighbour, -1
+        out = np.full((b, width), NO_PLACE, np.int64)
+        live, beams, found = np.arange(b), out.copy(), start
         while True:
-            j = np.argpartition(todo[live], min(step, width) - 1, axis=1)[:, :step]
-            near = np.take_along_axis(todo[live], j, 1)
-            on = np.isfinite(near).any(1)
-            live, j, near = live[on], j[on], near[on]
-            if not len(live):
-                break
-            todo[live[:, None], j] = np.inf
-            opened = np.where(np.isfinite(near), ids[live[:, None], j], -1)
-            found = np.where((opened >= 0)[:, :, None], links[opened], -1).reshape(len(live), -1)
-            r, c = np.nonzero(seen[live[:, None], found] < 0)
-            if not len(r):
-                continue
-            v, row, mark = found[r, c], live[r], np.arange(len(r), dtype=np.int32)
-            seen[row, v] = mark
-            once = np.flatnonzero(seen[row, v] == mark)  # a row that is found twice in a round counts once
-            r, c, v, row = r[once], c[once], v[once], row[once]
-            d = np.full(found.shape, np.inf, np.float32)
-            d[r, c] = self.norm[v] - 2 * np.einsum("ij,ij->i", self.x[v], q[row])
-            has = np.flatnonzero(np.bincount(r, minlength=len(live)))
-            rows, d, at = live[has], d[has], np.arange(len(has))[:, None]
-            every = np.concatenate([dist[rows], d], axis=1)
-            keep = np.argpartition(every, width - 1, axis=1)[:, :width]
-            dist[rows] = every[at, keep]
-            ids[rows] = np.concatenate([ids[rows], found[has]], axis=1)[at, keep]
-            todo[rows] = np.concatenate([todo[rows], d], axis=1)[at, keep]
-        order = np.argsort(dist, axis=1, kind="stable")
-        dist = np.take_along_axis(dist, order, 1)
-        return np.where(np.isfinite(dist), np.take_along_axis(ids, order, 1), -1), dist
+            place = (base[live][:, None] + found).ravel()
+            new = np.flatnonzero(seen.take(place) < 0)
+            if len(new):
+                at = place.take(new)
+                r = new // found.shape[1]
+                mark = (new - r * found.shape[1]).astype(np.int16)
+                seen[at] = mark
+                once = seen.take(at) == mark  # a row that is found twice in a round counts once
+                at, r = at[once], r[once]
+                row = live.take(r)
+                v = at - base.take(row)
+                d = size.take(row) + self.norm.take(v) - 2 * np.einsum("ij,ij->i", self.x.take(v, axis=0), q.take(row, axis=0))
+                bits = np.maximum(d, np.float32(0)).astype(np.float32, copy=False).view(np.int32) & 0x7FFFFFFF
+                key = (bits.astype(np.int64) << 32) | (v << 1)
+                nearer = np.flatnonzero(key < beams[:, -1].take(r))
+                r, key = r.take(nearer), key.take(nearer)
+                count = np.bincount(r, minlength=len(live))
+                more = np.full((len(live), width + int(count.max(initial=0))), NO_PLACE, np.int64)
+                more[:, :width] = beams
+                more[r, np.arange(width, width + len(r)) - np.repeat(np.cumsum(count) - count, count)] = key
+                more.sort(axis=1)
+                beams = more[:, :width]
+            first = np.sort(np.where(beams & 1, NO_PLACE, beams), axis=1)[:, :step]
+            beams |= beams <= first[:, -1:]
+            on = first[:, 0] != NO_PLACE
+            if not on.all():
+                out[live[~on]] = beams[~on]
+                live, beams, first = live[on], beams[on], first[on]
+                if not len(live):
+                    break
+            opened = np.where(first == NO_PLACE, -1, (first >> 1) & 0x7FFFFFFF)
+            found = links.take(opened, axis=0).reshape(len(live), -1)
+        has = out != NO_PLACE
+        return np.where(has, (out >> 1) & 0x7FFFFFFF, -1), np.where(has, (out >> 32).astype(np.int32).view(np.float32), np.float32(np.inf))
 
     def search(self, q: np.ndarray, own: np.ndarray | None = None, ef: int = 24) -> np.ndarray:
         """Rows near each query, nearest first, -1 where there are fewer. ``own``: the queries'
         own rows, -1 of no member; a search starts there as well."""
         out = []
-        for i in range(0, len(q), 512):
-            part = q[i : i + 512]
+        for i in range(0, len(q), 256):
+            part = q[i : i + 256]
             at = np.full((len(part), 1), self.entry)
             for lv in range(int(self.level[self.entry]), 0, -1):
                 at = self.beam(part, at, lv, 1)[0][:, :1]
             if own is not None:
-                at = np.concatenate([at, own[i : i + 512, None]], axis=1)
+                at = np.concatenate([at, own[i : i + 256, None]], axis=1)
             out.append(self.beam(part, at, 0, ef)[0])
         return np.concatenate(out)
 
 
-def cell_lists(x: np.ndarray, low: np.ndarray, k: int, homes: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, nearest other rows, distances) of the rows of a cell, with all that tie with
-    the k-th: the graph over ``low`` finds candidates, exact distances order them. A
-    pair that meets in a cell nearer to the row (``homes``, of which this is number ``rank``)
-    is left to that one."""
+def cell_lists(x: np.ndarray, low: np.ndarray, k: int, homes: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a cell in order, for each the nearest other rows and their distances, with all
+    that tie with the k-th: the graph over ``low`` finds candidates, exact distances order
+    them. A pair that meets in a cell nearer to the row (``homes``, of which this is number
+    ``rank``) is left to that one."""
     graph = Graph(low)
+    norm = (x**2).sum(1)
     # sums of products of small multiples of 1/128 are exact in single precision
-    single = (x**2).sum(1).max() * 4 < 1024 and not (x * 128 % 1).any()
+    single = norm.max() * 4 < 1024 and (x * 128 == np.rint(x * 128)).all()
     wide = x if single else x.astype(np.float64)
     found = graph.search(low, own=np.arange(len(x)))
+    out = []
     for i in range(0, len(x), 64):
         rows = np.arange(i, min(i + 64, len(x)))
         cand = found[rows]
-        # differences, so that a pair has one distance in every cell
-        apart = wide[cand] - wide[rows][:, None]
-        d = np.einsum("ijk,ijk->ij", apart, apart)
+        near = wide.take(cand, axis=0, mode="wrap")
+        if single:
+            d = norm[rows][:, None] + norm[cand] - 2 * np.matmul(near, wide[rows][:, :, None])[:, :, 0]
+        else:
+            # differences, so that a pair has one distance in every cell
+            near -= wide[rows][:, None]
+            d = np.einsum("ijk,ijk->ij", near, near)
         d = np.where((cand < 0) | (cand == rows[:, None]), np.inf, d)
         last = np.sort(d, axis=1)[:, min(k, d.shape[1]) - 1]
         take = (d <= last[:, None]) & np.isfinite(d)
+        theirs = homes[cand]
         for j in range(rank[rows].max()):
-            take &= ~((homes[cand] == homes[rows, j][:, None, None]).any(2) & (j < rank[rows])[:, None])
-        for row, c, dd, t in zip(rows, cand, d, take):
-            yield row, c[t], dd[t].astype(float)
+            take &= ~((theirs == homes[rows, j][:, None, None]).any(2) & (j < rank[rows])[:, None])
+        r, c = np.nonzero(take)
+        out.append((rows[r], cand[r, c], d[r, c].astype(float)))
+    return tuple(np.concatenate(parts) for parts in zip(*out))
 
 
 def _sampled(chunks: DataFrame, dim: int, n: int, most: int, draw: int) -> DataFrame:
@@ -397,25 +423,27 @@ def fit_cells(chunks: DataFrame, dim: int, n: int) -> Cells:
     def by_nearest(part: DataFrame, to: Cells) -> DataFrame:
         shared = spark.sparkContext.broadcast(to)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for i in range(0, len(pdf), 1024):
-                    vec = pdf["vec"].iloc[i : i + 1024]
-                    yield pd.DataFrame({"cell": shared.value.nearest(decode(vec), 1)[0][:, 0].astype(np.int32), "vec": vec})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 1024):
+                    vec = batch.column("vec").slice(i, 1024)
+                    cell = shared.value.nearest(decode(vec.to_pylist()), 1)[0][:, 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), vec], names=["cell", "vec"])
 
-        return part.select("vec").mapInPandas(run, "cell int, vec binary").groupBy("cell")
+        return part.select("vec").mapInArrow(run, "cell int, vec binary").groupBy("cell")
 
-    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = int(pdf["cell"].iloc[0])
-        centres = fit_centres(decode(pdf["vec"]), int(wanted[c]))
-        return pd.DataFrame({"cell": [c], "centres": [centres.astype(np.float16).tobytes()]})
+    def result(group: pa.Table, centres: np.ndarray) -> pa.Table:
+        return pa.table({"cell": group["cell"].slice(0, 1), "centres": pa.array([centres.astype(np.float16).tobytes()], pa.binary())})
 
-    def move(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(decode(pdf["vec"].iloc[i : i + 1024]).sum(0) for i in range(0, len(pdf), 1024))
-        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "centres": [(total / max(np.linalg.norm(total), 1e-12)).astype(np.float16).tobytes()]})
+    def begin(group: pa.Table) -> pa.Table:
+        return result(group, fit_centres(decode(group["vec"].to_pylist()), int(wanted[group["cell"][0].as_py()])))
+
+    def move(group: pa.Table) -> pa.Table:
+        total = sum(decode(group["vec"].slice(i, 1024).to_pylist()).sum(0) for i in range(0, group.num_rows, 1024))
+        return result(group, total / max(np.linalg.norm(total), 1e-12))
 
     def collected(groups, step) -> dict[int, np.ndarray]:
-        return {r.cell: np.frombuffer(r.centres, np.float16).reshape(-1, dim) for r in groups.applyInPandas(step, "cell int, centres binary").collect()}
+        return {r.cell: np.frombuffer(r.centres, np.float16).reshape(-1, dim) for r in groups.applyInArrow(step, "cell int, centres binary").collect()}
 
     first = drawn.where(F.pmod(F.xxhash64("key"), F.lit(BEGIN)) == 0)
     out = Cells(coarse, collected(by_nearest(first, Cells(coarse)), begin))
@@ -430,14 +458,13 @@ def neighbours(chunks: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
 
     Usable: ``dim`` values, all finite, not all zero. Rows with a null id, and ids whose
     rows disagree in content, take no part; repeated rows count once; of an id with
-    several usable vectors the one of the smallest bytes counts. Fewer than k other ids:
+    several usable vectors the one of the smallest hash counts. Fewer than k other ids:
     all of them. Other columns are ignored; an empty table gives no rows. Approximate: a
     neighbour that belongs to none of the id's cells is missed.
     """
     spark = chunks.sparkSession
-    rows = packed(chunks, dim)
     ids = cut(
-        rows.select("id", "h", "key")
+        packed(chunks, dim, vec=False)
         .groupBy("id")
         .agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("key").alias("key"))
         .where("a = b AND key IS NOT NULL")
@@ -451,29 +478,34 @@ def neighbours(chunks: DataFrame, k: int = K, dim: int = DIM) -> DataFrame:
         return spark.createDataFrame([], "id string, neighbour string, distance double")
     cells = spark.sparkContext.broadcast(fit_cells(chunks, dim, n))
     rotation = spark.sparkContext.broadcast(_rotation(dim))
-    vectors = rows.where("key IS NOT NULL").select("id", "key", "vec").dropDuplicates(["id", "key"])
+    vectors = packed(chunks, dim).where("key IS NOT NULL").select("id", "key", "vec").dropDuplicates(["id", "key"])
     distinct = vectors.join(groups.select(F.col("ids")[0].alias("id"), "key", "ids"), ["id", "key"]).select("key", "ids", "vec")
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 2048):
-                part = pdf.iloc[i : i + 2048]
-                homes = cells.value.homes(decode(part["vec"]))
-                part = part.assign(homes=list(homes))
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                homes = cells.value.homes(decode(part.column("vec").to_pylist()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(homes) + 1) * homes.shape[1], pa.int32()), pa.array(homes.ravel()))
                 for j in range(homes.shape[1]):
-                    if (homes[:, j] >= 0).any():
-                        yield part.assign(cell=homes[:, j], rank=j)[homes[:, j] >= 0]
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, key, own, rank = decode(pdf["vec"]), pdf["key"].to_numpy(), pdf["ids"].to_numpy(), pdf["rank"].to_numpy()
-        out = []
-        for row, other, d in cell_lists(x, x @ rotation.value, k, np.stack(pdf["homes"]), rank):
-            size = [len(own[o]) for o in other]
-            out.append((key[row], own[row], [i for o in other for i in own[o]], np.repeat(d, size).tolist()))
-        return pd.DataFrame(out, columns=["key", "own", "near", "d"])
-
-    routed = distinct.mapInPandas(route, "key binary, ids array<string>, vec binary, homes array<int>, cell int, rank int")
-    lists = routed.groupBy("cell").applyInPandas(search, "key binary, own array<string>, near array<string>, d array<double>")
+                    at = np.flatnonzero(homes[:, j] >= 0)
+                    if len(at):
+                        cols = [c.take(pa.array(at)) for c in (part.column("key"), part.column("ids"), part.column("vec"), lists)]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array(homes[at, j]), pa.array(np.full(len(at), j, np.int32))], names=["key", "ids", "vec", "homes", "cell", "rank"])
+
+    def search(group: pa.Table) -> pa.Table:
+        x, ids, rank = decode(group["vec"].to_pylist()), group["ids"].combine_chunks(), group["rank"].to_numpy()
+        homes = group["homes"].combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+        row, other, d = cell_lists(x, x @ rotation.value, k, homes, rank)
+        near = ids.take(pa.array(other))
+        size = near.value_lengths().to_numpy()
+        begins = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(row, np.arange(len(x) + 1))]
+        begins = pa.array(begins, pa.int32())
+        near, d = (pa.ListArray.from_arrays(begins, v) for v in (near.flatten(), pa.array(np.repeat(d, size))))
+        return pa.table({"key": group["key"], "own": ids, "near": near, "d": d})
+
+    routed = distinct.mapInArrow(route, "key binary, ids array<string>, vec binary, homes array<int>, cell int, rank int")
+    lists = routed.groupBy("cell").applyInArrow(search, "key binary, own array<string>, near array<string>, d array<double>")
     # at most MOST_COPIES lists of a vector
     merged = lists.groupBy("key").agg(F.first("own").alias("own"), F.flatten(F.collect_list(F.arrays_zip("d", F.col("near").alias("id")))).alias("l"))
     own = F.transform("own", lambda i: F.struct(F.lit(0.0).alias("d"), i.alias("id")))

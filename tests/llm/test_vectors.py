@@ -132,3 +132,44 @@ def test_nearest_centres_are_those_of_all(n):
         at, p = nb._nearest(x, c, most)
         assert np.allclose(p, -np.sort(-(x @ c.T), axis=1)[:, :most], atol=1e-5)
         assert np.allclose(p, np.take_along_axis(x @ c.T, at, 1), atol=1e-5)
+
+
+def test_keys_are_made_without_coding_the_vectors(spark):
+    v = clustered(40, 9).tolist() + (np.random.default_rng(9).standard_normal((20, DIM))).tolist()
+    df = table(spark, [(f"i{k:03d}", f"c{k}", x) for k, x in enumerate(v)] + [("n", "c", None), ("z", "c", [0.0] * DIM)])
+    keys, both = nb.packed(df, DIM, vec=False), nb.packed(df, DIM)
+    assert keys.columns == ["id", "h", "key"]
+    rows = {r.id: r for r in both.collect()}
+    assert {r.id: (r.h, r.key) for r in keys.collect()} == {i: (r.h, r.key) for i, r in rows.items()}
+    assert rows["n"].vec is None and rows["z"].key is None
+    assert (nb.decode([rows[f"i{k:03d}"].vec for k in range(60)]) == np.array(v, np.float32)).all()
+
+
+def test_beam_as_wide_as_the_graph_is_exact():
+    x = np.random.default_rng(10).standard_normal((300, 24)).astype(np.float32)
+    graph, q = nb.Graph(x), np.random.default_rng(11).standard_normal((40, 24)).astype(np.float32)
+    start = np.tile([[graph.entry, 7, -1, 7]], (40, 1))
+    rows, dist = graph.beam(q, start, 0, 320)
+    d = ((q[:, None].astype(float) - x[None]) ** 2).sum(2)
+    want = np.argsort(d, axis=1)
+    assert (rows[:, :5] == want[:, :5]).mean() > 0.98 and (rows >= 0).sum(1).min() > 290
+    has = rows >= 0
+    assert all(len(set(r[h])) == h.sum() for r, h in zip(rows, has)) and np.isinf(dist[~has]).all()
+    assert np.allclose(np.where(has, dist, 0), np.where(has, np.take_along_axis(d, np.maximum(rows, 0), 1), 0), atol=1e-3)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_lists_of_a_cell_have_exact_distances_with_ties(whole):
+    x = np.random.default_rng(12).standard_normal((200, 16)).astype(np.float32)
+    x = np.rint(x * 2).clip(-4, 4) / 8 if whole else x
+    x = np.unique(x, axis=0)
+    homes = np.full((len(x), 3), -1, np.int32)
+    homes[:, 0] = 5
+    row, other, dist = nb.cell_lists(x, x, 5, homes, np.zeros(len(x), int))
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert (np.diff(row) >= 0).all() and (np.bincount(row, minlength=len(x)) >= 5).all()
+    assert (dist == d[row, other]).all() if whole else np.allclose(dist, d[row, other], rtol=1e-12)
+    got = set(zip(row.tolist(), other.tolist()))
+    want = {(i, j) for i in range(len(x)) for j in np.flatnonzero(d[i] <= np.sort(d[i])[4]).tolist()}
+    assert len(got & want) / len(want) > 0.98
